@@ -65,7 +65,7 @@ class _Counts:
     def macro(self, per_class) -> Column:
         """Mean over the labels present among observations or predictions."""
         value = _total([F.when(self.present(c), per_class(c)).otherwise(0.0) for c in self.labels])
-        return value / _total([self.present(c).cast("int") for c in self.labels])
+        return F.try_divide(value, _total([self.present(c).cast("int") for c in self.labels]))
 
     def precision(self, c: int) -> Column:
         return safe_ratio(self.tp(c), self.tp(c) + self.fp(c))
@@ -78,7 +78,7 @@ class _Counts:
 
     def columns(self) -> dict[str, Column]:
         return {
-            "ACC": self.hits / self.all,
+            "ACC": F.try_divide(self.hits, self.all),
             "PAG": self.macro(self.precision),
             "POD": self.macro(self.recall),
             "F1": self.macro(self.f1),
@@ -124,7 +124,7 @@ def score_one_vs_rest(df: DataFrame, keys: list[str] = FOLD_KEYS, labels: list[i
         tp, fp, fn = counts.tp(c), counts.fp(c), counts.fn(c)
         return F.struct(
             F.lit(c).alias("label"),
-            half_even((counts.all - fp - fn) / counts.all * 100, 2).alias("acc"),
+            half_even(F.try_divide(counts.all - fp - fn, counts.all) * 100, 2).alias("acc"),
             half_even(F.when(tp + fp > 0, tp / (tp + fp)) * 100, 2).alias("pag"),
             half_even(F.when(tp + fn > 0, tp / (tp + fn)) * 100, 2).alias("pod"),
         )

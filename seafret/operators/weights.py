@@ -20,7 +20,7 @@ def _weighted(df: DataFrame, label: str, keys: list[str], rare: int, ratio: floa
     allows it and splits hot keys otherwise.
     """
     counts = class_counts(df, label, keys, classes).select(
-        *keys, (1 / (F.col("n0") / (F.col(f"n{rare}") + 1) * ratio)).alias("_w0")
+        *keys, F.try_divide(F.lit(1.0), F.col("n0") / (F.col(f"n{rare}") + 1) * ratio).alias("_w0")
     )
     weight = F.when(F.col(label) == 0, F.col("_w0")).when(F.col(label).isNotNull(), 1.0)
     return df.join(counts, keys).withColumn("weight", weight).drop("_w0")

@@ -214,7 +214,7 @@ def interpolate_limit(
 
     def filled(c: str) -> Column:
         p, n = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-        slope = (n["x"] - p["x"]) * (at - p["p"]) / (n["p"] - p["p"])
+        slope = F.try_divide((n["x"] - p["x"]) * (at - p["p"]), n["p"] - p["p"])
         return F.coalesce(
             F.col(c),
             F.when(p.isNull() | (at - p["p"] > limit), None).when(n.isNull(), p["x"]).otherwise(p["x"] + slope),

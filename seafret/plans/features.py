@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from seafret.operators import grid, prep, windows
 from seafret.operators.timeline import CHUNK_ROWS, CHUNK_SECONDS
 from seafret.schema import BASE, COVARIATES, HORIZONS, KEYS, MAX_LAG, TS
+from seafret.session import materialize
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,16 @@ def minute_windows(obs: DataFrame, s: Settings = Settings(), with_std: bool = Tr
     )
 
 
-def model_grid(obs: DataFrame, s: Settings = Settings(), with_std: bool = True) -> DataFrame:
-    """Gap-free grid with filled columns, physical features and labels."""
+def model_grid(obs: DataFrame, s: Settings = Settings(), with_std: bool = True, cut: bool = False) -> DataFrame:
+    """Gap-free grid with filled columns, physical features and labels.
+
+    Filling reads the thinned rows twice. `cut` writes them (a tenth of the input) to the
+    shared folder first, so that the raw windows run once; leave it off when only columns
+    that need no filling are used, Spark then drops the rest of the plan.
+    """
     thin = prep.grid_filter(minute_windows(obs, s, with_std), every=s.grid_seconds)
+    if cut:
+        thin = materialize(thin, "grid")
     full = grid.regular_grid(thin, s.grid_seconds)
     filled = windows.interpolate_limit(full, COVARIATES, s.fill_rows, step=s.grid_seconds, size=s.chunk_rows)
     named = prep.thermo_features(prep.fill_visibility(filled)).drop("T")
@@ -55,7 +63,7 @@ def model_grid(obs: DataFrame, s: Settings = Settings(), with_std: bool = True)
 def features(obs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Lagged features, targets y_h and y3_h, time columns, deviations, station columns."""
     wide = windows.lags_and_leads(
-        model_grid(obs, s),
+        model_grid(obs, s, cut=True),
         BASE,
         {"label": "y", "label3": "y3"},
         s.max_lag,
