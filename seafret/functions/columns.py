@@ -65,7 +65,8 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 
 def half_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)
+    """Scale, round half to even, scale back: the rounding of NumPy on doubles."""
+    return F.rint(value * float(10**digits)) / float(10**digits)
 
 
 def last_part(name: Column, sep: str = r"\.") -> Column:

@@ -37,13 +37,15 @@ def regular_grid(df: DataFrame, step: int, keys: list[str] = KEYS, ts: str = TS)
     return slots.join(df, [*keys, ts], "left")
 
 
-def grid_gaps(df: DataFrame, start: str, end: str, step: int, keys: list[str] = KEYS, ts: str = TS) -> DataFrame:
-    """Expected timestamps in [start, end) that have no row."""
-    bounds = df.select(*keys).distinct().select(
-        *keys,
-        slot(F.lit(start).cast("timestamp"), step).alias("first"),
-        (slot(F.lit(end).cast("timestamp") - F.expr("interval 1 second"), step)).alias("last"),
-    )
+def grid_gaps(
+    df: DataFrame, step: int, start: str | None = None, end: str | None = None, keys: list[str] = KEYS, ts: str = TS
+) -> DataFrame:
+    """Expected timestamps in [start, end) that have no row; by default between each series' ends."""
+    bounds = series_bounds(df, step, keys, ts)
+    if start is not None:
+        bounds = bounds.withColumn("first", slot(F.lit(start).cast("timestamp"), step))
+    if end is not None:
+        bounds = bounds.withColumn("last", slot(F.lit(end).cast("timestamp") - F.expr("interval 1 second"), step))
     return spine(bounds, step, keys, ts).join(df.select(*keys, ts), [*keys, ts], "left_anti")
 
 

@@ -134,26 +134,35 @@ def nearest_valid(
 
     The distance is unbounded, so no halo is enough: each chunk also gives its first and
     last valid value, and the chunk that needs one takes it from that small table.
-    Adds structs `_prev_<c>` and `_next_<c>` (fields p, x), including the row itself.
+    Adds `_pp_<c>`, `_px_<c>` (previous position, value) and `_np_<c>`, `_nx_<c>` (next),
+    including the row itself.
     """
     chunked = spread(df, pos, size)
-    here = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("x"))) for c in cols}
+    valid = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in cols}
     edges = chunked.groupBy(*keys, CHUNK).agg(
-        *[F.min_by(here[c], F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_f_{c}") for c in cols],
-        *[F.max_by(here[c], F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_l_{c}") for c in cols],
+        *[e.alias(f"{n}_{c}") for c in cols for n, e in {
+            "_lp": F.max(valid[c]),
+            "_lx": F.max_by(c, valid[c]),
+            "_fp": F.min(valid[c]),
+            "_fx": F.min_by(c, valid[c]),
+        }.items()]
     )
     past = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     future = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *keys,
         CHUNK,
-        *[F.last(f"_l_{c}", ignorenulls=True).over(past).alias(f"_cp_{c}") for c in cols],
-        *[F.last(f"_f_{c}", ignorenulls=True).over(future).alias(f"_cn_{c}") for c in cols],
+        *[F.last(f"_l{k}_{c}", ignorenulls=True).over(past).alias(f"_cp{k}_{c}") for c in cols for k in "px"],
+        *[F.last(f"_f{k}_{c}", ignorenulls=True).over(future).alias(f"_cn{k}_{c}") for c in cols for k in "px"],
     )
     up = Window.partitionBy(*keys, CHUNK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys, CHUNK).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
-    return chunked.join(carried, [*keys, CHUNK], "left").select(
-        *df.columns,
-        *[F.coalesce(F.last(here[c], ignorenulls=True).over(up), F.col(f"_cp_{c}")).alias(f"_prev_{c}") for c in cols],
-        *[F.coalesce(F.last(here[c], ignorenulls=True).over(down), F.col(f"_cn_{c}")).alias(f"_next_{c}") for c in cols],
-    )
+
+    def near(side: str, w) -> list[Column]:
+        return [
+            F.coalesce(F.last(value, ignorenulls=True).over(w), F.col(f"_c{side}{k}_{c}")).alias(f"_{side}{k}_{c}")
+            for c in cols
+            for k, value in (("p", valid[c]), ("x", F.col(c)))
+        ]
+
+    return chunked.join(carried, [*keys, CHUNK], "left").select(*df.columns, *near("p", up), *near("n", down))

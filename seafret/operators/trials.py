@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seafret.functions.columns import last_part, study_key
+from seafret.functions.columns import half_even, last_part, study_key
 from seafret.schema import MODELS
 
 STUDY = ["station", "horizon", "model"]
@@ -147,7 +147,7 @@ def topk_importance(df: DataFrame, k: int = 30, keys: list[str] = STUDY) -> Data
         df.where(F.col("importance") > 0)
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= k)
-        .withColumn("importance", F.bround("importance", 4))
+        .withColumn("importance", half_even(F.col("importance"), 4))
     )
 
 

@@ -213,11 +213,10 @@ def interpolate_limit(
     at = F.col(POS)
 
     def filled(c: str) -> Column:
-        p, n = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-        slope = F.try_divide((n["x"] - p["x"]) * (at - p["p"]), n["p"] - p["p"])
+        pp, px, np, nx = (F.col(f"_{k}_{c}") for k in ("pp", "px", "np", "nx"))
+        slope = F.try_divide((nx - px) * (at - pp), np - pp)
         return F.coalesce(
-            F.col(c),
-            F.when(p.isNull() | (at - p["p"] > limit), None).when(n.isNull(), p["x"]).otherwise(p["x"] + slope),
+            F.col(c), F.when(pp.isNull() | (at - pp > limit), None).when(np.isNull(), px).otherwise(px + slope)
         )
 
     return frame.select(*[filled(c).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])

@@ -340,12 +340,12 @@ def _(t):
 
 @query(
     "grid_gaps",
-    f"""select station, datetime from (select station, unnest(generate_series(timestamp '2018-01-01', timestamp '2018-01-10' - interval 1 second, interval {RAW_STEP} seconds)) as datetime
-  from (select distinct station from obs)) anti join obs using (station, datetime)""",
+    f"""select station, datetime from (select station, unnest(generate_series(lo, hi, interval {RAW_STEP} seconds)) as datetime
+  from (select station, min(datetime) as lo, max(datetime) as hi from obs group by station)) anti join obs using (station, datetime)""",
     ["obs"],
 )
 def _(t):
-    return grid.grid_gaps(t.obs, "2018-01-01", "2018-01-10", RAW_STEP)
+    return grid.grid_gaps(t.obs, RAW_STEP)
 
 
 @query(

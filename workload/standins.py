@@ -30,8 +30,8 @@ SETTINGS = plan.Settings(
     chunk_rows=500,
 )
 GRID = SETTINGS.grid_seconds
-PERIODS = [("2018-01-07", "2018-01-10"), ("2018-01-04", "2018-01-07"), ("2018-01-01", "2018-01-04")]
-TEST_START = "2018-01-07"
+PERIODS = [("2018-01-06", "2018-01-09"), ("2018-01-03", "2018-01-06"), ("2018-01-01", "2018-01-03")]
+TEST_START = "2018-01-06"
 STARTS = {"SF_0001": "2018-01-01", "SF_0003": "2018-01-01", "SF_0004": "2018-01-01"}
 LATE_START = "2018-01-02"
 PRED_SHIFT = dict(zip(MODELS, range(4)))
@@ -49,7 +49,7 @@ class Tables:
     @cached_property
     def obs(self) -> DataFrame:
         s = F.expr("event_id div 11")
-        at = T0 + RAW_STEP * (s + 40 * F.expr("event_id div 11 div 150") + 60 * F.expr("event_id div 11 div 450"))
+        at = T0 + RAW_STEP * (s + 40 * F.expr("event_id div 11 div 300") + 60 * F.expr("event_id div 11 div 600"))
         ok = F.col("event_type") != "error"
         return self.read("events").select(
             F.concat(F.lit("SF_"), F.lpad((F.col("event_id") % 11 + 1).cast("string"), 4, "0")).alias("station"),
@@ -156,7 +156,7 @@ def q(name: str) -> str:
 cte(
     "obs",
     f"""select 'SF_' || lpad(cast(event_id % 11 + 1 as varchar), 4, '0') as station,
-  make_timestamp(({T0} + {RAW_STEP} * (s + 40 * (s // 150) + 60 * (s // 450))) * 1000000) as datetime,
+  make_timestamp(({T0} + {RAW_STEP} * (s + 40 * (s // 300) + 60 * (s // 600))) * 1000000) as datetime,
   cast(regexp_extract(props, '([0-9]+)', 1) as double) * 3.6 as wd, value / 10 as ws,
   case when event_type = 'error' then null else 5 + cast(event_id % 250 as double) / 10 end as temp,
   5 + user_id % 15 + cast(event_id % 30 as double) / 10 as sst,
