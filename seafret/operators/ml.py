@@ -98,7 +98,7 @@ def learner(model: str, params: dict, classes: int = 2) -> Estimator:
 def early_stopping(clf: Estimator, col: str = VALID, tol: float = 1e-4) -> Estimator:
     """Stop boosting when the rows flagged in `col` gain no more; forests are left as they are."""
     if isinstance(clf, GBTClassifier):
-        return clf.copy().setValidationIndicatorCol(col).setValidationTol(tol)
+        return clf.copy({clf.validationIndicatorCol: col, clf.validationTol: tol})
     return clf
 
 
@@ -133,17 +133,21 @@ def fit_pipeline(train: DataFrame, cols: list[str], clf: Estimator, valid: DataF
 # ---- tables --------------------------------------------------------------------------
 
 
-def training_rows(features: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Complete rows of one target as keys, features and `label`."""
+def training_rows(
+    features: DataFrame, cols: list[str], target: str, classes: int = 2, keys: list[str] = KEYS
+) -> DataFrame:
+    """Complete rows of one target as keys, features, `label` and the weight for ratio 1."""
     rows = prep.drop_incomplete(features, [*cols, target])
-    return prep.cast_label(rows.withColumn(LABEL, F.col(target)), LABEL).select(
+    rows = prep.cast_label(rows.withColumn(LABEL, F.col(target)), LABEL).select(
         *KEYS, TS, *[F.col(f"`{c}`") for c in cols], LABEL
     )
+    make = weights.sample_weight_binary if classes == 2 else weights.sample_weight_3class
+    return make(rows, 1.0, LABEL, keys)
 
 
-def with_weights(rows: DataFrame, ratio: float, classes: int = 2, keys: list[str] = KEYS) -> DataFrame:
-    make = weights.sample_weight_binary if classes == 2 else weights.sample_weight_3class
-    return make(rows, ratio, LABEL, keys)
+def at_ratio(rows: DataFrame, ratio: float) -> DataFrame:
+    """Weights for another ratio: only class 0 depends on it, so nothing is counted again."""
+    return rows.withColumn(WEIGHT, F.when(F.col(LABEL) == 0, F.col(WEIGHT) / ratio).otherwise(F.col(WEIGHT)))
 
 
 def fold_table(
@@ -199,14 +203,12 @@ def _labelled(model: Model, df: DataFrame) -> DataFrame:
 
 
 def cv_fit(
-    folds: list[Fold], make_clf: Callable[[], Estimator], ratio: float | None = None, classes: int = 2
+    folds: list[Fold], make_clf: Callable[[], Estimator], ratio: float = 1.0
 ) -> list[tuple[Fold, Model]]:
-    """A new model per fold; weights come from all rows of the fold's training part."""
+    """A new model per fold."""
     fitted = []
     for fold in folds:
-        train = fold.train if ratio is None else with_weights(fold.train, ratio, classes)
-        if WEIGHT not in train.columns:
-            train = train.withColumn(WEIGHT, F.lit(1.0))
+        train = at_ratio(fold.train, ratio)
         clf = make_clf()
         model, _ = fit_retry(lambda c=clf, t=train: early_stopping(c).fit(t), fallback=lambda c=clf, t=train: c.fit(t))
         fitted.append((fold, model))
@@ -224,11 +226,11 @@ def cv_predict(fitted: list[tuple[Fold, Model]], keep: list[str] = [*KEYS, TS])
 def cv_evaluate(
     folds: list[Fold],
     make_clf: Callable[[], Estimator],
-    ratio: float | None = None,
+    ratio: float = 1.0,
     classes: int = 2,
 ) -> DataFrame:
     """Fit and predict every fold; scores per fold."""
-    preds = cv_predict(cv_fit(folds, make_clf, ratio, classes))
+    preds = cv_predict(cv_fit(folds, make_clf, ratio))
     return scores.score_table(preds, ["fold"], list(range(classes)))
 
 
@@ -277,7 +279,7 @@ def param_search(
     def run(trial: dict) -> tuple:
         params = {k: _number(v) for k, v in trial["params"].items()}
         made = cv_evaluate(
-            folds, lambda: learner(model, params | (limits or {}), classes), params.get("pos_label_ratio"), classes
+            folds, lambda: learner(model, params | (limits or {}), classes), params.get("pos_label_ratio", 1.0), classes
         )
         row = made.agg(*[F.avg(m).alias(m) for m in ("ACC", "PAG", "POD", "F1")]).first()
         return (station, horizon, model, int(trial["draw"]), row["F1"], row["ACC"], row["PAG"], row["POD"], trial["params"])
@@ -302,7 +304,7 @@ def tuned_params(trials: DataFrame) -> dict[str, dict]:
 
 def refit(folds: list[Fold], model: str, params: dict, limits: dict | None = None, classes: int = 2):
     """Fitted folds of a model with tuned parameters and tuned weight ratio."""
-    return cv_fit(folds, lambda: learner(model, params | (limits or {}), classes), params["pos_label_ratio"], classes)
+    return cv_fit(folds, lambda: learner(model, params | (limits or {}), classes), params["pos_label_ratio"])
 
 
 def refit_models(
@@ -354,10 +356,12 @@ def export_topk_predictions(
 
 
 def holdout_test(
-    rows: DataFrame, cols: list[str], start: str, clf: Estimator, ratio: float, keys: list[str] = KEYS, classes: int = 2
+    rows: DataFrame, cols: list[str], start: str, clf: Estimator, ratio: float, keys: list[str] = KEYS, classes: int = 2,
+    weight_keys: list[str] = KEYS,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on everything before `start`, score after it, per `keys`."""
-    train = with_weights(prep.holdout_split(rows, start, "refit"), ratio, classes)
+    make = weights.sample_weight_binary if classes == 2 else weights.sample_weight_3class
+    train = make(prep.holdout_split(rows, start, "refit"), ratio, LABEL, weight_keys)
     model = fit_pipeline(train, cols, clf)
     preds = batch_predict(model, prep.holdout_split(rows, start, "test"))
     return model, scores.score_table(preds.withColumn("obs", F.col(LABEL)), keys, list(range(classes)))

@@ -44,7 +44,9 @@ def _unzip(batches: Iterator[pd.DataFrame], encoding: str) -> Iterator[pd.DataFr
                             for c in names:
                                 if c == TS:
                                     part[c] = pd.to_datetime(part[c], errors="coerce")
-                                elif c not in texts:
+                                elif c in texts:
+                                    part[c] = part[c].astype(object)
+                                else:
                                     part[c] = pd.to_numeric(part[c], errors="coerce")
                             yield part
 
