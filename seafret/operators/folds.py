@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seafret.operators.timeline import row_index
 from seafret.schema import KEYS, TS, YEAR_PERIODS
+from seafret.session import materialize
 
 SPLITS = 5
 
@@ -59,8 +60,12 @@ def stratified_group_split(
 def fold_roles(
     df: DataFrame, n_splits: int = SPLITS, label: str = "label", keys: list[str] = KEYS
 ) -> DataFrame:
-    """role: test, valid or train; needs year_folds and day_group."""
+    """role: test, valid or train; needs year_folds and day_group.
+
+    The day table is written first; its real size then decides how it is joined.
+    """
     days = stratified_group_split(df, n_splits, label, keys).select(*keys, "fold", "day_group", "is_valid")
+    days = materialize(days, "days")
     role = F.when(F.col("in_test"), "test").when(F.col("is_valid"), "valid").otherwise("train")
     return df.join(days, [*keys, "fold", "day_group"], "left").withColumn("role", role).drop("is_valid")
 
@@ -77,7 +82,7 @@ def expanding_window_folds(
     One row per fold; the training rows are given by the count instead of being repeated.
     """
     rows = row_index(df.select(*keys, ts), keys, ts, "row")
-    sizes = df.groupBy(*keys).agg(F.floor(F.count("*") * initial).alias("_first"))
+    sizes = materialize(df.groupBy(*keys).agg(F.floor(F.count("*") * initial).alias("_first")), "sizes")
     return (
         rows.join(sizes, keys)
         .where(F.col("row") >= F.col("_first"))

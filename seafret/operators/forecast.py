@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seafret.functions.columns import floor_div
 from seafret.operators.timeline import CHUNK_ROWS, over_chunks, row_index
 from seafret.schema import KEYS, TS
+from seafret.session import materialize
 
 ROW = "row"
 BLOCK = "_block"
@@ -38,7 +39,7 @@ def detrend(df: DataFrame, col: str, keys: list[str] = KEYS, ts: str = TS) -> Da
     rows = row_index(df, keys, ts, ROW)
     line = F.col("intercept") + F.col("slope") * F.col(ROW)
     return (
-        rows.join(trend_fit(df, col, keys, ts).drop("n"), keys)
+        rows.join(materialize(trend_fit(df, col, keys, ts).drop("n"), "trend"), keys)
         .withColumn(f"{col}_detrended", F.col(col) - line)
         .drop("slope", "intercept", ROW)
     )
@@ -109,7 +110,7 @@ def recursive_forecast(
     total = _packed(cells.groupBy(*keys, "pos").agg(F.sum("col").alias("v")), keys, "v", "gram")
 
     rows = row_index(source.select(*keys, ts, F.col(value).alias("y")), keys, ts, ROW)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
     last = rows.join(sizes, keys).where(F.col(ROW) >= F.col("n") - window)
     tail = last.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(ROW, "y"))), lambda s: s["y"]).alias("tail"))
 
@@ -162,7 +163,7 @@ def window_errors(
         "v",
         "gram",
     )
-    sizes = df.groupBy(*keys).agg(F.floor(F.count("*") * initial).alias("n0"))
+    sizes = materialize(df.groupBy(*keys).agg(F.floor(F.count("*") * initial).alias("n0")), "sizes")
     tested = rows.join(sizes, keys).where(F.col(BLOCK) >= floor_div(F.col("n0"), BLOCK_ROWS))
     key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     out_cols = [*keys, "window", "n", "ape"]

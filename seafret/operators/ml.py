@@ -130,6 +130,12 @@ def fit_pipeline(train: DataFrame, cols: list[str], clf: Estimator, valid: DataF
     return PipelineModel([*scaling.stages, clf.fit(rows)])
 
 
+def in_threads(work: Callable, items: Iterable, parallelism: int = 4) -> list:
+    """Submit jobs of independent items side by side."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(work), list(items))
+
+
 # ---- tables --------------------------------------------------------------------------
 
 
@@ -182,17 +188,19 @@ def usable_folds(table: DataFrame, positive: int = 1) -> list[int]:
 
 def prepare_folds(table: DataFrame, cols: list[str], folds: list[int] | None = None, positive: int = 1) -> list[Fold]:
     """Fit the scaler of each fold once and keep the scaled vectors, whatever is tuned later."""
-    out = []
-    for number in usable_folds(table, positive) if folds is None else folds:
+    numbers = usable_folds(table, positive) if folds is None else folds
+    if not numbers:
+        raise ValueError("no fold has fog rows to test and two classes to train on")
+
+    def prepare(number: int) -> Fold:
         part = table.where(F.col("fold") == number)
         scaling = scaler(cols).fit(part.where("role = 'train'"))
         keep = [c for c in table.columns if c not in cols]
         scaled = materialize(scaling.transform(part).select(*keep, FEATURES), f"fold{number}")
         train = scaled.where("role != 'test'").withColumn(VALID, F.col("role") == "valid")
-        out.append(Fold(number, scaling, train, scaled.where("role = 'test'")))
-    if not out:
-        raise ValueError("no fold has fog rows to test and two classes to train on")
-    return out
+        return Fold(number, scaling, train, scaled.where("role = 'test'"))
+
+    return in_threads(prepare, numbers)
 
 
 # ---- evaluation ----------------------------------------------------------------------
@@ -205,14 +213,14 @@ def _labelled(model: Model, df: DataFrame) -> DataFrame:
 def cv_fit(
     folds: list[Fold], make_clf: Callable[[], Estimator], ratio: float = 1.0
 ) -> list[tuple[Fold, Model]]:
-    """A new model per fold."""
-    fitted = []
-    for fold in folds:
-        train = at_ratio(fold.train, ratio)
-        clf = make_clf()
-        model, _ = fit_retry(lambda c=clf, t=train: early_stopping(c).fit(t), fallback=lambda c=clf, t=train: c.fit(t))
-        fitted.append((fold, model))
-    return fitted
+    """A new model per fold; the folds are fitted side by side."""
+
+    def fit(fold: Fold) -> tuple[Fold, Model]:
+        train, clf = at_ratio(fold.train, ratio), make_clf()
+        model, _ = fit_retry(lambda: early_stopping(clf).fit(train), fallback=lambda: clf.fit(train))
+        return fold, model
+
+    return in_threads(fit, folds)
 
 
 def cv_predict(fitted: list[tuple[Fold, Model]], keep: list[str] = [*KEYS, TS]) -> DataFrame:
@@ -234,12 +242,6 @@ def cv_evaluate(
     return scores.score_table(preds, ["fold"], list(range(classes)))
 
 
-def in_threads(work: Callable, items: Iterable, parallelism: int = 4) -> list:
-    """Submit jobs of independent items side by side."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(work), list(items))
-
-
 TRIAL_SCHEMA = "station string, horizon int, model string, trial_id long, value double, ACC double, PAG double, POD double, params map<string,string>"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seafret.functions.columns import half_even, last_part, study_key
 from seafret.schema import MODELS
+from seafret.session import materialize
 
 STUDY = ["station", "horizon", "model"]
 PLACE = ["station", "horizon"]
@@ -99,7 +100,7 @@ def argmax_trial(trials: DataFrame, keys: list[str] = STUDY) -> DataFrame:
     place = trials.groupBy(*keys).agg(
         F.max_by("trial_id", F.struct("value", -F.col("trial_id"))).alias("trial_id"), F.max("value").alias("best")
     )
-    before = trials.select(*keys, F.col("trial_id").alias("_t")).join(place, keys)
+    before = trials.select(*keys, F.col("trial_id").alias("_t")).join(materialize(place, "best"), keys)
     return before.groupBy(*keys, "trial_id", "best").agg(F.count_if(F.col("_t") < F.col("trial_id")).alias("place"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seafret.schema import KEYS
+from seafret.session import materialize
 
 
 def class_counts(df: DataFrame, label: str = "label", keys: list[str] = KEYS, classes: int = 2) -> DataFrame:
@@ -14,12 +15,12 @@ def class_counts(df: DataFrame, label: str = "label", keys: list[str] = KEYS, cl
 
 
 def _weighted(df: DataFrame, label: str, keys: list[str], rare: int, ratio: float, classes: int) -> DataFrame:
-    """Counts are combined before the shuffle; the join back sees one row per series.
+    """Counts are combined before the shuffle and written, one row per series.
 
-    No hint is given: adaptive execution broadcasts the counts when their measured size
-    allows it and splits hot keys otherwise.
+    Spark then knows their size and broadcasts them if it is small enough, so the wide
+    table is not shuffled by a key that may be hot; otherwise it joins by sorting.
     """
-    counts = class_counts(df, label, keys, classes).select(
+    counts = materialize(class_counts(df, label, keys, classes), "counts").select(
         *keys, F.try_divide(F.lit(1.0), F.col("n0") / (F.col(f"n{rare}") + 1) * ratio).alias("_w0")
     )
     weight = F.when(F.col(label) == 0, F.col("_w0")).when(F.col(label).isNotNull(), 1.0)

@@ -9,15 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, functions as F
 
-from seafret.operators import folds as fold_ops, forecast, ml, prep, scores, trials as trial_ops
+from seafret.operators import folds as fold_ops, forecast, ml, prep, trials as trial_ops
 from seafret.schema import STATIONS, TIME_COLUMNS, lag_columns
 from seafret.session import materialize, new_path
 from seafret.sources import tables
 from workload.registry import query
-from workload.standins import PERIODS, TEST_START, Tables
+from workload.standins import Tables
 
 COLS = lag_columns() + TIME_COLUMNS + STATIONS
 LIMITS = {"n_estimators": 3, "depth": 3, "max_depth": 3}
@@ -39,18 +38,18 @@ class Study:
 
     @cached_property
     def folds(self) -> list[ml.Fold]:
-        return ml.prepare_folds(ml.fold_table(self.rows, PERIODS), COLS)
+        return ml.prepare_folds(ml.fold_table(self.rows, self.tables.periods), COLS)
 
     @cached_property
     def folds3(self) -> list[ml.Fold]:
         rows = ml.training_rows(self.features, COLS, f"y3_{HORIZON}", 3)
-        first = fold_ops.first_fold_only(ml.fold_table(rows, PERIODS))
+        first = fold_ops.first_fold_only(ml.fold_table(rows, self.tables.periods))
         return ml.prepare_folds(first, COLS, positive=2)
 
     @cached_property
     def model(self):
         clf = ml.learner("cb", LIMITS)
-        return ml.fit_pipeline(prep.holdout_split(self.rows, TEST_START, "refit"), COLS, clf)
+        return ml.fit_pipeline(prep.holdout_split(self.rows, self.tables.test_start, "refit"), COLS, clf)
 
     @cached_property
     def trials(self) -> DataFrame:
@@ -83,7 +82,7 @@ def fitted(s: Study, model: str) -> DataFrame:
 @query("fit_pipeline")
 def _(t):
     s = study(t)
-    train = prep.holdout_split(s.rows, TEST_START, "refit")
+    train = prep.holdout_split(s.rows, t.test_start, "refit")
     model = ml.fit_pipeline(train, COLS, ml.learner("cb", LIMITS))
     return ml.batch_predict(model, s.rows).groupBy("station", "pred").agg(F.count("*").alias("n"))
 
@@ -162,7 +161,7 @@ def _(t):
 
 @query("holdout_test")
 def _(t):
-    _, table = ml.holdout_test(study(t).rows, COLS, TEST_START, ml.learner("rf", LIMITS), 0.3)
+    _, table = ml.holdout_test(study(t).rows, COLS, t.test_start, ml.learner("rf", LIMITS), 0.3)
     return table
 
 
@@ -203,7 +202,7 @@ def _(t):
 @query("save_scaler")
 def _(t):
     """Scaler of each fold with and without the time columns, read back as tables."""
-    table = ml.fold_table(study(t).rows, PERIODS)
+    table = ml.fold_table(study(t).rows, t.periods)
     path = new_path(t.spark, "scaler")
     parts = []
     for name, cols in (("all", lag_columns() + TIME_COLUMNS), ("no_time", lag_columns())):
@@ -245,8 +244,8 @@ def _(t):
 
 @query("recursive_forecast")
 def _(t):
-    train = prep.holdout_split(t.obs, TEST_START, "refit")
-    test = prep.holdout_split(t.obs, TEST_START, "test")
+    train = prep.holdout_split(t.obs, t.test_start, "refit")
+    test = prep.holdout_split(t.obs, t.test_start, "test")
     ahead = forecast.recursive_forecast(train, "sst", 5, 36, with_trend=True)
     return forecast.forecast_errors(ahead, test, "sst")
 
@@ -255,5 +254,3 @@ def _(t):
 def _(t):
     return forecast.forecast_window_search(t.obs, "sst")
 
-
-assert Pipeline and scores

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seafret.operators import folds, prep, scores, weights
 from seafret.schema import STATIONS
 from workload.registry import query
-from workload.standins import PERIODS, SETTINGS, TEST_START
+from workload.standins import FOLD_OF
 
 FOLD_KEYS = ["station", "horizon", "model", "fold"]
 
@@ -17,7 +17,7 @@ FOLD_KEYS = ["station", "horizon", "model", "fold"]
 
 @query("year_folds", "select station, datetime, fold, in_test from folds", ["folds"])
 def _(t):
-    return folds.year_folds(t.labels, PERIODS).select("station", "datetime", "fold", "in_test")
+    return folds.year_folds(t.labels, t.periods).select("station", "datetime", "fold", "in_test")
 
 
 @query("day_group", "select station, datetime, year(datetime) * 366 + dayofyear(datetime) as day_group from obs", ["obs"])
@@ -42,11 +42,11 @@ def _(t):
 
 @query(
     "complement_split",
-    f"select station, datetime, label from grid where not (datetime > timestamp '{PERIODS[0][0]}' and datetime <= timestamp '{PERIODS[0][1]}')",
-    ["grid"],
+    f"select station, datetime, label from grid where {FOLD_OF} <> 1",
+    ["grid", "cal"],
 )
 def _(t):
-    return folds.complement_split(t.labels.drop("label3"), folds.in_period("datetime", *PERIODS[0]))
+    return folds.complement_split(t.labels.drop("label3"), folds.in_period("datetime", *t.periods[0]))
 
 
 @query(
@@ -274,7 +274,7 @@ SCALED = ["temp", "sst", "qff", "rh", "temp-Td"]
 )
 def _(t):
     rows = t.grid.select("station", "datetime", "label", *SCALED)
-    train = folds.fold_roles(folds.year_folds(folds.day_group(rows), PERIODS)).where("role = 'train'")
+    train = folds.fold_roles(folds.year_folds(folds.day_group(rows), t.periods)).where("role = 'train'")
     return scores.scaler_stats(train, SCALED, ["fold"])
 
 
@@ -333,5 +333,3 @@ def _(t):
     obs = t.preds.select(*PAIR_KEYS, "obs").distinct()
     return scores.join_obs_pred(obs, t.preds.select(*PAIR_KEYS, "model", "pred"))
 
-
-assert TEST_START == PERIODS[0][0] and SETTINGS.horizons == (1, 3, 6)

@@ -8,7 +8,7 @@ from seafret.operators import grid, labels, prep, windows
 from seafret.plans import features as plan
 from seafret.schema import AVERAGED, BASE, COVARIATES, EARLY_STARTS, RAW_HEADERS, STATIONS, TIME_COLUMNS, lag_columns, lag_name, port_dim, start_dim
 from workload.registry import query
-from workload.standins import FOG, FOG_FRAME, GRID, HOT, LATE_START, MEAN_FRAME, MEANS, RAW_STEP, SETTINGS, STARTS, STDS, TEST_START, TIMES, interpolation_sql
+from workload.standins import FOG, FOG_FRAME, GRID, HOT, LATE_START, MEAN_FRAME, MEANS, RAW_STEP, SETTINGS, STARTS, STDS, TEST_START_SQL, TIMES, interpolation_sql
 
 OBS = ["wd", "ws", "temp", "sst", "qff", "rh", "vis20"]
 LABEL_SIZE = SETTINGS.chunk_rows
@@ -165,12 +165,12 @@ def _(t):
 
 @query(
     "holdout_split",
-    f"select station, datetime, label, case when datetime >= timestamp '{TEST_START}' then 'test' else 'refit' end as stage from grid",
-    ["grid"],
+    f"select station, datetime, label, case when datetime >= {TEST_START_SQL} then 'test' else 'refit' end as stage from grid",
+    ["grid", "cal"],
 )
 def _(t):
     parts = [
-        prep.holdout_split(t.labels, TEST_START, s).select("station", "datetime", "label", F.lit(s).alias("stage"))
+        prep.holdout_split(t.labels, t.test_start, s).select("station", "datetime", "label", F.lit(s).alias("stage"))
         for s in ("test", "refit")
     ]
     return prep.union_stations(parts)

@@ -8,6 +8,7 @@ become tuning trials.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +19,7 @@ from seafret.schema import AVERAGED, BASE, COVARIATES, MODELS, lag_name
 from workload.registry import cte
 
 T0 = 1514764800  # 2018-01-01
+EPOCH = datetime(2018, 1, 1)
 RAW_STEP = 600
 SETTINGS = plan.Settings(
     mean_seconds=6000,
@@ -30,8 +32,6 @@ SETTINGS = plan.Settings(
     chunk_rows=500,
 )
 GRID = SETTINGS.grid_seconds
-PERIODS = [("2018-01-06", "2018-01-09"), ("2018-01-03", "2018-01-06"), ("2018-01-01", "2018-01-03")]
-TEST_START = "2018-01-06"
 STARTS = {"SF_0001": "2018-01-01", "SF_0003": "2018-01-01", "SF_0004": "2018-01-01"}
 LATE_START = "2018-01-02"
 PRED_SHIFT = dict(zip(MODELS, range(4)))
@@ -63,6 +63,25 @@ class Tables:
             F.when(ok, F.col("value") * 60).alias("vis20"),
         )
 
+    @cached_property
+    def third(self) -> int:
+        """A third of the days all readings span: the test periods cover the whole table."""
+        last = self.read("events").agg(F.max("event_id").alias("m")).first()["m"] // 11
+        days = RAW_STEP * (last + 40 * (last // 300) + 60 * (last // 600)) // 86400 + 1
+        self._days = days
+        return max(1, days // 3)
+
+    @cached_property
+    def periods(self) -> list[tuple[str, str]]:
+        """Latest third first, as (start, end) days; the latest takes the rest of the days."""
+        cuts = [0, self.third, 2 * self.third, max(self._days, 3 * self.third)]
+        day = [str((EPOCH + timedelta(days=c)).date()) for c in cuts]
+        return [(day[2], day[3]), (day[1], day[2]), (day[0], day[1])]
+
+    @property
+    def test_start(self) -> str:
+        return self.periods[0][0]
+
     @cached_property
     def prepared(self) -> DataFrame:
         return prep.clip_visibility(prep.wind_components(self.obs))
@@ -89,7 +108,7 @@ class Tables:
 
     @cached_property
     def folds(self) -> DataFrame:
-        return fold_ops.year_folds(fold_ops.day_group(self.labels), PERIODS)
+        return fold_ops.year_folds(fold_ops.day_group(self.labels), self.periods)
 
     def predictions(self, label: str = "label") -> DataFrame:
         """obs: the label h grid rows ahead; pred: the label 0..3 rows ago, one shift per model."""
@@ -105,7 +124,7 @@ class Tables:
         obs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"obs_{h}").alias("obs")) for h in (1, 3, 6)])
         pred = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("pred")) for m in MODELS])
         tall = (
-            fold_ops.period_fold(ahead, PERIODS)
+            fold_ops.period_fold(ahead, self.periods)
             .withColumn("_o", F.explode(obs))
             .withColumn("_p", F.explode(pred))
             .select("station", "datetime", "_o.horizon", "_p.model", "fold", "_o.obs", "_p.pred")
@@ -243,14 +262,20 @@ cte(
 from grid window w as (partition by station order by datetime)""",
     "grid",
 )
-IN_TEST = "case fold " + " ".join(
-    f"when {i + 1} then datetime > timestamp '{a}' and datetime <= timestamp '{b}'" for i, (a, b) in enumerate(PERIODS)
-) + " end"
+cte(
+    "cal",
+    f"""select greatest(1, ({RAW_STEP} * (s + 40 * (s // 300) + 60 * (s // 600)) // 86400 + 1) // 3) as third
+from (select max(event_id) // 11 as s from events)""",
+)
+# 1 for the latest third of the days, 3 for the first; midnight belongs to the earlier part
+FOLD_OF = f"cast(3 - least(2, floor((epoch(datetime) - {T0} - 1) / ((select third from cal) * 86400))) as integer)"
+TEST_START_SQL = f"make_timestamp(({T0} + 2 * (select third from cal) * 86400) * 1000000)"
 cte(
     "folds",
-    f"""select *, {IN_TEST} as in_test from (
+    f"""select *, {FOLD_OF} = fold as in_test from (
   select station, datetime, label, label3, year(datetime) * 366 + dayofyear(datetime) as day_group, unnest([1, 2, 3]) as fold from grid)""",
     "grid",
+    "cal",
 )
 cte(
     "days",
@@ -266,11 +291,6 @@ from folds left join days using (station, fold, day_group)""",
     "folds",
     "days",
 )
-FOLD_OF = "case " + " ".join(
-    f"when datetime > timestamp '{a}' and datetime <= timestamp '{b}' then {i + 1}" for i, (a, b) in enumerate(PERIODS)
-) + " end"
-
-
 def preds_sql(label: str) -> str:
     branches = " union all ".join(
         f"select station, datetime, {h} as horizon, '{m}' as model, {FOLD_OF} as fold, "
@@ -279,11 +299,11 @@ def preds_sql(label: str) -> str:
         for h in (1, 3, 6)
         for m, k in PRED_SHIFT.items()
     )
-    return f"select * from ({branches}) where fold is not null and obs is not null and pred is not null"
+    return f"select * from ({branches}) where fold <= 3 and obs is not null and pred is not null"
 
 
-cte("preds", preds_sql("label"), "grid")
-cte("preds3", preds_sql("label3"), "grid")
+cte("preds", preds_sql("label"), "grid", "cal")
+cte("preds3", preds_sql("label3"), "grid", "cal")
 cte(
     "trials",
     """select 'SF_' || lpad(cast(o_custkey % 11 + 1 as varchar), 4, '0') as station,
