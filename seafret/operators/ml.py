@@ -16,7 +16,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seafret.operators import folds as fold_ops, prep, scores, trials as trial_ops, weights
 from seafret.schema import KEYS, TS, YEAR_PERIODS
@@ -323,10 +323,11 @@ def model_predictions(fits: dict[str, list[tuple[Fold, Model]]], horizon: int) -
     return prep.union_stations(parts)
 
 
-def refit_scores(fits: dict[str, list[tuple[Fold, Model]]], place: str, horizon: int) -> DataFrame:
+def refit_scores(fits: dict[str, list[tuple[Fold, Model]]], place: str, horizon: int, classes: int = 2) -> DataFrame:
     """Percent scores of refitted models, averaged over folds."""
     preds = model_predictions(fits, horizon).withColumn("station", F.lit(place))
-    return scores.fold_macro_mean(scores.scored_folds(preds), percent=True)
+    folds = scores.score_table(preds, labels=list(range(classes)))
+    return scores.fold_macro_mean(folds, percent=True)
 
 
 def refit_best(folds: list[Fold], trials: DataFrame, place: str, horizon: int, limits: dict | None = None) -> DataFrame:
@@ -379,16 +380,13 @@ def predict_proba(model: PipelineModel, df: DataFrame, keep: list[str] = [*KEYS,
     return out.select(*keep, "pred", p[0].alias("p0"), p[1].alias("p1"))
 
 
-def feature_importance(model: PipelineModel, cols: list[str] | None = None) -> DataFrame:
+def feature_importance(model: Model, cols: list[str] | None = None) -> DataFrame:
     """Importance of each input column, one row per column, from the fitted trees."""
-    from pyspark.sql import SparkSession
-
+    stages = model.stages if isinstance(model, PipelineModel) else [model]
     if cols is None:
-        cols = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
-    values = model.stages[-1].featureImportances.toArray()
-    return SparkSession.getActiveSession().createDataFrame(
-        [(c, float(v)) for c, v in zip(cols, values)], "feature string, importance double"
-    )
+        cols = next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols()
+    values = [float(v) for v in stages[-1].featureImportances.toArray()]
+    return SparkSession.getActiveSession().createDataFrame(list(zip(cols, values)), "feature string, importance double")
 
 
 def reload_parity(model: PipelineModel, df: DataFrame, path: str, keep: list[str] = [*KEYS, TS]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seafret.functions import columns as C
 from seafret.schema import BASE, KEYS, STATIONS, TS
@@ -41,6 +41,15 @@ def join_station_dim(df: DataFrame, dim: DataFrame, on: str = "station") -> Data
     return df.join(small(dim), on)
 
 
+def join_std_left(df: DataFrame, std: DataFrame, on: list[str] = [*KEYS, TS]) -> DataFrame:
+    """Rolling deviations of the raw rows beside the grid rows; time is in the key, so no key is hot."""
+    return df.join(std, on, "left")
+
+
+def join_time_features(df: DataFrame, times: DataFrame, on: list[str] = [*KEYS, TS]) -> DataFrame:
+    return df.join(times, on, "left")
+
+
 def grid_filter(df: DataFrame, ts: str = TS, every: int = 600) -> DataFrame:
     """Keep rows on the model grid; `every` in seconds."""
     return df.where(C.seconds(F.col(ts)) % every == 0)
@@ -149,6 +158,3 @@ def sort_by_time(df: DataFrame, keys: list[str] = KEYS, ts: str = TS) -> DataFra
     """Total order by time inside each series (range partitioned, so no single task)."""
     return df.orderBy(*keys, ts)
 
-
-def condition_all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -51,3 +51,11 @@ def class_weight_params(
         for c in range(1, classes)
     ]
     return counts.select(*keys, F.inline(F.array(*pairs)))
+
+
+def class_weighted(df: DataFrame, label: str = "label", keys: list[str] = KEYS, classes: int = 2) -> DataFrame:
+    """Give every row the weight of its class, for learners without a class-weight setting."""
+    table = class_weight_params(df, label, keys, classes).select(
+        *keys, F.col("class").alias(label), F.col("class_weight").alias("weight")
+    )
+    return df.join(materialize(table, "class_weights"), [*keys, label], "left")

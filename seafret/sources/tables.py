@@ -35,7 +35,8 @@ def scan_features(spark: SparkSession, path: str, station: str | None = None) ->
 
 def write_metrics(df: DataFrame, path: str, salts: int = 4, mode: str = "append") -> None:
     """Append trial or test metrics; a salt spreads stations with many trials."""
-    _write(df, ["station"], [F.pmod(F.xxhash64(*df.columns), F.lit(salts))], "parquet", path, mode)
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+    _write(df, ["station"], [F.pmod(F.xxhash64(*plain), F.lit(salts))], "parquet", path, mode)
 
 
 def scan_trials(

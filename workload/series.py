@@ -323,7 +323,7 @@ def _(t):
 @query("join_std_left", f"select station, datetime, label, {', '.join(q for q in ['std_ws', 'std_rh'])}, \"std_ASTD\" from grid", ["grid"], STD_COLUMNS)
 def _(t):
     std = windows.rolling_std_10m(t.prepared, seconds=SETTINGS.mean_seconds, chunk_seconds=SETTINGS.chunk_seconds)
-    return t.labels.drop("label3").join(std.select("station", "datetime", *STD_COLUMNS), ["station", "datetime"], "left")
+    return prep.join_std_left(t.labels.drop("label3"), std.select("station", "datetime", *STD_COLUMNS))
 
 
 @query(
@@ -335,7 +335,7 @@ def _(t):
 def _(t):
     lagged = windows.lag_features(t.grid.select("station", "datetime", "temp"), ["temp"], 1, step=GRID, size=LABEL_SIZE)
     times = prep.time_encoding(t.grid.select("station", "datetime"))
-    return lagged.join(times, ["station", "datetime"], "left")
+    return prep.join_time_features(lagged, times)
 
 
 @query(
