@@ -109,7 +109,8 @@ def drop_time_columns(df: DataFrame, n: int = 4) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, subset: list[str]) -> DataFrame:
-    return df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in subset]))
+    """One null count over all columns; a filter per column would slow planning down a lot."""
+    return df.dropna(how="any", subset=subset)
 
 
 def cast_label(df: DataFrame, col: str) -> DataFrame:

@@ -18,7 +18,9 @@ STUDY = ["station", "horizon", "model"]
 
 
 def _write(df: DataFrame, keys: list[str], spread: list, fmt: str, path: str, mode: str, **options) -> None:
-    df.repartition(*[F.col(k) for k in keys], *spread).write.mode(mode).partitionBy(*keys).format(fmt).options(
+    # a fixed number of tasks: the files are many even where the rows are few
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(tasks, *[F.col(k) for k in keys], *spread).write.mode(mode).partitionBy(*keys).format(fmt).options(
         **options
     ).save(path)
 

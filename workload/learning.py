@@ -15,8 +15,8 @@ from seafret.operators import folds as fold_ops, forecast, ml, prep, trials as t
 from seafret.schema import STATIONS, TIME_COLUMNS, lag_columns
 from seafret.session import materialize, new_path
 from seafret.sources import tables
-from workload.registry import query
-from workload.standins import Tables
+from workload.registry import cte, query
+from workload.standins import FOLD_OF, Tables
 
 COLS = lag_columns() + TIME_COLUMNS + STATIONS
 LIMITS = {"n_estimators": 3, "depth": 3, "max_depth": 3}
@@ -192,6 +192,16 @@ def _(t):
     return ml.predict_proba(tables.load_model(path), s.rows)
 
 
+@query("load_model")
+def _(t):
+    """Labels of a reloaded model counted per station."""
+    s = study(t)
+    path = new_path(t.spark, "model")
+    tables.save_model(s.model, path)
+    preds = ml.batch_predict(tables.load_model(path), s.rows)
+    return preds.groupBy("station", "label", "pred").agg(F.count("*").alias("n"))
+
+
 @query("reload_parity")
 def _(t):
     s = study(t)
@@ -199,17 +209,57 @@ def _(t):
     return differing.agg(F.count("*").alias("mismatches"))
 
 
-@query("save_scaler")
+COMPLETE = " and ".join(f'"{c}" is not null' for c in [*lag_columns(), f"y_{HORIZON}"])
+cte("rows", f"select *, cast(y_{HORIZON} as integer) as obs from features where {COMPLETE}", "features")
+cte(
+    "row_folds",
+    f"""select *, {FOLD_OF} = fold as in_test from (
+  select station, datetime, obs, year(datetime) * 366 + dayofyear(datetime) as day_group, unnest([1, 2, 3]) as fold from rows)""",
+    "rows",
+    "cal",
+)
+cte(
+    "row_days",
+    """select *, (row_number() over (partition by station, fold order by n_fog desc, day_group) - 1) % 5 = 0 as is_valid from (
+  select station, fold, day_group, sum(obs) as n_fog from row_folds where not in_test group by all)""",
+    "row_folds",
+)
+cte(
+    "row_train",
+    """select fold, rows.* from row_folds join row_days using (station, fold, day_group) join rows using (station, datetime)
+where not in_test and not is_valid and fold in (
+  select fold from row_folds where in_test group by fold having sum(row_folds.obs) > 0)""",
+    "row_folds",
+    "row_days",
+)
+
+
+def scaler_sql(kind: str, cols: list[str]) -> str:
+    names = ", ".join(f"'{c}'" for c in cols)
+    means = ", ".join(f'avg("{c}")' for c in cols)
+    stds = ", ".join(f'stddev_samp("{c}")' for c in cols)
+    return f"""select '{kind}' as kind, fold, unnest([{names}]) as feature, unnest([{means}]) as mean, unnest([{stds}]) as std
+from row_train group by fold"""
+
+
+@query(
+    "save_scaler",
+    f"{scaler_sql('all', lag_columns() + TIME_COLUMNS)} union all {scaler_sql('no_time', lag_columns())}",
+    ["row_train"],
+    ["mean", "std"],
+)
 def _(t):
     """Scaler of each fold with and without the time columns, read back as tables."""
     table = ml.fold_table(study(t).rows, t.periods)
     path = new_path(t.spark, "scaler")
     parts = []
     for name, cols in (("all", lag_columns() + TIME_COLUMNS), ("no_time", lag_columns())):
-        folds = [
-            ml.Fold(k, ml.scaler(cols).fit(table.where((F.col("fold") == k) & (F.col("role") == "train"))), table, table)
-            for k in ml.usable_folds(table)
-        ]
+
+        def fit(k: int, cols: list[str] = cols) -> ml.Fold:
+            train = table.where((F.col("fold") == k) & (F.col("role") == "train"))
+            return ml.Fold(k, ml.scaler(cols).fit(train), table, table)
+
+        folds = ml.in_threads(fit, ml.usable_folds(table))
         ml.save_scaler(folds, f"{path}/{name}")
         for fold in folds:
             scaling = ml.tables.load_model(f"{path}/{name}/cv{fold.number}").stages[1]
