@@ -102,18 +102,23 @@ def recursive_forecast(
     keys: list[str] = KEYS,
     ts: str = TS,
 ) -> DataFrame:
-    """Forecast `horizon` rows after each series by feeding one-step forecasts back in."""
+    """Forecast `horizon` rows after each series by feeding one-step forecasts back in.
+
+    The newest values are found by row number, which is limited before the shuffle.
+    """
     source, value = df, col
     if with_trend:
-        source, value = detrend(df, col, keys, ts), f"{col}_detrended"
+        value = f"{col}_detrended"
+        source = materialize(detrend(df.select(*keys, ts, col), col, keys, ts), "detrended")
     cells = _block_grams(_lag_rows(source, value, window, keys, ts), keys).select(*keys, F.posexplode("gram"))
     total = _packed(cells.groupBy(*keys, "pos").agg(F.sum("col").alias("v")), keys, "v", "gram")
 
-    rows = row_index(source.select(*keys, ts, F.col(value).alias("y")), keys, ts, ROW)
-    sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
-    last = rows.join(sizes, keys).where(F.col(ROW) >= F.col("n") - window)
-    tail = last.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(ROW, "y"))), lambda s: s["y"]).alias("tail"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(ts))
+    last = source.select(*keys, F.col(value).alias("y"), F.row_number().over(newest).alias("back"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "y")))
+    tail = last.where(F.col("back") <= window).groupBy(*keys).agg(F.transform(ordered, lambda r: r["y"]).alias("tail"))
 
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     line = trend_fit(df, col, keys, ts) if with_trend else sizes.withColumns({"slope": F.lit(0.0), "intercept": F.lit(0.0)})
     inputs = total.join(tail, keys).join(line, keys)
     key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seafret.operators import folds as fold_ops, prep, scores, trials as trial_ops, weights
 from seafret.schema import KEYS, TS, YEAR_PERIODS
-from seafret.session import materialize, new_path
+from seafret.session import materialize
 from seafret.sources import tables
 
 LABEL, WEIGHT, FEATURES, VALID = "label", "weight", "features", "is_valid"
@@ -157,14 +157,16 @@ def at_ratio(rows: DataFrame, ratio: float) -> DataFrame:
 
 
 def fold_table(
-    rows: DataFrame, periods: list[tuple[str, str]] = YEAR_PERIODS, keys: list[str] = KEYS, name: str = "folds"
+    rows: DataFrame, periods: list[tuple[str, str]] = YEAR_PERIODS, keys: list[str] = KEYS, name: str = "rows"
 ) -> DataFrame:
-    """Rows once per fold with their role, written below fold and role, so fits prune files."""
-    parts = fold_ops.fold_roles(fold_ops.year_folds(fold_ops.day_group(rows), periods), keys=keys)
-    path = new_path(rows.sparkSession, name)
-    out = parts.select(*rows.columns, "fold", "role")
-    out.repartition("fold", "role", *keys, F.to_date(TS)).write.partitionBy("fold", "role").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    """Rows once per fold with their role.
+
+    Only the rows themselves are written; the copies per fold are made while reading, so a
+    table of n rows is stored once and not once per fold.
+    """
+    written = materialize(rows, name)
+    parts = fold_ops.fold_roles(fold_ops.year_folds(fold_ops.day_group(written), periods), keys=keys)
+    return parts.select(*rows.columns, "fold", "role")
 
 
 @dataclass
