@@ -32,7 +32,7 @@ def series_bounds(df: DataFrame, step: int, keys: list[str] = KEYS, ts: str = TS
 
 
 def regular_grid(df: DataFrame, step: int, keys: list[str] = KEYS, ts: str = TS) -> DataFrame:
-    """Add the missing slots of each series as rows of nulls."""
+    """Add the missing slots of each series as rows of nulls; all rows must lie on the grid."""
     slots = spine(series_bounds(df, step, keys, ts), step, keys, ts)
     return slots.join(df, [*keys, ts], "left")
 

@@ -81,8 +81,8 @@ def tune(plan: Plan) -> None:
     def search(station: str, horizon: int, folds: list[ml.Fold]) -> None:
         past = plan.history(station, horizon)
         for model in plan.models:
-            done = [] if past is None else [r["trial_id"] for r in past.where(F.col("model") == model).select("trial_id").collect()]
-            if len(set(done)) >= plan.n_trials:
+            done = [] if past is None else [r["trial_id"] for r in past.where(F.col("model") == model).select("trial_id").distinct().collect()]
+            if len(done) >= plan.n_trials:
                 continue
             study = plan.spark.createDataFrame([(station, horizon, model)], "station string, horizon int, model string")
             span = (0.001, 0.6) if plan.classes == 3 else None
