@@ -24,6 +24,30 @@ NONE = np.int64(1 << 40)
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: White space by Unicode, as the file's normalizer replaces it.
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+# Ranges of letters and numbers that the regex module knows and the library's pattern does not, and capitals that
+# the library knows and Python does not, with the distance to their small letters.
+UNKNOWN_LETTERS = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191
+191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed
+1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+UNKNOWN_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+FIRST_UNKNOWN = "\u0558"
+NEW_CAPITALS = {
+    "1c89": 1, "a7cb": 0x264 - 0xA7CB, "a7cc": 1, "a7ce": 1, "a7d2": 1, "a7d4": 1, "a7da": 1, "a7dc": 0x19B - 0xA7DC,
+    "10d50-10d65": 0x20, "16ea0-16eb8": 0x1B,
+}
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (r.partition("-") for r in text.split())]
+
+
+def _class(text: str) -> str:
+    """Inner part of a character class."""
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(text))
+
+
+SMALL = {c: c + far for text, far in NEW_CAPITALS.items() for a, b in _ranges(text) for c in range(a, b + 1)}
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
 
@@ -46,6 +70,9 @@ class WordBpe:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
+        for name, known in ((r"\p{L}", UNKNOWN_LETTERS), (r"\p{N}", UNKNOWN_NUMBERS)):
+            pattern = pattern.replace(name, f"[{name}--[{_class(known)}]]")
+        self.exact = regex.compile(pattern, regex.V1)
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)))
         letters = _byte_letters()
         # symbols of a byte inside a word and at its end
@@ -74,6 +101,8 @@ class WordBpe:
         occurrences from left to right; words without a pair left drop out.
         """
         out: list[bytes] = [b""] * len(words)
+        if not words:
+            return out
         n = np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(words), np.uint8)
         sym = self.inner[flat]
@@ -117,7 +146,10 @@ class WordBpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of chunks, which are texts without white space."""
-        pieces = {c: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(normal(c))] for c in chunks}
+        pieces = {}
+        for c in chunks:
+            found = self.pattern if c.isascii() or max(c) < FIRST_UNKNOWN else self.exact
+            pieces[c] = [p.encode("utf-8", "surrogatepass") for p in found.findall(normal(c))]
         words = list({w for ps in pieces.values() for w in ps})
         ids = dict(zip(words, self.merge(words)))
         for c, ps in pieces.items():
@@ -167,7 +199,7 @@ def normal(text: str) -> str:
     """Composed and lower-cased letter by letter (no special final sigma)."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(SMALL)
 
 
 _models: dict[str, WordBpe] = {}

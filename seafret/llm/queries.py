@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from seafret.llm import bpe, decontaminate, exact_dedup, langid, simhash
+from seafret.llm import bpe, decontaminate, exact_dedup, html_text, langid, licenses, line_dedup, simhash, toxicity, unigram_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,11 +38,44 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths of their own: a source is taken for a repository, a language for a directory in it."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
+@query("op4_unigram_token_counts")
+def unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op6_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op7_line_dedup",
+    """
+    WITH l AS (
+        SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
+    ), b AS (SELECT line FROM l WHERE line <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 5)
+    SELECT d.doc_id,
+           CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (b.line IS NULL), '') END AS text,
+           count(l.at) AS n_lines, count(b.line) AS n_removed
+    FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN b USING (line) GROUP BY d.doc_id, d.text
+    """,
+)
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_exact_dedup",
     r"""
@@ -55,6 +88,11 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op9_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -48,6 +48,7 @@ TWO = (Block(0, 32, 31, 2), Block(32, 32, 31, 1))
 LARGE = 1 << 24
 #: Homes and copies of one anchor that one task compares at once, at most; larger anchors are cut.
 ANCHOR_ROWS = 1 << 15
+LARGE_ANCHORS = 1_000_000
 PAIRS = 1 << 21
 
 
@@ -219,8 +220,8 @@ def links(fps: DataFrame, blocks: tuple[Block, ...], max_bits: int = MAX_BITS) -
     spread = fps.select("fp").mapInArrow(_spread(blocks), "anchor long, home boolean, fp long")
     counts = spread.groupBy("anchor", "home").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # no more than 2000 anchors are larger than this; they are cut into cells of bounded size
-    large = counts.filter(F.col("n") > max(ANCHOR_ROWS, total // 2000))
+    # a table of no more than two million rows of 16 bytes; these anchors are cut into cells of bounded size
+    large = counts.filter(F.col("n") > max(ANCHOR_ROWS, total // LARGE_ANCHORS))
     parts = large.groupBy("anchor").agg(
         F.ceil(F.coalesce(F.max(F.when(F.col("home"), F.col("n"))), F.lit(1)) / ANCHOR_ROWS).cast("int").alias("hn"),
         F.ceil(F.coalesce(F.max(F.when(~F.col("home"), F.col("n"))), F.lit(1)) / ANCHOR_ROWS).cast("int").alias("cn"),
