@@ -67,7 +67,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
     ), b AS (SELECT line FROM l WHERE line <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 5)
     SELECT d.doc_id,
-           CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (b.line IS NULL), '') END AS text,
+           CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE b.line IS NULL), '') END AS text,
            count(l.at) AS n_lines, count(b.line) AS n_removed
     FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN b USING (line) GROUP BY d.doc_id, d.text
     """,
