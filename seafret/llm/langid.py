@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from seafret.llm.common import written
+
 #: Bytes of a window, filter widths, filters of each width.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -163,16 +165,20 @@ def fit(docs: DataFrame) -> ByteCnn:
     The network is fitted on the driver on a bounded sample: at most FIT_PER_LANG texts of each language, FIT_TEXTS in all,
     those with the smallest hash of their id, FIT_WINDOWS windows of each, cut on the executors.
     """
-    from pyspark.sql import Window
-
-    known = docs.filter(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r[0] for r in known.select("lang").distinct().limit(FIT_TEXTS).collect())
+    known = docs.select("doc_id", "lang", "text").filter(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(FIT_TEXTS), "languages")
+    langs = counts.count()
     if not langs:
         return ByteCnn([])
-    each = max(1, min(FIT_PER_LANG, FIT_TEXTS // len(langs)))
+    each = max(1, min(FIT_PER_LANG, FIT_TEXTS // langs))
+    # a share by hash first, so that no language meets whole in one task; then the exact bound
+    share = F.least(F.lit(1.0), F.lit(1.5 * each + 50) / F.col("n"))
+    shares = F.broadcast(counts.select(F.col("lang").alias("__lang"), share.alias("__share")))
     mark = F.xxhash64(F.col("doc_id").cast("string"))
-    by_lang = Window.partitionBy("lang").orderBy("mark", "doc_id")
-    ids = known.select("doc_id", "lang", mark.alias("mark")).withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= each)
+    few = known.select("doc_id", "lang", mark.alias("mark")).join(shares, F.col("lang") == F.col("__lang"))
+    few = few.filter(F.pmod("mark", F.lit(1 << 30)) < F.col("__share") * (1 << 30))
+    by_lang = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "doc_id")
+    ids = few.withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= each)
     chosen = F.broadcast(ids.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__in")).distinct())
     sample = known.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "lang", "text")
 
