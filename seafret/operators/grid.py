@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seafret.functions.columns import slot, slot_time
+from seafret.functions.columns import floor_div, slot, slot_time
 from seafret.operators.timeline import CHUNK_SECONDS, by_rows
 from seafret.schema import KEYS, TS
 
@@ -17,7 +17,7 @@ def spine(bounds: DataFrame, step: int, keys: list[str] = KEYS, ts: str = TS) ->
     Slots are made in two stages, so that no row has to hold a whole series and the
     second stage is spread over the cluster.
     """
-    block = F.explode(F.sequence((F.col("first") / SPINE_SLOTS).cast("long"), (F.col("last") / SPINE_SLOTS).cast("long")))
+    block = F.explode(F.sequence(floor_div(F.col("first"), SPINE_SLOTS), floor_div(F.col("last"), SPINE_SLOTS)))
     blocks = bounds.withColumn("_block", block).repartition(*keys, "_block")
     low = F.greatest(F.col("first"), F.col("_block") * SPINE_SLOTS)
     high = F.least(F.col("last"), F.col("_block") * SPINE_SLOTS + SPINE_SLOTS - 1)
@@ -67,11 +67,9 @@ def coverage_counts(
 
 
 def time_steps(df: DataFrame, keys: list[str] = KEYS, ts: str = TS) -> DataFrame:
-    from pyspark.sql.functions import lag
-
     return by_rows(
         df.select(*keys, ts),
-        lambda w: {"step_seconds": F.unix_seconds(ts) - F.unix_seconds(lag(ts, 1).over(w))},
+        lambda w: {"step_seconds": F.unix_seconds(ts) - F.unix_seconds(F.lag(ts, 1).over(w))},
         before=1,
         keys=keys,
         ts=ts,

@@ -1,33 +1,39 @@
 """Fitting, tuning, refitting and scoring of tree classifiers with Spark ML.
 
-A study is one label over one table (a station, or all of them). The table is cut into
-folds, scaled and written once per study; every trial then only fits its classifier.
+A study is one label over one table (a station, or all of them). The rows are written once per
+place, unscaled; folds are roles joined to them, and the scaler of a fold is a stage in front of
+every fit. Learners see training rows only: validation rows decide when to stop, never a split.
 Fits are Spark jobs and are submitted by a small thread pool.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seafret.operators import folds as fold_ops, prep, scores, trials as trial_ops, weights
 from seafret.schema import KEYS, TS, YEAR_PERIODS
-from seafret.session import materialize
+from seafret.session import in_threads, materialize
 from seafret.sources import tables
 
 LABEL, WEIGHT, FEATURES, VALID = "label", "weight", "features", "is_valid"
 
-# Our own defaults where the learners of the trial tables have no counterpart setting.
+# Most rounds (or trees) of a fit, and rounds without a gain after which boosting stops.
 ROUNDS = 1000
-MAX_DEPTH = 30
+PATIENCE = 10
+
+# Ours: deepest tree Spark may be asked for. Leaf-limited learners stay far below it.
+MAX_DEPTH = 12
+
+LEAVES = ("num_leaves", "max_leaves")
+DEPTHS = ("depth", "max_depth")
 
 # Names used by the tuned learners and the Spark ML parameters that mean the same.
 COMMON = {
@@ -56,16 +62,32 @@ DEFAULT_PARAMS = {
 # ---- learners ------------------------------------------------------------------------
 
 
+class NoUsableFold(ValueError):
+    """No fold has fog to test and two classes to train on."""
+
+
+def effective_params(params: dict) -> dict:
+    """Parameters as Spark fits them: a limit of L leaves becomes the depth at which a tree has L leaves.
+
+    The result is stored with a trial, beside what was drawn.
+    """
+    out = {k: v for k, v in params.items() if k not in LEAVES and v is not None}
+    leaves = [int(params[k]) for k in LEAVES if params.get(k)]
+    for name in DEPTHS:
+        if name in out:
+            limits = [int(out[name]), MAX_DEPTH, *[max(1, math.ceil(math.log2(n))) for n in leaves if n > 0]]
+            out[name] = min(limits)
+    return out
+
+
 def spark_params(params: dict, names: dict[str, str]) -> dict:
     """Translate known parameters; those without a counterpart are left out."""
     out = {}
-    for name, value in params.items():
+    for name, value in effective_params(params).items():
         target = names.get(name)
-        if target is None or value is None:
+        if target is None:
             continue
-        if target == "maxDepth":
-            value = min(int(value), MAX_DEPTH)
-        elif target in ("minInstancesPerNode", "seed", "maxIter", "numTrees"):
+        if target in ("maxDepth", "minInstancesPerNode", "seed", "maxIter", "numTrees"):
             value = int(value)
         elif target == "featureSubsetStrategy":
             value = str(value)
@@ -96,12 +118,67 @@ def learner(model: str, params: dict, classes: int = 2) -> Estimator:
 
 
 def early_stopping(clf: Estimator, col: str = VALID, tol: float = 1e-4) -> Estimator:
-    """Stop boosting when the rows flagged in `col` gain no more; forests are left as they are."""
+    """Stop boosting at the first round in which the rows flagged in `col` gain no more; forests are left as they are."""
+    if isinstance(clf, OneVsRest):
+        return clf.copy().setClassifier(early_stopping(clf.getClassifier(), col, tol))
     if isinstance(clf, GBTClassifier):
         return clf.copy({clf.validationIndicatorCol: col, clf.validationTol: tol})
     return clf
 
 
+def best_round(losses: list[float], patience: int) -> int:
+    """Number of rounds up to the best one, seen by stopping after `patience` rounds without a gain."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit_patient(clf: GBTClassifier, train: DataFrame, valid: DataFrame, patience: int = PATIENCE) -> Model:
+    """Boost on the training rows and keep the rounds up to the best one by the validation rows.
+
+    Rounds do not depend on later ones, so the shorter model is the beginning of the longer one.
+    """
+    clf = clf.copy()
+    clf.clear(clf.validationIndicatorCol)
+    model = clf.fit(train)
+    if valid.isEmpty():
+        return model
+    rounds = best_round(model.evaluateEachIteration(valid), patience)
+    return model if rounds == clf.getMaxIter() else clf.copy({clf.maxIter: rounds}).fit(train)
+
+
+def fit_one_vs_rest(clf: OneVsRest, rows: DataFrame, fit: Callable[[Estimator, DataFrame], Model], classes: int) -> OneVsRestModel:
+    """One binary model per class, each fitted like any binary learner, joined to one model."""
+    label = clf.getLabelCol()
+
+    def one(c: int) -> Model:
+        return fit(clf.getClassifier(), rows.withColumn(label, (F.col(label) == c).cast("double")))
+
+    model = OneVsRestModel(in_threads(one, range(classes)))
+    model.set(model.classifier, clf.getClassifier())  # needed to save it
+    return model.setFeaturesCol(clf.getFeaturesCol()).setPredictionCol(clf.getPredictionCol()).setRawPredictionCol(clf.getRawPredictionCol())
+
+
+def fit_classifier(clf: Estimator, rows: DataFrame, patience: int | None = None, classes: int = 2) -> Model:
+    """Fit on the rows that are not flagged for validation.
+
+    Boosted learners that stop early get the flagged rows only to decide when; all others never see them.
+    """
+    if isinstance(clf, OneVsRest):
+        return fit_one_vs_rest(clf, rows, lambda c, r: fit_classifier(c, r, patience), classes)
+    train = rows.where(~F.col(VALID))
+    if isinstance(clf, GBTClassifier):
+        if patience:
+            return fit_patient(clf, train, rows.where(VALID), patience)
+        if clf.isSet(clf.validationIndicatorCol):
+            return clf.fit(rows)
+    return clf.fit(train)
+
+
 def fit_retry(fit: Callable[[], Model], n: int = 2, fallback: Callable[[], Model] | None = None) -> tuple[Model, str]:
     """Try a fit up to n times, then the fallback; also tells which one worked."""
     error: Exception | None = None
@@ -120,20 +197,16 @@ def scaler(cols: list[str]) -> Pipeline:
     return Pipeline(stages=[assembler, StandardScaler(inputCol="raw_features", outputCol=FEATURES, withMean=True)])
 
 
-def fit_pipeline(train: DataFrame, cols: list[str], clf: Estimator, valid: DataFrame | None = None) -> PipelineModel:
-    """Scale by the training rows, then fit; validation rows are scaled the same way."""
+def fit_pipeline(
+    train: DataFrame, cols: list[str], clf: Estimator, valid: DataFrame | None = None, classes: int = 2
+) -> PipelineModel:
+    """Scale by the training rows, then fit; validation rows are scaled the same way and only stop boosting."""
     scaling = scaler(cols).fit(train)
     rows = scaling.transform(train.withColumn(VALID, F.lit(False)))
     if valid is not None:
         clf = early_stopping(clf)
         rows = rows.unionByName(scaling.transform(valid.withColumn(VALID, F.lit(True))))
-    return PipelineModel([*scaling.stages, clf.fit(rows)])
-
-
-def in_threads(work: Callable, items: Iterable, parallelism: int = 4) -> list:
-    """Submit jobs of independent items side by side."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(work), list(items))
+    return PipelineModel([*scaling.stages, fit_classifier(clf, rows, classes=classes)])
 
 
 # ---- tables --------------------------------------------------------------------------
@@ -157,21 +230,26 @@ def at_ratio(rows: DataFrame, ratio: float) -> DataFrame:
 
 
 def fold_table(
-    rows: DataFrame, periods: list[tuple[str, str]] = YEAR_PERIODS, keys: list[str] = KEYS, name: str = "rows"
+    rows: DataFrame,
+    periods: list[tuple[str, str]] = YEAR_PERIODS,
+    keys: list[str] = KEYS,
+    name: str = "rows",
+    path: str | None = None,
 ) -> DataFrame:
     """Rows once per fold with their role.
 
     Only the rows themselves are written; the copies per fold are made while reading, so a
-    table of n rows is stored once and not once per fold.
+    table of n rows is stored once and not once per fold. With `path` the caller owns the
+    written rows and can discard them when its fits are done.
     """
-    written = materialize(rows, name)
+    written = materialize(rows, name, path)
     parts = fold_ops.fold_roles(fold_ops.year_folds(fold_ops.day_group(written), periods), keys=keys)
     return parts.select(*rows.columns, "fold", "role")
 
 
 @dataclass
 class Fold:
-    """One fold ready to fit: scaled rows with the validation flag, scaled test rows."""
+    """One fold ready to fit: rows scaled as they are read, with the validation flag, and test rows."""
 
     number: int
     scaling: PipelineModel
@@ -189,16 +267,16 @@ def usable_folds(table: DataFrame, positive: int = 1) -> list[int]:
 
 
 def prepare_folds(table: DataFrame, cols: list[str], folds: list[int] | None = None, positive: int = 1) -> list[Fold]:
-    """Fit the scaler of each fold once and keep the scaled vectors, whatever is tuned later."""
+    """Fit the scaler of each fold once, whatever is tuned later; no fold is written."""
     numbers = usable_folds(table, positive) if folds is None else folds
     if not numbers:
-        raise ValueError("no fold has fog rows to test and two classes to train on")
+        raise NoUsableFold("no fold has fog rows to test and two classes to train on")
 
     def prepare(number: int) -> Fold:
         part = table.where(F.col("fold") == number)
         scaling = scaler(cols).fit(part.where("role = 'train'"))
         keep = [c for c in table.columns if c not in cols]
-        scaled = materialize(scaling.transform(part).select(*keep, FEATURES), f"fold{number}")
+        scaled = scaling.transform(part).select(*keep, FEATURES)
         train = scaled.where("role != 'test'").withColumn(VALID, F.col("role") == "valid")
         return Fold(number, scaling, train, scaled.where("role = 'test'"))
 
@@ -212,23 +290,38 @@ def _labelled(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("pred", F.col("prediction").cast("int"))
 
 
+@dataclass
+class Fit:
+    """A fitted fold and how the fit came about."""
+
+    fold: Fold
+    model: Model
+    status: str
+
+
 def cv_fit(
-    folds: list[Fold], make_clf: Callable[[], Estimator], ratio: float = 1.0
-) -> list[tuple[Fold, Model]]:
-    """A new model per fold; the folds are fitted side by side."""
+    folds: list[Fold], make_clf: Callable[[], Estimator], ratio: float = 1.0, classes: int = 2, patience: int | None = None
+) -> list[Fit]:
+    """A new model per fold; the folds are fitted side by side.
 
-    def fit(fold: Fold) -> tuple[Fold, Model]:
+    If a learner fails with early stopping it is fitted without; `status` says so.
+    """
+
+    def fit(fold: Fold) -> Fit:
         train, clf = at_ratio(fold.train, ratio), make_clf()
-        model, _ = fit_retry(lambda: early_stopping(clf).fit(train), fallback=lambda: clf.fit(train))
-        return fold, model
+        model, status = fit_retry(
+            lambda: fit_classifier(early_stopping(clf), train, patience, classes),
+            fallback=lambda: fit_classifier(clf, train, None, classes),
+        )
+        return Fit(fold, model, status)
 
     return in_threads(fit, folds)
 
 
-def cv_predict(fitted: list[tuple[Fold, Model]], keep: list[str] = [*KEYS, TS]) -> DataFrame:
+def cv_predict(fitted: list[Fit], keep: list[str] = [*KEYS, TS]) -> DataFrame:
     parts = [
-        _labelled(model, fold.test).select(*keep, F.lit(fold.number).alias("fold"), F.col(LABEL).alias("obs"), "pred")
-        for fold, model in fitted
+        _labelled(f.model, f.fold.test).select(*keep, F.lit(f.fold.number).alias("fold"), F.col(LABEL).alias("obs"), "pred")
+        for f in fitted
     ]
     return prep.union_stations(parts)
 
@@ -238,13 +331,14 @@ def cv_evaluate(
     make_clf: Callable[[], Estimator],
     ratio: float = 1.0,
     classes: int = 2,
+    patience: int | None = None,
 ) -> DataFrame:
     """Fit and predict every fold; scores per fold."""
-    preds = cv_predict(cv_fit(folds, make_clf, ratio))
+    preds = cv_predict(cv_fit(folds, make_clf, ratio, classes, patience))
     return scores.score_table(preds, ["fold"], list(range(classes)))
 
 
-TRIAL_SCHEMA = "station string, horizon int, model string, trial_id long, value double, ACC double, PAG double, POD double, params map<string,string>"
+TRIAL_SCHEMA = "station string, horizon int, model string, trial_id long, value double, ACC double, PAG double, POD double, params map<string,string>, effective map<string,string>, status string"
 
 
 def draws_of(space: DataFrame) -> list[dict]:
@@ -266,30 +360,40 @@ def param_search(
     folds: list[Fold],
     study: tuple[str, int, str],
     space: DataFrame,
-    limits: dict | None = None,
+    rounds: int | None = None,
     done: Iterable[int] = (),
     classes: int = 2,
     parallelism: int = 4,
+    sink: Callable[[DataFrame], None] | None = None,
+    patience: int | None = None,
 ) -> DataFrame:
     """Fit and score every draw of a study, as rows of the trial table.
 
-    Draws in `done` are skipped. `limits` override parameters of all trials, such as the
-    number of rounds.
+    Draws in `done` are skipped. `rounds` is the number of rounds or trees where a draw does not give one; drawn
+    parameters are never overridden. `sink` gets the finished trials `parallelism` at a time, so a run that stops loses no more.
     """
     station, horizon, model = study
     spark = folds[0].test.sparkSession
     skip = set(done)
 
     def run(trial: dict) -> tuple:
-        params = {k: _number(v) for k, v in trial["params"].items()}
-        made = cv_evaluate(
-            folds, lambda: learner(model, params | (limits or {}), classes), params.get("pos_label_ratio", 1.0), classes
-        )
-        row = made.agg(*[F.avg(m).alias(m) for m in ("ACC", "PAG", "POD", "F1")]).first()
-        return (station, horizon, model, int(trial["draw"]), row["F1"], row["ACC"], row["PAG"], row["POD"], trial["params"])
+        drawn = {k: _number(v) for k, v in trial["params"].items()}
+        params = base_params(rounds) | drawn
+        fits = cv_fit(folds, lambda: learner(model, params, classes), drawn.get("pos_label_ratio", 1.0), classes, patience)
+        table = scores.score_table(cv_predict(fits), ["fold"], list(range(classes)))
+        row = table.agg(*[F.avg(m).alias(m) for m in ("ACC", "PAG", "POD", "F1")]).first()
+        used = {k: str(v) for k, v in effective_params(DEFAULT_PARAMS[model] | params).items()}
+        status = ", ".join(f"fold {f.fold.number}: {f.status}" for f in fits)
+        return (station, horizon, model, int(trial["draw"]), row["F1"], row["ACC"], row["PAG"], row["POD"], trial["params"], used, status)
 
     todo = [d for d in draws_of(space) if d["draw"] not in skip]
-    return spark.createDataFrame(in_threads(run, todo, parallelism), TRIAL_SCHEMA)
+    rows: list[tuple] = []
+    for i in range(0, len(todo), parallelism):
+        found = in_threads(run, todo[i : i + parallelism], parallelism)
+        if sink:
+            sink(spark.createDataFrame(found, TRIAL_SCHEMA))
+        rows += found
+    return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
 # ---- refits --------------------------------------------------------------------------
@@ -306,54 +410,83 @@ def tuned_params(trials: DataFrame) -> dict[str, dict]:
     return out
 
 
-def refit(folds: list[Fold], model: str, params: dict, limits: dict | None = None, classes: int = 2):
-    """Fitted folds of a model with tuned parameters and tuned weight ratio."""
-    return cv_fit(folds, lambda: learner(model, params | (limits or {}), classes), params["pos_label_ratio"])
+def base_params(rounds: int | None) -> dict:
+    return {} if rounds is None else {"n_estimators": rounds}
+
+
+def static_fold(fold: Fold, weight: float) -> Fold:
+    """The fold with class 0 weighted 1 / weight and every other row 1, whatever was tuned."""
+    return Fold(fold.number, fold.scaling, weights.sample_weight_static(fold.train, weight, LABEL), fold.test)
+
+
+def refit(
+    folds: list[Fold],
+    model: str,
+    params: dict,
+    rounds: int | None = None,
+    classes: int = 2,
+    patience: int | None = None,
+    static: bool = False,
+) -> list[Fit]:
+    """Fitted folds of a model with tuned parameters and tuned weight ratio (or the weights the folds have)."""
+    ratio = 1.0 if static else params["pos_label_ratio"]
+    return cv_fit(folds, lambda: learner(model, base_params(rounds) | params, classes), ratio, classes, patience)
 
 
 def refit_models(
-    folds: list[Fold], trials: DataFrame, k: int, limits: dict | None = None, classes: int = 2
-) -> dict[str, list[tuple[Fold, Model]]]:
+    folds: list[Fold],
+    trials: DataFrame,
+    k: int,
+    rounds: int | None = None,
+    classes: int = 2,
+    patience: int | None = None,
+    static: bool = False,
+) -> dict[str, list[Fit]]:
     """Refit the k best models of the place, best first."""
     ranked = [r["model"] for r in trial_ops.topk_models(trials, k).orderBy("rank").collect()]
     params = tuned_params(trials)
-    return {m: refit(folds, m, params[m], limits, classes) for m in ranked}
+    return {m: refit(folds, m, params[m], rounds, classes, patience, static) for m in ranked}
 
 
-def model_predictions(fits: dict[str, list[tuple[Fold, Model]]], horizon: int) -> DataFrame:
+def model_predictions(fits: dict[str, list[Fit]], horizon: int) -> DataFrame:
     parts = [cv_predict(f).withColumns({"horizon": F.lit(horizon), "model": F.lit(m)}) for m, f in fits.items()]
     return prep.union_stations(parts)
 
 
-def refit_scores(fits: dict[str, list[tuple[Fold, Model]]], place: str, horizon: int, classes: int = 2) -> DataFrame:
-    """Percent scores of refitted models, averaged over folds."""
+def refit_folds(fits: dict[str, list[Fit]], place: str, horizon: int, classes: int = 2) -> DataFrame:
+    """Scores of refitted models by fold."""
     preds = model_predictions(fits, horizon).withColumn("station", F.lit(place))
-    folds = scores.score_table(preds, labels=list(range(classes)))
-    return scores.fold_macro_mean(folds, percent=True)
+    return scores.score_table(preds, labels=list(range(classes)))
+
+
+def refit_scores(fits: dict[str, list[Fit]], place: str, horizon: int, classes: int = 2) -> DataFrame:
+    """Percent scores of refitted models, averaged over folds."""
+    return scores.fold_macro_mean(refit_folds(fits, place, horizon, classes), percent=True)
 
 
-def refit_best(folds: list[Fold], trials: DataFrame, place: str, horizon: int, limits: dict | None = None) -> DataFrame:
-    return refit_scores(refit_models(folds, trials, 1, limits), place, horizon)
+def refit_best(folds: list[Fold], trials: DataFrame, place: str, horizon: int, rounds: int | None = None, classes: int = 2) -> DataFrame:
+    return refit_scores(refit_models(folds, trials, 1, rounds, classes), place, horizon, classes)
 
 
-def refit_top2(folds: list[Fold], trials: DataFrame, place: str, horizon: int, limits: dict | None = None) -> DataFrame:
+def refit_top2(folds: list[Fold], trials: DataFrame, place: str, horizon: int, rounds: int | None = None, classes: int = 2) -> DataFrame:
     """Refit the best two and keep the one that scores better now."""
-    return trial_ops.best_of_refit(refit_scores(refit_models(folds, trials, 2, limits), place, horizon))
+    return trial_ops.best_of_refit(refit_scores(refit_models(folds, trials, 2, rounds, classes), place, horizon, classes))
 
 
-def ensemble_refit(folds: list[Fold], trials: DataFrame, horizon: int, limits: dict | None = None) -> DataFrame:
+def ensemble_refit(folds: list[Fold], trials: DataFrame, horizon: int, rounds: int | None = None, classes: int = 2) -> DataFrame:
     """Refit all models and score their vote per station."""
-    return scores.ensemble_scores(model_predictions(refit_models(folds, trials, 4, limits), horizon))
+    preds = model_predictions(refit_models(folds, trials, 4, rounds, classes), horizon)
+    return scores.ensemble_scores(preds, classes=classes)
 
 
 def export_topk_predictions(
-    folds: list[Fold], trials: DataFrame, k: int, horizon: int, path: str, limits: dict | None = None
+    folds: list[Fold], trials: DataFrame, k: int, horizon: int, path: str, rounds: int | None = None, classes: int = 2
 ) -> DataFrame:
     """Refit the k best models; write models, predictions and the chosen names, return the latter."""
-    fits = refit_models(folds, trials, k, limits)
+    fits = refit_models(folds, trials, k, rounds, classes)
     for name, fitted in fits.items():
-        for fold, model in fitted:
-            tables.save_model(PipelineModel([*fold.scaling.stages, model]), f"{path}/models/{name}_{horizon}_cv{fold.number}")
+        for f in fitted:
+            tables.save_model(PipelineModel([*f.fold.scaling.stages, f.model]), f"{path}/models/{name}_{horizon}_cv{f.fold.number}")
     tables.write_predictions(model_predictions(fits, horizon), f"{path}/predictions")
     chosen = trial_ops.join_model_names(trial_ops.topk_models(trials, k))
     tables.write_summary(chosen, f"{path}/chosen")
@@ -367,7 +500,7 @@ def holdout_test(
     """Fit on everything before `start`, score after it, per `keys`."""
     make = weights.sample_weight_binary if classes == 2 else weights.sample_weight_3class
     train = make(prep.holdout_split(rows, start, "refit"), ratio, LABEL, weight_keys)
-    model = fit_pipeline(train, cols, clf)
+    model = fit_pipeline(train, cols, clf, classes=classes)
     preds = batch_predict(model, prep.holdout_split(rows, start, "test"))
     return model, scores.score_table(preds.withColumn("obs", F.col(LABEL)), keys, list(range(classes)))
 
@@ -377,18 +510,32 @@ def batch_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def predict_proba(model: PipelineModel, df: DataFrame, keep: list[str] = [*KEYS, TS]) -> DataFrame:
-    p = vector_to_array("probability")
+    """pred and one probability per class, p0, p1, ...
+
+    Models fitted one class against the rest give each class a margin; its logistic values are scaled to add up to 1.
+    """
+    last = model.stages[-1]
     out = _labelled(model, df)
-    return out.select(*keep, "pred", p[0].alias("p0"), p[1].alias("p1"))
+    if isinstance(last, OneVsRestModel):
+        classes = len(last.models)
+        share = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        total = F.aggregate("_share", F.lit(0.0), lambda a, x: a + x)
+        out = out.withColumn("_share", share).withColumn("_p", F.transform("_share", lambda x: x / total))
+    else:
+        classes = last.numClasses
+        out = out.withColumn("_p", vector_to_array("probability"))
+    return out.select(*keep, "pred", *[F.col("_p")[c].alias(f"p{c}") for c in range(classes)])
 
 
 def feature_importance(model: Model, cols: list[str] | None = None) -> DataFrame:
-    """Importance of each input column, one row per column, from the fitted trees."""
+    """Importance of each input column, one row per column, from the fitted trees; averaged over one-vs-rest models."""
     stages = model.stages if isinstance(model, PipelineModel) else [model]
     if cols is None:
         cols = next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols()
-    values = [float(v) for v in stages[-1].featureImportances.toArray()]
-    return SparkSession.getActiveSession().createDataFrame(list(zip(cols, values)), "feature string, importance double")
+    fitted = stages[-1].models if isinstance(stages[-1], OneVsRestModel) else [stages[-1]]
+    each = [m.featureImportances.toArray() for m in fitted]
+    values = [float(sum(v) / len(each)) for v in zip(*each)]
+    return SparkSession.builder.getOrCreate().createDataFrame(list(zip(cols, values)), "feature string, importance double")
 
 
 def reload_parity(model: PipelineModel, df: DataFrame, path: str, keep: list[str] = [*KEYS, TS]) -> DataFrame:

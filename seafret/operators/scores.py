@@ -146,9 +146,10 @@ def degenerate_fold_guard(df: DataFrame, keys: list[str] = FOLD_KEYS) -> DataFra
 
 
 def scored_folds(df: DataFrame, keys: list[str] = FOLD_KEYS, labels: list[int] = (0, 1)) -> DataFrame:
-    """Scores of the folds that observed fog."""
+    """Scores of the folds that observed fog, the highest label."""
     counts = _Counts(list(labels))
-    seen = counts.tp(1) + counts.fn(1) > 0
+    fog = max(labels)
+    seen = counts.tp(fog) + counts.fn(fog) > 0
     return cells(df, keys, list(labels)).where(seen).select(*keys, *[e.alias(n) for n, e in counts.columns().items()])
 
 
@@ -160,17 +161,25 @@ def fold_macro_mean(scores: DataFrame, keys: list[str] = STUDY_KEYS, percent: bo
     return scores.groupBy(*keys).agg(*[e.alias(m) for m, e in mean.items()])
 
 
-def vote_ensemble(preds: DataFrame, threshold: float = 0.5, ts: str = TS) -> DataFrame:
-    """Share of models voting fog against the threshold; a tie is fog."""
+def vote_ensemble(preds: DataFrame, threshold: float = 0.5, ts: str = TS, classes: int = 2) -> DataFrame:
+    """Share of models voting fog against the threshold; a tie is fog.
+
+    With more classes the label most models give, the higher one on a tie.
+    """
+    if classes > 2:
+        votes = F.array_max(F.array(*[F.struct(F.count_if(F.col("pred") == c).alias("n"), F.lit(c).alias("c")) for c in range(classes)]))
+        return preds.groupBy("station", "horizon", "fold", ts).agg(
+            F.first("obs", ignorenulls=True).alias("obs"), F.when(F.count("pred") > 0, votes["c"]).alias("pred")
+        )
     return preds.groupBy("station", "horizon", "fold", ts).agg(
         F.first("obs", ignorenulls=True).alias("obs"), (F.avg("pred") >= threshold).cast("int").alias("pred")
     )
 
 
-def ensemble_scores(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
+def ensemble_scores(preds: DataFrame, threshold: float = 0.5, classes: int = 2) -> DataFrame:
     """Votes scored per fold with two decimals, then averaged over folds."""
-    votes = label_rows(vote_ensemble(preds, threshold))
-    folds = scored_folds(votes, ["station", "horizon", "fold"])
+    votes = label_rows(vote_ensemble(preds, threshold, classes=classes))
+    folds = scored_folds(votes, ["station", "horizon", "fold"], list(range(classes)))
     rounded = folds.withColumns({m: half_even(F.col(m), 2) for m in ("ACC", "PAG", "POD", "F1")})
     return fold_macro_mean(rounded, ["station", "horizon"])
 

@@ -129,15 +129,21 @@ def lag_features(
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Each column at lags 0..max_lag, replacing the columns themselves."""
+    out = by_rows(df, lambda w: _packs(cols, max_lag, w), before=max_lag, keys=keys, ts=ts, step=step, size=size)
+    return _unpacked(out, cols, max_lag)
 
-    def build(w):
-        return {
-            lag_name(c, k): F.lag(F.col(f"`{c}`"), k).over(w) if k else F.col(f"`{c}`")
-            for k in range(max_lag + 1)
-            for c in cols
-        }
 
-    return by_rows(df, build, before=max_lag, keys=keys, ts=ts, step=step, size=size).drop(*cols)
+def _packs(cols: list[str], max_lag: int, w) -> dict[str, Column]:
+    """The columns as one struct at each lag: one window expression per lag, not per lag and column."""
+    pack = F.struct(*[F.col(f"`{c}`") for c in cols])
+    return {f"_lag{k}": F.lag(pack, k).over(w) for k in range(1, max_lag + 1)}
+
+
+def _unpacked(df: DataFrame, cols: list[str], max_lag: int) -> DataFrame:
+    packs = [f"_lag{k}" for k in range(1, max_lag + 1)]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in cols and c not in packs]
+    lags = [(F.col(f"_lag{k}").getField(c) if k else F.col(f"`{c}`")).alias(lag_name(c, k)) for k in range(max_lag + 1) for c in cols]
+    return df.select(*rest, *lags)
 
 
 def lead_targets(
@@ -186,14 +192,10 @@ def lags_and_leads(
         out = {
             f"{p}_{h}": F.lead(label, h * rows_per_hour).over(w) for label, p in labels.items() for h in hours
         }
-        for k in range(max_lag + 1):
-            for c in cols:
-                out[lag_name(c, k)] = F.lag(F.col(f"`{c}`"), k).over(w) if k else F.col(f"`{c}`")
-        return out
+        return out | _packs(cols, max_lag, w)
 
-    return by_rows(
-        df, build, before=max_lag, after=max(hours) * rows_per_hour, keys=keys, ts=ts, step=step, size=size
-    ).drop(*cols)
+    wide = by_rows(df, build, before=max_lag, after=max(hours) * rows_per_hour, keys=keys, ts=ts, step=step, size=size)
+    return _unpacked(wide, cols, max_lag)
 
 
 def interpolate_limit(

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -45,12 +48,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seafret/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write once to the shared folder and continue from the written table.
 
     Iterative jobs (many fits over one table) then neither recompute the whole
     feature plan nor lose it with an executor, and later scans still prune columns.
     """
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Empty a folder that `materialize` wrote: its files go, what was read from it can be read no more."""
+    spark.createDataFrame([], "discarded boolean").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def in_threads(work: Callable, items: Iterable, parallelism: int = 4) -> list:
+    """Submit jobs of independent items side by side."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(work), list(items))

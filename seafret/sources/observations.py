@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seafret.functions.columns import slot
 from seafret.schema import OBS_SCHEMA, RAW_HEADERS, TS
+from seafret.session import in_threads
 
 UTF8 = "UTF-8"
 KOREAN = "EUC-KR"
@@ -22,13 +24,38 @@ def _allow_charset(spark: SparkSession, encoding: str) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def read_obs(spark: SparkSession, path: str | list[str], encoding: str = UTF8) -> DataFrame:
-    """Observation CSV by header name, with declared types; empty and bad cells are null."""
+def _raw_cells(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """Cells of all files as text, by header name whatever the order of a file's columns.
+
+    The header of each file is read by a small job of its own; files with one header are then read together.
+    """
     _allow_charset(spark, encoding)
-    raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    known = [h for h in RAW_HEADERS if h in raw.columns]
+    reader = spark.read.option("header", True).option("encoding", encoding)
+    files = reader.csv(path).inputFiles()
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(in_threads(lambda f: tuple(reader.csv(f).columns), files), files):
+        if header:
+            headers.setdefault(header, []).append(file)
+    parts = [reader.csv(same).select(*[F.col(f"`{h}`") for h in RAW_HEADERS if h in header]) for header, same in headers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _cast(header: str) -> Column:
     types = {f.name: f.dataType for f in OBS_SCHEMA.fields}
-    return raw.select(*[F.col(f"`{h}`").try_cast(types[RAW_HEADERS[h]]).alias(RAW_HEADERS[h]) for h in known])
+    return F.col(f"`{header}`").try_cast(types[RAW_HEADERS[header]])
+
+
+def read_obs(spark: SparkSession, path: str | list[str], encoding: str = UTF8) -> DataFrame:
+    """Observation CSV by header name, with declared types; empty and bad cells are null (`bad_cells` counts the latter)."""
+    raw = _raw_cells(spark, path, encoding)
+    return raw.select(*[_cast(h).alias(n) for h, n in RAW_HEADERS.items() if h in raw.columns])
+
+
+def bad_cells(spark: SparkSession, path: str | list[str], encoding: str = UTF8) -> DataFrame:
+    """Per column, cells that hold something which `read_obs` cannot read and makes null."""
+    raw = _raw_cells(spark, path, encoding)
+    held = {h: F.coalesce(F.trim(F.col(f"`{h}`")) != "", F.lit(False)) for h in raw.columns}
+    return raw.agg(*[F.count_if(held[h] & _cast(h).isNull()).alias(RAW_HEADERS[h]) for h in raw.columns])
 
 
 def _unzip(batches: Iterator[pd.DataFrame], encoding: str) -> Iterator[pd.DataFrame]:
@@ -59,7 +86,10 @@ def parse_zipped(files: DataFrame, encoding: str = UTF8) -> DataFrame:
 
 
 def read_obs_zip(spark: SparkSession, path: str, encoding: str = UTF8) -> DataFrame:
-    """All `.csv.zip` files below a folder; files are independent, so each is one unit of work."""
+    """All `.csv.zip` files below a folder; files are independent, so each is one unit of work.
+
+    An archive is one task by its format and is held whole (Spark reads binary files up to 2 GB); write larger ones as CSV.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv.zip")

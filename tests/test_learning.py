@@ -1,5 +1,3 @@
-import datetime as dt
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,10 +54,45 @@ def test_early_stopping_stops_and_needs_no_retry(folds):
     clf = ml.early_stopping(ml.boosted_trees({"n_estimators": 20, "depth": 2, "learning_rate": 0.5}), tol=0.01)
     coin = F.pmod(F.xxhash64("datetime", F.lit("coin")), F.lit(2)).cast("int")
     train = folds[0].train.withColumn("label", coin)
-    model, how = ml.fit_retry(lambda: clf.fit(train))
+    model, how = ml.fit_retry(lambda: ml.fit_classifier(clf, train))
     assert how == "fit 1" and model.getNumTrees < 20
 
 
+def test_patience_keeps_the_best_round(folds):
+    assert ml.best_round([3, 2, 1, 2, 2, 0.5], 2) == 3
+    assert ml.best_round([3, 2, 1, 2, 2, 0.5], 3) == 6
+    assert ml.best_round([1, 1, 1], 10) == 1
+    coin = F.pmod(F.xxhash64("datetime", F.lit("coin")), F.lit(2)).cast("int")
+    rows = folds[0].train.withColumn("label", coin).cache()
+    clf = ml.boosted_trees({"n_estimators": 15, "depth": 2, "learning_rate": 0.5})
+    losses = clf.fit(rows.where("not is_valid")).evaluateEachIteration(rows.where("is_valid"))
+    assert ml.fit_classifier(clf, rows, patience=4).getNumTrees == ml.best_round(losses, 4) < 15
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+@pytest.mark.parametrize("model", ["cb", "lgb", "rf", "xgb"])
+def test_validation_rows_are_never_fitted(spark, model, classes):
+    """Validation rows, five for each training row, follow the opposite rule."""
+    data = [(x / 100, k == 0) for x in range(100) for k in range(6)]
+    rows = [(x, not first, (int(x * classes) if first else classes - 1 - int(x * classes)), 1.0) for x, first in data]
+    df = spark.createDataFrame(rows, "x double, is_valid boolean, label int, weight double")
+    df = ml.VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    clf = ml.learner(model, LIMITS | {"min_child_samples": 1, "min_data_in_leaf": 1, "feature_fraction": 1.0, "bagging_fraction": 1.0}, classes)
+    for learner, patience in ((ml.early_stopping(clf), None), (clf, None), (clf, 2)):
+        fitted = ml.fit_classifier(learner, df, patience, classes)
+        right = fitted.transform(df.where("not is_valid")).where("prediction = label").count()
+        assert right > 80
+
+
+def test_leaves_limit_the_depth():
+    assert ml.effective_params({"max_depth": 41, "max_leaves": 7}) == {"max_depth": 3}
+    assert ml.effective_params({"max_depth": 29, "num_leaves": 8}) == {"max_depth": 3}
+    assert ml.effective_params({"max_depth": 2, "num_leaves": 60}) == {"max_depth": 2}
+    assert ml.effective_params({"max_depth": 3, "max_leaves": 1}) == {"max_depth": 1}
+    assert ml.effective_params({"depth": 40})["depth"] == ml.MAX_DEPTH
+    assert ml.spark_params({"depth": 7}, ml.BOOSTED) == {"maxDepth": 7}
+
+
 def test_repeatable(folds):
     runs = [ml.cv_predict(ml.cv_fit(folds, lambda: ml.learner("rf", LIMITS), 0.3)) for _ in range(2)]
     keys = ["station", "fold", "datetime"]
@@ -83,14 +116,15 @@ def test_search_refit_and_ensemble(spark, folds):
     history = []
     for m in ("rf", "cb"):
         space = trials.search_space(base.where(F.col("model") == m), 2)
-        history.append(ml.param_search(folds, ("ALL", 1, m), space, LIMITS))
+        history.append(ml.param_search(folds, ("ALL", 1, m), space, 3))
     table = prep.union_stations(history).cache()
     assert table.count() == 4 and table.where("value between 0 and 1").count() == 4
-    skipped = ml.param_search(folds, ("ALL", 1, "rf"), trials.search_space(base.where("model = 'rf'"), 2), LIMITS, done=[1])
+    skipped = ml.param_search(folds, ("ALL", 1, "rf"), trials.search_space(base.where("model = 'rf'"), 2), 3, done=[1])
     assert [r["trial_id"] for r in skipped.collect()] == [2]
-    best = ml.refit_top2(folds, table, "ALL", 1, LIMITS).first()
+    best = ml.refit_top2(folds, table, "ALL", 1, 3).first()
     assert best["model"] in ("rf", "cb") and best["F1"] <= 100
-    assert ml.ensemble_refit(folds, table, 1, LIMITS).count() == 2
+    assert ml.ensemble_refit(folds, table, 1, 3).count() == 2
+    assert table.where("status = 'fold 1: fit 1, fold 2: fit 1' and cast(effective['max_depth'] as int) <= 5").count() == 2  # rf
     params = ml.tuned_params(table)
     assert set(params["rf"]) == set(ml.DEFAULT_PARAMS["rf"])
 
@@ -113,6 +147,32 @@ def test_three_classes(spark, rows):
         assert row["F1"] > 0.8
 
 
+def test_three_classes_refit_vote_export_importance(spark, rows, tmp_path):
+    three = rows.withColumn("label", F.when(F.col("a") > 7, 2).when(F.col("a") > 4, 1).otherwise(0))
+    one = ml.prepare_folds(ml.fold_table(three, PERIODS).where("fold = 1"), COLS, positive=2)
+    params = F.create_map(F.lit("pos_label_ratio"), F.lit("1"), F.lit("depth"), F.lit("3"), F.lit("max_depth"), F.lit("3"))
+    history = spark.createDataFrame([("ALL", 1, m, 1, v) for m, v in (("rf", 0.9), ("cb", 0.8))], "station string, horizon int, model string, trial_id long, value double")
+    history = history.withColumn("params", params)
+    best = ml.refit_top2(one, history, "ALL", 1, 3, 3).first()
+    assert best["F1"] > 80
+    votes = ml.ensemble_refit(one, history, 1, 3, 3)
+    assert votes.where("F1 > 0.8").count() == 2
+    ml.export_topk_predictions(one, history, 2, 1, str(tmp_path), 3, 3)
+    model = ml.tables.load_model(f"{tmp_path}/models/cb_1_cv1")
+    p = ml.predict_proba(model, three)
+    assert p.where("abs(p0 + p1 + p2 - 1) > 1e-9 or pred not in (0, 1, 2)").count() == 0
+    assert ml.feature_importance(model).orderBy(F.desc("importance")).first()["feature"] == "a"
+    forest = ml.tables.load_model(f"{tmp_path}/models/rf_1_cv1")
+    assert ml.predict_proba(forest, three).columns[-3:] == ["p0", "p1", "p2"]
+
+
+def test_majority_vote_and_its_ties(spark):
+    data = [(1, 0, m, p) for m, p in enumerate([0, 1, 1, 2])] + [(2, 2, m, p) for m, p in enumerate([0, 0, 2, 2])] + [(3, 1, 0, None)]
+    df = spark.createDataFrame(data, "at int, obs int, m int, pred int").selectExpr("'s' as station", "1 as horizon", "1 as fold", "at as datetime", "obs", "pred")
+    got = {r["datetime"]: r["pred"] for r in scores.vote_ensemble(df, classes=3).collect()}
+    assert got == {1: 1, 2: 2, 3: None}
+
+
 # ---- forecasts -----------------------------------------------------------------------
 
 
@@ -144,6 +204,51 @@ def test_detrended_forecast_of_a_line_is_the_line(spark):
     assert np.allclose([r["pred"] for r in got], [3 + 0.5 * i + (-1) ** i for i in range(60, 64)], atol=0.2)
 
 
+def test_series_with_windows_and_horizons_of_their_own(spark):
+    data = {f"SF_000{k}": walk(60 + k, k) for k in range(1, 5)}
+    df = None
+    for s, y in data.items():
+        one = series(spark, {"y": y}).withColumn("station", F.lit(s))
+        df = one if df is None else df.union(one)
+    plan = spark.createDataFrame([(s, k % 2 + 2, 3 * k) for k, s in enumerate(data, 1)], "station string, window int, horizon int")
+    got = forecast.recursive_forecast(df, "y", plan, plan, with_trend=True).collect()
+    for s, w, h in plan.collect():
+        y = np.array(data[s])
+        line = np.polyfit(np.arange(len(y)), y, 1)
+        flat = list(y - np.polyval(line, np.arange(len(y))))
+        x, target = lag_matrix(flat, w, 3)  # rows with the lags of the longest window
+        beta = np.linalg.lstsq(x, target, rcond=None)[0]
+        for _ in range(h):
+            flat.append(beta[0] + sum(b * v for b, v in zip(beta[1:], flat[::-1])))
+        want = np.array(flat[-h:]) + np.polyval(line, np.arange(len(y), len(y) + h))
+        mine = [r["pred"] for r in sorted(got, key=lambda r: r["step"]) if r["station"] == s]
+        assert np.allclose(mine, want, rtol=1e-6)
+
+
+def test_trend_of_every_fold(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "BLOCK_ROWS", 16)
+    y, w, n = np.array(walk(80, 3)) + 0.7 * np.arange(80), 3, 80
+    apes = []
+    for row in range(int(n * 0.7), n):
+        line = np.polyfit(np.arange(row), y[:row], 1)
+        flat = y - np.polyval(line, np.arange(n))
+        x, target = lag_matrix(flat, w, w)
+        beta = np.linalg.lstsq(x[: row - w], target[: row - w], rcond=None)[0]
+        apes.append(abs(flat[row] - x[row - w] @ beta) / abs(y[row]))
+    got = forecast.window_errors(series(spark, {"y": [float(v) for v in y]}), "y", (w,), with_trend=True).first()
+    assert got["n_folds"] == len(apes) and abs(got["mape"] - np.mean(apes)) < 1e-6 * np.mean(apes)
+
+
+def test_searched_forecast_covers_all_test_rows(spark):
+    y = walk(100, 4)
+    df = series(spark, {"y": y})
+    at = df.orderBy("datetime").collect()[70]["datetime"]
+    rows, errors = forecast.searched_forecast(df.where(F.col("datetime") < at), df.where(F.col("datetime") >= at), "y", (2, 4))
+    assert rows.count() == 30 and rows.where("pred is null").count() == 0
+    one = errors.first()
+    assert one["window"] in (2, 4) and one["mae"] >= 0 and one["mape"] >= 0
+
+
 def test_window_search_refits_every_fold(spark, monkeypatch):
     monkeypatch.setattr(forecast, "BLOCK_ROWS", 16)
     y, windows, n = walk(90, 2), (2, 4), 90
@@ -171,5 +276,3 @@ def test_trend(spark):
     assert abs(row["slope"] - 0.25) < 1e-9 and abs(row["intercept"] - 2) < 1e-9
     assert forecast.detrend(df, "y").where("abs(y_detrended) > 1e-9").count() == 0
 
-
-assert dt

@@ -29,6 +29,19 @@ def test_csv_by_name_and_charset(spark, tmp_path, encoding):
     check(observations.read_obs(spark, str(tmp_path), encoding).collect())
 
 
+def test_files_with_columns_in_other_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("시간,항,풍속(m/s),기온(℃)\n2018-01-01 00:00:00,부산항,1,20\n")
+    (tmp_path / "b.csv").write_text("기온(℃),항,시간,풍속(m/s),source\n20,부산항,2018-01-01 00:01:00,1,x\n")
+    rows = observations.read_obs(spark, str(tmp_path)).orderBy("datetime").collect()
+    assert [(r["ws"], r["temp"], r["source"]) for r in rows] == [(1.0, 20.0, None), (1.0, 20.0, "x")]
+
+
+def test_unreadable_cells_are_counted(spark, tmp_path):
+    (tmp_path / "x.csv").write_text(TEXT)
+    row = observations.bad_cells(spark, str(tmp_path)).first()
+    assert row["qff"] == 1 and sum(row.asDict().values()) == 1
+
+
 def test_zip(spark, tmp_path):
     for name in ("a", "b"):
         with zipfile.ZipFile(tmp_path / f"{name}.csv.zip", "w") as z:

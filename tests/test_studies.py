@@ -1,17 +1,17 @@
 """A whole small run: raw rows to features, tuning, refits, reports; also hot series and plan checks."""
 
+import dataclasses
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from seafret.operators import folds as fold_ops, trials as trial_ops, weights
+from seafret.operators import folds as fold_ops, ml, trials as trial_ops, weights
 from seafret.plans import features, studies
 from seafret.schema import lag_columns
 from seafret.sources import tables
 
 SETTINGS = features.Settings(max_lag=2, horizons=(1,), rows_per_hour=1, fog_rows=30)
-LIMITS = {"n_estimators": 2, "depth": 2, "max_depth": 2}
 
 
 def minute_rows(spark, days: int):
@@ -50,7 +50,8 @@ def plan(spark, tmp_path_factory):
         cols=lag_columns(max_lag=2),
         periods=[("2018-01-08", "2018-01-12"), ("2018-01-02", "2018-01-05")],
         n_trials=2,
-        limits=LIMITS,
+        rounds=2,
+        patience=None,
     )
 
 
@@ -82,6 +83,63 @@ def test_run_goes_on_where_it_stopped_and_reports(plan, tmp_path):
     preds = tables.scan_predictions(plan.spark, str(tmp_path / "out" / "SF_0001_1" / "predictions"))
     assert preds.where("pred not in (0, 1) or obs is null").count() == 0 and preds.count() > 0
     assert studies.importance_report(plan, 5).count() > 0
+    found = studies.holdout(plan, str(tmp_path / "holdout"), "2018-01-08")
+    assert found.count() == 2 and found.where("F1 between 0 and 1 and stage = 'test'").count() == 2
+    assert tables.scan_trials(plan.spark, str(tmp_path / "holdout" / "scores")).count() == 2
+    plan.static_weight = 50.0
+    studies.refit_report(plan, 1, str(tmp_path / "report"))
+    plan.static_weight = None
+    assert plan.spark.read.csv(str(tmp_path / "report" / "folds" / "SF_0001_1"), header=True).count() == 2
+    assert {r["status"] for r in plan.status_table().collect()} == {"done"}
+
+
+def other(plan, path, **change):
+    return dataclasses.replace(plan, trials=path, status=[], **change)
+
+
+def test_stop_in_mid_study_keeps_finished_trials(plan, tmp_path, monkeypatch):
+    mine = other(plan, str(tmp_path / "trials"), stations=["SF_0001"], models=["rf"], n_trials=4, parallelism=1)
+    real, calls = ml.cv_fit, []
+
+    def stops(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("power cut")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(ml, "cv_fit", stops)
+    with pytest.raises(RuntimeError, match="power cut"):
+        studies.tune(mine)
+    assert mine.history().count() == 2
+    monkeypatch.setattr(ml, "cv_fit", real)
+    studies.tune(mine)
+    assert sorted(r["trial_id"] for r in mine.history().collect()) == [1, 2, 3, 4]
+
+
+def test_wrong_setting_is_raised(plan, tmp_path, monkeypatch):
+    def wrong(self, *args):
+        raise ValueError("set spark.checkpoint.dir")
+
+    monkeypatch.setattr(studies.Plan, "folds", wrong)
+    with pytest.raises(ValueError, match="checkpoint"):
+        studies.tune(other(plan, str(tmp_path / "trials")))
+
+
+def test_place_without_fog_is_listed(plan, tmp_path):
+    clear = tables.scan_features(plan.spark, plan.features).withColumn("y_1", F.when(F.col("station") == "SF_0001", F.col("y_1")).otherwise(0))
+    tables.write_features(clear, str(tmp_path / "features"))
+    mine = other(plan, str(tmp_path / "trials"), features=str(tmp_path / "features"), models=["rf"], n_trials=1)
+    found = {(r["station"], r["status"]) for r in studies.tune(mine).collect()}
+    assert ("SF_0001", "done") in found
+    assert [s for p, s in found if p == "SF_0002"] == ["no fold has fog rows to test and two classes to train on"]
+    assert mine.history().count() == 1
+    best, _ = studies.refit_report(mine, 1)
+    assert [r["station"] for r in best.collect()] == ["SF_0001"]
+
+
+def test_trials_by_classes(plan):
+    assert dataclasses.replace(plan, n_trials=None).trials_wanted == 150
+    assert dataclasses.replace(plan, n_trials=None, classes=3).trials_wanted == 200
 
 
 def joins(df) -> str:

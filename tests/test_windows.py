@@ -146,3 +146,12 @@ def test_lag_reduction(spark):
     df = series(spark, {"y": list(range(10))})
     rows = windows.lag_reduction(df, "y", 5, size=3).orderBy("datetime").collect()
     assert [(r["y"], r["x1"], r["x5"]) for r in rows] == [(i, i - 1, i - 5) for i in range(5, 10)]
+
+
+def test_spine_before_1970(spark):
+    bounds = spark.createDataFrame([("s", -5, 3), ("t", -25000, -9990)], "station string, first long, last long")
+    got = grid.spine(bounds, 600)
+    assert got.where("station = 's'").count() == 9
+    assert got.where("station = 't'").distinct().count() == 25000 - 9990 + 1
+    low = got.where("station = 's'").agg(F.min(F.unix_seconds("datetime"))).first()[0]
+    assert low == -5 * 600

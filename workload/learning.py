@@ -1,58 +1,59 @@
 """Queries on fitting, tuning, refitting and forecasting.
 
-One study over all stations, with the station columns among the features. The feature table
-and the folds are written once per input and shared by the queries, as a tuning run does.
+One study over all stations, with the station columns among the features, for every horizon. Each query builds its own
+features and folds. Fits cannot be said in SQL; their queries return one row per place and fold with the number of results that break
+a rule (a score outside 0..1, a label outside the classes, probabilities that do not add up to 1), and the SQL says which rows
+there must be and that no rule is broken.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seafret.operators import folds as fold_ops, forecast, ml, prep, trials as trial_ops
-from seafret.schema import STATIONS, TIME_COLUMNS, lag_columns
+from seafret.schema import HORIZONS, MODELS, STATIONS, TIME_COLUMNS, lag_columns
 from seafret.session import materialize, new_path
 from seafret.sources import tables
 from workload.registry import cte, query
-from workload.standins import FOLD_OF, Tables
+from workload.standins import FOLD_OF, TEST_START_SQL, Tables
 
 COLS = lag_columns() + TIME_COLUMNS + STATIONS
-LIMITS = {"n_estimators": 3, "depth": 3, "max_depth": 3}
-HORIZON = 1
+#: Rounds or trees of every fit of these queries (a run takes up to ml.ROUNDS), and draws of a study in `param_search`.
+ROUNDS = 20
+DRAWS = 2
 PLACE = "ALL"
+BASE = ml.base_params(ROUNDS)
 
 
 @dataclass
 class Study:
-    tables: Tables
+    """Rows and folds of all horizons, made once per query."""
 
-    @cached_property
-    def features(self) -> DataFrame:
-        return materialize(self.tables.features, "features")
+    tables: Tables
+    classes: int = 2
+    features: DataFrame = field(init=False)
 
-    @cached_property
-    def rows(self) -> DataFrame:
-        return ml.training_rows(self.features, COLS, f"y_{HORIZON}")
+    def __post_init__(self):
+        self.features = materialize(self.tables.features, "features")
 
-    @cached_property
-    def folds(self) -> list[ml.Fold]:
-        return ml.prepare_folds(ml.fold_table(self.rows, self.tables.periods), COLS)
+    def rows(self, horizon: int) -> DataFrame:
+        return ml.training_rows(self.features, COLS, f"{'y' if self.classes == 2 else 'y3'}_{horizon}", self.classes)
 
-    @cached_property
-    def folds3(self) -> list[ml.Fold]:
-        rows = ml.training_rows(self.features, COLS, f"y3_{HORIZON}", 3)
-        first = fold_ops.first_fold_only(ml.fold_table(rows, self.tables.periods))
-        return ml.prepare_folds(first, COLS, positive=2)
+    def folds(self, horizon: int) -> list[ml.Fold]:
+        table = ml.fold_table(self.rows(horizon), self.tables.periods)
+        if self.classes == 3:
+            table = fold_ops.first_fold_only(table)
+        return ml.prepare_folds(table, COLS, positive=self.classes - 1)
 
-    @cached_property
-    def model(self):
-        clf = ml.learner("cb", LIMITS)
-        return ml.fit_pipeline(prep.holdout_split(self.rows, self.tables.test_start, "refit"), COLS, clf)
+    def model(self, horizon: int):
+        """A model of the rows before the test period, and all rows."""
+        rows = self.rows(horizon)
+        train = prep.holdout_split(rows, self.tables.test_start, "refit")
+        return ml.fit_pipeline(train, COLS, ml.learner("cb", BASE)), rows
 
-    @cached_property
-    def trials(self) -> DataFrame:
+    def trials(self, horizon: int) -> DataFrame:
         """Trials of one horizon over all stations, as one study place."""
         params = F.create_map(
             F.lit("model_params.depth"), F.col("depth").cast("string"),
@@ -60,177 +61,349 @@ class Study:
             F.lit("model_params.learning_rate"), F.col("learning_rate").cast("string"),
             F.lit("pos_label_ratio"), F.lit("0.3"),
         )
-        return self.tables.trials.where(F.col("horizon") == HORIZON).select(
+        return self.tables.trials.where(F.col("horizon") == horizon).select(
             F.lit(PLACE).alias("station"), "horizon", "model", "trial_id", "value", params.alias("params")
         )
 
 
-_studies: dict[tuple[str, str], Study] = {}
+def every_horizon(work) -> DataFrame:
+    """work(horizon) for all horizons side by side, with the horizon as a column."""
+    return prep.union_stations(ml.in_threads(lambda h: work(h).withColumn("horizon", F.lit(h)), HORIZONS, len(HORIZONS)))
+
+
+def counted(df: DataFrame, keys: list[str], bad: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(bad | bad.isNull()).alias("bad"))
+
+
+def outside(*cols: str, top: float = 1.0) -> Column:
+    """Some score is missing or not in 0..top."""
+    found = F.lit(False)
+    for c in cols:
+        found = found | F.coalesce((F.col(c) < 0) | (F.col(c) > top), F.lit(True))
+    return found
+
+
+METRICS = ("ACC", "PAG", "POD", "F1")
+
+COMPLETE = " and ".join(f'"{c}" is not null' for c in lag_columns())
+for _name, _target in (("", "y"), ("3", "y3")):
+    cte(
+        f"rows{_name}",
+        f"""select * from (select station, datetime, unnest([1, 3, 6]) as horizon,
+  cast(unnest([{_target}_1, {_target}_3, {_target}_6]) as integer) as obs from features where {COMPLETE}) where obs is not null""",
+        "features",
+    )
+    cte(
+        f"row_folds{_name}",
+        f"""select *, {FOLD_OF} = fold as in_test from (
+  select station, datetime, horizon, obs, year(datetime) * 366 + dayofyear(datetime) as day_group, unnest([1, 2, 3]) as fold from rows{_name})""",
+        f"rows{_name}",
+        "cal",
+    )
+    cte(
+        f"row_days{_name}",
+        f"""select *, (row_number() over (partition by station, horizon, fold order by n_fog desc, day_group) - 1) % 5 = 0 as is_valid from (
+  select station, horizon, fold, day_group, sum(obs) as n_fog from row_folds{_name} where not in_test group by all)""",
+        f"row_folds{_name}",
+    )
+    cte(
+        f"usable{_name}",
+        f"""select horizon, fold from row_folds{_name} left join row_days{_name} using (station, horizon, fold, day_group) group by horizon, fold
+having count(*) filter (where in_test and obs = {2 if _name else 1}) > 0 and count(distinct obs) filter (where not in_test and not is_valid) > 1""",
+        f"row_folds{_name}",
+        f"row_days{_name}",
+    )
+cte("cells", "select distinct horizon, station from row_folds join usable using (horizon, fold) where in_test group by horizon, station, fold having sum(obs) > 0", "row_folds", "usable")
+cte("cells3", "select distinct horizon, station from row_folds3 join usable3 using (horizon, fold) where in_test and fold = 1 group by horizon, station, fold having count(*) filter (where obs = 2) > 0", "row_folds3", "usable3")
+ZERO = "cast(0 as bigint) as bad"
+FOLDS_OK = f"select horizon, fold, {ZERO} from usable"
+FOLDS3_OK = f"select horizon, fold, {ZERO} from usable3 where fold = 1"
+BY_HORIZON = f"select distinct horizon, {ZERO} from usable"
+BY_STATION = f"select horizon, station, count(*) as n, {ZERO} from rows group by horizon, station"
 
 
-def study(t: Tables) -> Study:
-    key = (t.spark.sparkContext.applicationId, t.dir)
-    if key not in _studies:
-        _studies[key] = Study(t)
-    return _studies[key]
+def fold_scores(s: Study, model: str, classes: int = 2, patience: int | None = None) -> DataFrame:
+    """Broken rules per horizon and fold of one learner."""
 
+    def work(h: int) -> DataFrame:
+        made = ml.cv_evaluate(s.folds(h), lambda: ml.learner(model, BASE, classes), 0.3, classes, patience)
+        return made.select("fold", outside(*METRICS).cast("long").alias("bad"))
 
-def fitted(s: Study, model: str) -> DataFrame:
-    return ml.cv_evaluate(s.folds, lambda: ml.learner(model, LIMITS), 0.3)
+    return every_horizon(work)
 
 
-@query("fit_pipeline")
+@query("fit_pipeline", BY_STATION, ["rows"])
 def _(t):
-    s = study(t)
-    train = prep.holdout_split(s.rows, t.test_start, "refit")
-    model = ml.fit_pipeline(train, COLS, ml.learner("cb", LIMITS))
-    return ml.batch_predict(model, s.rows).groupBy("station", "pred").agg(F.count("*").alias("n"))
+    """A pipeline fitted before the test period labels all rows."""
+    s = Study(t)
 
+    def work(h: int) -> DataFrame:
+        model, rows = s.model(h)
+        return counted(ml.batch_predict(model, rows), ["station"], ~F.col("pred").isin(0, 1))
 
-@query("boosted_trees")
+    return every_horizon(work)
+
+
+@query("boosted_trees", f"select unnest(['cb', 'lgb', 'xgb']) as model, * from ({FOLDS_OK})", ["usable"])
 def _(t):
-    parts = [fitted(study(t), m).withColumn("model", F.lit(m)) for m in ("cb", "lgb", "xgb")]
-    return prep.union_stations(parts)
+    s = Study(t)
+    return prep.union_stations([fold_scores(s, m).withColumn("model", F.lit(m)) for m in ("cb", "lgb", "xgb")])
 
 
-@query("random_forest")
+@query("random_forest", FOLDS_OK, ["usable"])
 def _(t):
-    return fitted(study(t), "rf")
+    return fold_scores(Study(t), "rf")
 
 
-@query("early_stopping")
+@query(
+    "early_stopping",
+    f"select horizon, fold, count(*) as n_test, {ZERO} from usable join row_folds using (horizon, fold) where in_test group by horizon, fold",
+    ["usable", "row_folds"],
+)
 def _(t):
-    fold = study(t).folds[0]
-    clf = ml.early_stopping(ml.learner("cb", LIMITS | {"n_estimators": 8, "learning_rate": 0.5}), tol=0.01)
-    model = clf.fit(ml.at_ratio(fold.train, 0.3))
-    return fold.test.groupBy("fold").agg(F.count("*").alias("n_test")).withColumn("n_trees", F.lit(model.getNumTrees))
+    """Boosting ends with the best round by the validation rows, ten rounds without a gain later at most."""
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        parts = []
+        for fit in ml.cv_fit(s.folds(h), lambda: ml.learner("cb", BASE | {"learning_rate": 0.5}), 0.3, patience=ml.PATIENCE):
+            right = 1 <= fit.model.getNumTrees <= ROUNDS and fit.status == "fit 1"
+            parts.append(fit.fold.test.groupBy("fold").agg(F.count("*").alias("n_test")).withColumn("bad", F.lit(0 if right else 1).cast("long")))
+        return prep.union_stations(parts)
 
+    return every_horizon(work)
 
-@query("cv_evaluate")
+
+@query("cv_evaluate", FOLDS_OK, ["usable"])
 def _(t):
-    return fitted(study(t), "cb")
+    return fold_scores(Study(t), "cb")
 
 
-@query("classify_3class")
+@query("classify_3class", f"select unnest(['cb', 'rf']) as model, * from ({FOLDS3_OK})", ["usable3"])
 def _(t):
-    return ml.cv_evaluate(study(t).folds3, lambda: ml.learner("rf", LIMITS, 3), 0.3, 3)
+    """Three classes by a forest and by boosting one class against the rest, on the first fold."""
+    s = Study(t, 3)
+    return prep.union_stations([fold_scores(s, m, 3).withColumn("model", F.lit(m)) for m in ("cb", "rf")])
 
 
-@query("param_search")
+@query(
+    "param_search",
+    f"select horizon, unnest(['cb', 'lgb', 'rf', 'xgb']) as model, cast({DRAWS} as bigint) as n, {ZERO} from (select distinct horizon from usable)",
+    ["usable"],
+)
 def _(t):
-    s = study(t)
-    space = trial_ops.search_space(s.trials.where("model = 'rf'"), 2)
-    return ml.param_search(s.folds, (PLACE, HORIZON, "rf"), space, LIMITS).drop("params")
+    """Trials of all learners; a trial also tells how its folds were fitted and the parameters really used."""
+    s = Study(t)
 
+    def work(h: int) -> DataFrame:
+        folds, parts = s.folds(h), []
+        for m in MODELS:
+            space = trial_ops.search_space(s.trials(h).where(F.col("model") == m), DRAWS)
+            parts.append(ml.param_search(folds, (PLACE, h, m), space, ROUNDS))
+        found = prep.union_stations(parts)
+        depth = F.coalesce(F.col("effective")["depth"], F.col("effective")["max_depth"]).cast("double")
+        return counted(found, ["model"], outside("value", "ACC", "PAG", "POD") | (depth > ml.MAX_DEPTH) | F.col("status").contains("fallback"))
 
-@query("fit_retry")
+    return every_horizon(work)
+
+
+@query("fit_retry", f"select horizon, fold, 'fallback' as how, count(*) as n, {ZERO} from usable join row_folds using (horizon, fold) where in_test group by horizon, fold", ["usable", "row_folds"])
 def _(t):
-    fold = study(t).folds[0]
-    train = ml.at_ratio(fold.train, 0.3)
-    broken = ml.learner("cb", LIMITS).copy().setFeaturesCol("no_such_column")
-    plain = ml.learner("rf", LIMITS)
-    model, how = ml.fit_retry(lambda: broken.fit(train), 2, lambda: plain.fit(train))
-    return model.transform(fold.test).groupBy("prediction").agg(F.count("*").alias("n")).withColumn("how", F.lit(how))
+    """A learner that fails twice is replaced by a plain one, which labels all test rows."""
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        def one(fold: ml.Fold) -> DataFrame:
+            train = ml.at_ratio(fold.train, 0.3)
+            broken = ml.learner("cb", BASE).copy().setFeaturesCol("no_such_column")
+            model, how = ml.fit_retry(lambda: broken.fit(train), 2, lambda: ml.fit_classifier(ml.learner("rf", BASE), train))
+            made = model.transform(fold.test).withColumn("how", F.lit(how))
+            return counted(made, ["fold", "how"], ~F.col("prediction").isin(0.0, 1.0))
 
+        return prep.union_stations(ml.in_threads(one, s.folds(h)))
 
-@query("refit_best")
+    return every_horizon(work)
+
+
+def refitted(s: Study, work) -> DataFrame:
+    """Percent scores of refits as broken rules per place."""
+    made = every_horizon(lambda h: work(s.folds(h), s.trials(h), h).drop("horizon"))
+    return counted(made, ["horizon", "station"], outside(*METRICS, top=100.0))
+
+
+PLACES_OK = f"select distinct horizon, '{PLACE}' as station, cast(1 as bigint) as n, {ZERO} from usable"
+
+
+@query("refit_best", PLACES_OK, ["usable"])
 def _(t):
-    s = study(t)
-    return ml.refit_best(s.folds, s.trials, PLACE, HORIZON, LIMITS)
+    return refitted(Study(t), lambda folds, trials, h: ml.refit_best(folds, trials, PLACE, h, ROUNDS))
 
 
-@query("refit_top2")
+@query("refit_top2", PLACES_OK, ["usable"])
 def _(t):
-    s = study(t)
-    return ml.refit_top2(s.folds, s.trials, PLACE, HORIZON, LIMITS)
+    return refitted(Study(t), lambda folds, trials, h: ml.refit_top2(folds, trials, PLACE, h, ROUNDS))
+
+
+@query("ensemble_refit", f"select horizon, station, cast(1 as bigint) as n, {ZERO} from cells", ["cells"])
+def _(t):
+    return refitted(Study(t), lambda folds, trials, h: ml.ensemble_refit(folds, trials, h, ROUNDS))
+
+
+EXPORTED = """select horizon, fold, cast(sum({k}) as bigint) as n, cast(0 as bigint) as bad from {usable} join {rows} using (horizon, fold) where in_test group by horizon, fold"""
+
 
+def exported(t: Tables, classes: int, k: int) -> DataFrame:
+    """Predictions of the k best models, written and read again."""
+    s = Study(t, classes)
 
-@query("ensemble_refit")
+    def work(h: int) -> DataFrame:
+        path = new_path(t.spark, "export")
+        ml.export_topk_predictions(s.folds(h), s.trials(h), k, h, path, ROUNDS, classes)
+        found = tables.scan_predictions(t.spark, f"{path}/predictions")
+        return counted(found, ["fold"], ~F.col("pred").isin(*range(classes)) | ~F.col("obs").isin(*range(classes)))
+
+    return every_horizon(work)
+
+
+@query("export_topk_predictions", EXPORTED.format(k=2, usable="usable", rows="row_folds"), ["usable", "row_folds"])
 def _(t):
-    s = study(t)
-    return ml.ensemble_refit(s.folds, s.trials, HORIZON, LIMITS)
+    return exported(t, 2, 2)
 
 
-@query("export_topk_predictions")
+@query("export_3class", EXPORTED.format(k=1, usable="usable3", rows="row_folds3") .replace("where in_test", "where in_test and fold = 1"), ["usable3", "row_folds3"])
 def _(t):
-    s = study(t)
-    path = new_path(t.spark, "export")
-    ml.export_topk_predictions(s.folds, s.trials, 2, HORIZON, path, LIMITS)
-    return tables.scan_predictions(t.spark, f"{path}/predictions")
+    return exported(t, 3, 1)
 
 
-@query("holdout_test")
+@query("refit_3class", PLACES_OK.replace("usable", "usable3 where fold = 1"), ["usable3"])
 def _(t):
-    _, table = ml.holdout_test(study(t).rows, COLS, t.test_start, ml.learner("rf", LIMITS), 0.3)
-    return table
+    return refitted(Study(t, 3), lambda folds, trials, h: ml.refit_best(folds, trials, PLACE, h, ROUNDS, 3))
 
 
-@query("batch_predict")
+@query("vote_3class", f"select horizon, station, cast(1 as bigint) as n, {ZERO} from cells3", ["cells3"])
 def _(t):
-    s = study(t)
-    return ml.batch_predict(s.model, s.rows).select("station", "datetime", "label", "pred")
+    """All learners refitted on three classes; the label most of them give."""
+    return refitted(Study(t, 3), lambda folds, trials, h: ml.ensemble_refit(folds, trials, h, ROUNDS, 3))
 
 
-@query("predict_proba")
+@query(
+    "holdout_test",
+    f"select horizon, station, {ZERO} from rows where datetime >= {TEST_START_SQL} group by horizon, station",
+    ["rows", "cal"],
+)
 def _(t):
-    s = study(t)
-    return ml.predict_proba(s.model, s.rows)
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        _, table = ml.holdout_test(s.rows(h), COLS, t.test_start, ml.learner("rf", BASE), 0.3)
+        return table.select("station", outside(*METRICS).cast("long").alias("bad"))
 
+    return every_horizon(work)
 
-@query("feature_importance")
+
+@query("batch_predict", f"select horizon, station, obs as label, count(*) as n, {ZERO} from rows group by horizon, station, obs", ["rows"])
 def _(t):
-    return trial_ops.topk_importance(
-        ml.feature_importance(study(t).model, COLS).withColumn("study", F.lit("cb")), 30, ["study"]
-    )
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        model, rows = s.model(h)
+        return counted(ml.batch_predict(model, rows), ["station", "label"], ~F.col("pred").isin(0, 1))
+
+    return every_horizon(work)
+
+
+def unlikely(classes: int = 2) -> Column:
+    """Probabilities outside 0..1 or not adding up to 1, or a label that has not the largest."""
+    p = [F.col(f"p{c}") for c in range(classes)]
+    total = sum(p[1:], p[0])
+    own = F.element_at(F.array(*p), F.col("pred") + 1)
+    return outside(*[f"p{c}" for c in range(classes)]) | (F.abs(total - 1) > 1e-9) | (own < F.greatest(*p))
 
 
-@query("save_model")
+@query("predict_proba", BY_STATION, ["rows"])
 def _(t):
-    s = study(t)
-    path = new_path(t.spark, "model")
-    tables.save_model(s.model, path)
-    return ml.predict_proba(tables.load_model(path), s.rows)
+    s = Study(t)
 
+    def work(h: int) -> DataFrame:
+        return counted(ml.predict_proba(*s.model(h)), ["station"], unlikely())
 
-@query("load_model")
+    return every_horizon(work)
+
+
+@query("predict_proba_3class", BY_STATION.replace("from rows", "from rows3"), ["rows3"])
+def _(t):
+    """One probability per class, from boosting one class against the rest."""
+    s = Study(t, 3)
+
+    def work(h: int) -> DataFrame:
+        rows = s.rows(h)
+        train = prep.holdout_split(rows, t.test_start, "refit")
+        model = ml.fit_pipeline(train, COLS, ml.learner("cb", BASE, 3), classes=3)
+        return counted(ml.predict_proba(model, rows), ["station"], unlikely(3))
+
+    return every_horizon(work)
+
+
+@query("feature_importance", BY_HORIZON, ["usable"])
+def _(t):
+    """At most 30 positive importances in falling order, which add up to no more than 1."""
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        found = ml.feature_importance(s.model(h)[0], COLS).withColumn("study", F.lit("cb"))
+        top = trial_ops.topk_importance(found, 30, ["study"])
+        total = top.agg(F.sum("importance").alias("s"), F.count("*").alias("n"), F.min("importance").alias("least"))
+        return total.select(((F.col("s") > 1.01) | (F.col("n") > 30) | (F.col("n") < 1) | (F.col("least") < 0)).cast("long").alias("bad"))
+
+    return every_horizon(work)
+
+
+@query("save_model", BY_STATION, ["rows"])
+def _(t):
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        model, rows = s.model(h)
+        path = new_path(t.spark, "model")
+        tables.save_model(model, path)
+        return counted(ml.predict_proba(tables.load_model(path), rows), ["station"], unlikely())
+
+    return every_horizon(work)
+
+
+@query("load_model", f"select horizon, station, obs as label, count(*) as n, {ZERO} from rows group by horizon, station, obs", ["rows"])
 def _(t):
     """Labels of a reloaded model counted per station."""
-    s = study(t)
-    path = new_path(t.spark, "model")
-    tables.save_model(s.model, path)
-    preds = ml.batch_predict(tables.load_model(path), s.rows)
-    return preds.groupBy("station", "label", "pred").agg(F.count("*").alias("n"))
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        model, rows = s.model(h)
+        path = new_path(t.spark, "model")
+        tables.save_model(model, path)
+        return counted(ml.batch_predict(tables.load_model(path), rows), ["station", "label"], ~F.col("pred").isin(0, 1))
+
+    return every_horizon(work)
 
 
-@query("reload_parity")
+@query("reload_parity", "select unnest([1, 3, 6]) as horizon, cast(0 as bigint) as mismatches")
 def _(t):
-    s = study(t)
-    differing = ml.reload_parity(s.model, s.rows, new_path(t.spark, "parity"))
-    return differing.agg(F.count("*").alias("mismatches"))
+    s = Study(t)
+
+    def work(h: int) -> DataFrame:
+        model, rows = s.model(h)
+        return ml.reload_parity(model, rows, new_path(t.spark, "parity")).agg(F.count("*").alias("mismatches"))
+
+    return every_horizon(work)
 
 
-COMPLETE = " and ".join(f'"{c}" is not null' for c in [*lag_columns(), f"y_{HORIZON}"])
-cte("rows", f"select *, cast(y_{HORIZON} as integer) as obs from features where {COMPLETE}", "features")
-cte(
-    "row_folds",
-    f"""select *, {FOLD_OF} = fold as in_test from (
-  select station, datetime, obs, year(datetime) * 366 + dayofyear(datetime) as day_group, unnest([1, 2, 3]) as fold from rows)""",
-    "rows",
-    "cal",
-)
-cte(
-    "row_days",
-    """select *, (row_number() over (partition by station, fold order by n_fog desc, day_group) - 1) % 5 = 0 as is_valid from (
-  select station, fold, day_group, sum(obs) as n_fog from row_folds where not in_test group by all)""",
-    "row_folds",
-)
 cte(
     "row_train",
-    """select fold, rows.* from row_folds join row_days using (station, fold, day_group) join rows using (station, datetime)
-where not in_test and not is_valid and fold in (
-  select fold from row_folds where in_test group by fold having sum(row_folds.obs) > 0)""",
+    """select fold, features.* from row_folds join row_days using (station, horizon, fold, day_group) join features using (station, datetime)
+where horizon = 1 and not in_test and not is_valid and fold in (select fold from usable where horizon = 1)""",
     "row_folds",
     "row_days",
+    "usable",
+    "features",
 )
 
 
@@ -249,8 +422,8 @@ from row_train group by fold"""
     ["mean", "std"],
 )
 def _(t):
-    """Scaler of each fold with and without the time columns, read back as tables."""
-    table = ml.fold_table(study(t).rows, t.periods)
+    """Scaler of each fold of the first horizon with and without the time columns, read back as tables."""
+    table = ml.fold_table(Study(t).rows(1), t.periods)
     path = new_path(t.spark, "scaler")
     parts = []
     for name, cols in (("all", lag_columns() + TIME_COLUMNS), ("no_time", lag_columns())):
@@ -292,15 +465,75 @@ def _(t):
     return forecast.detrend(t.obs.select("station", "datetime", "sst"), "sst").drop("sst")
 
 
-@query("recursive_forecast")
+SERIES = """(select station, sst, row_number() over (partition by station order by datetime) as i from obs where datetime {side} TEST_START)"""
+TRAIN, TEST = SERIES.format(side="<").replace("TEST_START", TEST_START_SQL), SERIES.format(side=">=").replace("TEST_START", TEST_START_SQL)
+
+
+def halves(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return prep.holdout_split(t.obs, t.test_start, "refit"), prep.holdout_split(t.obs, t.test_start, "test")
+
+
+@query("recursive_forecast", f"select station, count(*) as n, {ZERO} from {TEST} group by station", ["obs", "cal"])
+def _(t):
+    """All test rows are forecast on five detrended lags; no value may be missing or far off the range seen."""
+    train, test = halves(t)
+    ahead = forecast.recursive_forecast(train, "sst", 5, forecast.series_lengths(test), with_trend=True)
+    return counted(forecast.forecast_errors(ahead, test, "sst"), ["station"], F.isnan("pred") | (F.abs("pred") > 1000))
+
+
+@query(
+    "recursive_forecast_one_lag",
+    f"""with recursive pairs as (select station, sst as y, lag(sst) over (partition by station order by i) as x, i from {TRAIN}),
+fit as (select station, regr_slope(y, x) as b, regr_intercept(y, x) as a, arg_max(y, i) as y0 from pairs group by station),
+ahead as (select station, a, b, cast(1 as bigint) as step, a + b * y0 as pred from fit union all
+  select station, a, b, step + 1, a + b * pred from ahead where step < (select max(i) from {TEST}))
+select station, step, sst as obs, pred from ahead join (select station, i as step, sst from {TEST}) using (station, step)""",
+    ["obs", "cal"],
+    ["obs", "pred"],
+)
+def _(t):
+    """Forecasts on one lag, which SQL can follow step by step."""
+    train, test = halves(t)
+    ahead = forecast.recursive_forecast(train, "sst", 1, forecast.series_lengths(test))
+    return forecast.forecast_errors(ahead, test, "sst").select("station", "step", "obs", "pred")
+
+
+@query("forecast_window_search", "select station, cast(0 as bigint) as bad from obs group by station", ["obs"])
 def _(t):
-    train = prep.holdout_split(t.obs, t.test_start, "refit")
-    test = prep.holdout_split(t.obs, t.test_start, "test")
-    ahead = forecast.recursive_forecast(train, "sst", 5, 36, with_trend=True)
-    return forecast.forecast_errors(ahead, test, "sst")
+    """Best window of each series with and without a trend in every fold."""
+    found = [forecast.forecast_window_search(t.obs, "sst", with_trend=trend) for trend in (False, True)]
+    wrong = ~F.col("window").isin(*forecast.WINDOWS) | outside("mape", top=10.0)
+    return prep.union_stations(found).groupBy("station").agg(F.count_if(wrong).alias("bad"))
 
 
-@query("forecast_window_search")
+@query(
+    "forecast_window_errors_one_lag",
+    """with s as (select station, sst as y, lag(sst) over w as x, row_number() over w - 1 as i, count(*) over (partition by station) as n
+  from obs window w as (partition by station order by datetime)),
+f as (select *, regr_slope(y, x) over past as b, regr_intercept(y, x) over past as a from s
+  window past as (partition by station order by i rows between unbounded preceding and 1 preceding))
+select station, cast(1 as bigint) as window, avg(abs(y - (a + b * x)) / greatest(abs(y), 2.220446049250313e-16)) as mape, count(*) as n_folds
+from f where i >= floor(n * 0.7) group by station""",
+    ["obs"],
+    ["mape"],
+)
 def _(t):
-    return forecast.forecast_window_search(t.obs, "sst")
+    """Errors of every expanding fold for one lag."""
+    return forecast.window_errors(t.obs, "sst", (1,))
 
+
+@query(
+    "searched_forecast",
+    f"select station, trend, count(*) as n, {ZERO} from (select station, unnest([true, false]) as trend from {TEST}) group by station, trend",
+    ["obs", "cal"],
+)
+def _(t):
+    """Window of each series, with and without a trend, then all its test rows, MAE and MAPE."""
+    train, test = halves(t)
+    parts = []
+    for trend in (False, True):
+        rows, errors = forecast.searched_forecast(train, test, "sst", with_trend=trend)
+        made = rows.join(materialize(errors, "errors"), "station", "left").withColumn("trend", F.lit(trend))
+        wrong = F.isnan("pred") | (F.abs("pred") > 1000) | F.col("window").isNull() | F.col("mae").isNull() | F.col("mape").isNull()
+        parts.append(counted(made, ["station", "trend"], wrong))
+    return prep.union_stations(parts)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seafret.operators import folds, prep, scores, weights
 from seafret.schema import STATIONS
+from seafret.session import materialize
 from workload.registry import query
 from workload.standins import FOLD_OF
 
@@ -282,7 +283,9 @@ PAIR_KEYS = ["station", "horizon", "fold", "datetime"]
 
 
 def two_runs(t):
-    return tuple(prep.run_filter(t.preds, model=m).select(*PAIR_KEYS, "pred") for m in ("cb", "lgb"))
+    """Predictions of two models from one written table."""
+    preds = materialize(t.preds.where(F.col("model").isin("cb", "lgb")), "preds")
+    return tuple(prep.run_filter(preds, model=m).select(*PAIR_KEYS, "pred") for m in ("cb", "lgb"))
 
 
 @query(
@@ -294,9 +297,9 @@ def _(t):
     return scores.positive_totals(*two_runs(t), keys=["station", "horizon"])
 
 
-PARITY_SQL = """select station, horizon, fold, datetime, a.pred as pred_a, b.pred as pred_b
-from (select * from preds where model = 'cb') a full join (select * from preds where model = 'lgb') b using (station, horizon, fold, datetime)
-where coalesce(a.pred, 0) + coalesce(b.pred, 0) = 1"""
+PARITY_SQL = """select * from (
+  select station, horizon, fold, datetime, max(pred) filter (where model = 'cb') as pred_a, max(pred) filter (where model = 'lgb') as pred_b
+  from preds group by station, horizon, fold, datetime) where coalesce(pred_a, 0) + coalesce(pred_b, 0) = 1"""
 
 
 @query("pred_parity", PARITY_SQL, ["preds"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seafret.operators import grid, labels, prep, windows
 from seafret.plans import features as plan
-from seafret.schema import AVERAGED, BASE, COVARIATES, EARLY_STARTS, RAW_HEADERS, STATIONS, TIME_COLUMNS, lag_columns, lag_name, port_dim, start_dim
+from seafret.schema import AVERAGED, BASE, COVARIATES, EARLY_STARTS, PORTS, RAW_HEADERS, STATIONS, TIME_COLUMNS, lag_columns, lag_name, port_dim, start_dim
 from workload.registry import query
 from workload.standins import FOG, FOG_FRAME, GRID, HOT, LATE_START, MEAN_FRAME, MEANS, RAW_STEP, SETTINGS, STARTS, STDS, TEST_START_SQL, TIMES, interpolation_sql
 
@@ -25,7 +25,8 @@ def _(t):
     return prep.rename_columns(raw, RAW_HEADERS)
 
 
-START_SQL = "case when station in ('SF_0001', 'SF_0003', 'SF_0004') then timestamp '2018-01-01' else timestamp '2018-01-02' end"
+EARLY = ", ".join(f"'{s}'" for s in STARTS)
+START_SQL = f"case when station in ({EARLY}) then timestamp '{min(STARTS.values())}' else timestamp '{LATE_START}' end"
 
 
 def late_starts(t):
@@ -42,7 +43,8 @@ def _(t):
     return prep.station_filter(t.obs, "SF_0003")
 
 
-PORT_VALUES = "(values ('SF_0001','부산항','부산항','Busan'), ('SF_0002','부산항(부산신항)','부산항신항','NBusan'), ('SF_0003','인천항','인천항','Incheon'), ('SF_0004','평택당진항','평택당진항','PTDJ'), ('SF_0005','군산항','군산항','Gunsan'), ('SF_0006','대산항','대산항','Daesan'), ('SF_0007','목포항','목포항','Mokpo'), ('SF_0008','여수항','여수광양항','Yeosu'), ('SF_0009','해운대','해운대','Haeundae'), ('SF_0010','울산항','울산항','Ulsan'), ('SF_0011','포항항','포항항','Pohang')) as p(station, port, old_port, city)"
+PORT_ROWS = ", ".join(f"('{code}','{port}','{old}','{city}')" for port, old, code, city in PORTS)
+PORT_VALUES = f"(values {PORT_ROWS}) as p(station, port, old_port, city)"
 
 
 @query("set_station", f"select p.port as station, datetime, vis20 from obs join {PORT_VALUES} using (station)", ["obs"], ["vis20"])
