@@ -2,10 +2,12 @@
 
 A page becomes text lines, one for each block. Pages of a host are ordered by URL path; each is aligned with its neighbours in that
 order (the nearest ones with other lines) by longest common subsequence, and lines it shares with them are deleted: at the
-head and tail of the page if one neighbour has them, inside it if both have. Lines that the markup marks as the article stay even
-if shared, since articles quote each other; lines it marks as something else go.
+head and tail of the page if one neighbour has them, inside it if both have. This decides on every page; markup is a check after it.
+Shared lines of a marked article stay, since articles quote each other, unless the whole of it is shared and shorter than what is
+left of the page (a card, not the article); lines marked as something else go. Unmarked lines that are not shared stay.
 
-Null html and null urls count as empty; a page without a host has no neighbours. Ties in the order go by the page's hash. Repeated pages
+Null html and null urls count as empty; a page without a host has no neighbours. On a page without neighbours unmarked lines go if
+marked articles hold more text. Ties in the order go by the page's hash. Repeated pages
 are each other's copies and are not compared with each other. An empty table gives an empty result; other columns are not read.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,14 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from seafret.llm.common import attach, bounded, text_of, written
+from seafret.llm.common import attach, text_of, written
 
-#: Lines by markup: marked as other than the article, unmarked, marked as the article.
+#: Lines by markup: marked as other than the article, unmarked, marked as the article. A line's kind is one of these plus
+#: BLOCK times the number of the element that marks it.
 OTHER, PLAIN, CORE = 0, 1, 2
+BLOCK = 4
+#: Instead of places: no page to compare with.
+NOBODY = [-1]
 
 # Elements of the HTML standard by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -96,7 +103,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
     kinds: list[int] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
-    kind, at = PLAIN, 0
+    kind, at, blocks = PLAIN, 0, 0
 
     def flush() -> None:
         if parts:
@@ -147,7 +154,12 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 break
             if stack[depth][0] in limit:
                 break
-        new = kind_of(name, attributes, kind)
+        new = kind_of(name, attributes, kind % BLOCK)
+        if new == kind % BLOCK:
+            new = kind
+        elif new != OTHER:
+            blocks += 1
+            new += BLOCK * blocks
         if name in BLOCKS or new != kind:
             flush()
         elif name in ("td", "th"):
@@ -215,25 +227,23 @@ def place(url: str | None) -> tuple[str, str]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, core, rows = [], [], []
+        at, rows = [], []
         for url, html in zip(batch.column(1), batch.column(2)):
             at.append(place(url.as_py()))
-            lines, kinds = page_lines(html.as_py() or "")
-            core.append(CORE in kinds)
+            lines, _ = page_lines(html.as_py() or "")
             rows.append([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([h for h, _ in at], pa.string()),
                 pa.array([p for _, p in at], pa.string()),
-                pa.array(core, pa.bool_()),
                 pa.array(rows, pa.list_(pa.int64())),
             ],
-            ["mark", "host", "path", "core", "hashes"],
+            ["mark", "host", "path", "hashes"],
         )
 
 
-#: A row for each page that needs its shared lines (mark, run) and one for each run of pages with equal lines (run, size, ...).
+#: A row for each page (mark, run) and one for each run of pages with equal lines (run, size, ...).
 DIFF = "mark long, run long, size long, host string, path string, before array<int>, after array<int>, hashes array<long>"
 ARROW = pa.schema(
     [
@@ -261,7 +271,7 @@ class Run:
 
 
 def _share(one: Run, other: Run) -> None:
-    both = lcs(one.hashes, other.hashes) if one.host and one.host == other.host else ([], [])
+    both = lcs(one.hashes, other.hashes) if one.host and one.host == other.host else (NOBODY, NOBODY)
     one.after, other.before = both
 
 
@@ -282,7 +292,7 @@ def _diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = 0
     for batch in batches:
         rows = []
-        for mark, host, path, core, hashes in zip(*(batch.column(k) for k in range(5))):
+        for mark, host, path, hashes in zip(*(batch.column(k) for k in range(4))):
             new = Run(base + n, host.as_py(), path.as_py(), np.asarray(hashes.values.to_numpy(zero_copy_only=False)))
             if run is None or not run.same(new):
                 if run is not None:
@@ -290,9 +300,8 @@ def _diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(told(run))
                 run = new
                 n += 1
-            if not core.as_py():
-                run.size += 1
-                rows.append({"mark": mark.as_py(), "run": run.run})
+            run.size += 1
+            rows.append({"mark": mark.as_py(), "run": run.run})
         yield _rows(rows)
     if run is not None:
         yield _rows([told(run)])
@@ -317,17 +326,18 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for group in groups:
         before, after = group[0].before, group[-1].after
-        rows += [{"run": r.run, "size": sizes[r.run], "before": [] if before is None else before, "after": [] if after is None else after} for r in group]
+        before, after = NOBODY if before is None else before, NOBODY if after is None else after
+        rows += [{"run": r.run, "size": sizes[r.run], "before": before, "after": after} for r in group]
     yield _rows(rows)
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """mark, before, after of pages without a marked article: places of the lines shared with the neighbours on their host.
+    """mark, before, after of pages and their number: places of the lines shared with the neighbours on their host.
 
     Pages are dealt out by range of host, path and mark, so a host with a third of all pages is cut like any other; the runs at
     the borders, two for each partition, are compared in one small task. No result depends on where the borders are.
     """
-    hashed = read(pages).mapInArrow(_hashed, "mark long, host string, path string, core boolean, hashes array<long>")
+    hashed = read(pages).mapInArrow(_hashed, "mark long, host string, path string, hashes array<long>")
     hashed = written(hashed, "page-lines")
     order = ("host", "path", "mark")
     diffs = written(hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_diff, DIFF), "page-diffs")
@@ -336,8 +346,10 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     inner = runs.filter(F.col("before").isNotNull() & F.col("after").isNotNull())
     names = ("run", "size", "before", "after")
     runs = written(inner.select(*names).unionByName(edges.mapInArrow(_borders, DIFF).select(*names)), "page-runs")
-    marked = diffs.filter(F.col("size").isNull()).select("mark", "run").dropDuplicates(["mark"])
-    return attach(marked, runs.filter("size > 0"), "run", "size").select("mark", "before", "after")
+    marked = diffs.filter(F.col("size").isNull()).groupBy("mark", "run").agg(F.count(F.lit(1)).alias("copies"))
+    # copies of a row are side by side, but a border may give them two runs
+    marked = marked.groupBy("mark").agg(F.min("run").alias("run"), F.sum("copies").alias("copies"))
+    return attach(marked, runs, "run", "size").select("mark", "copies", "before", "after")
 
 
 def read(pages: DataFrame) -> DataFrame:
@@ -361,26 +373,45 @@ def deleted(n: int, before: list[int] | None, after: list[int] | None) -> np.nda
 
 
 def main_text(lines: list[str], kinds: list[int], before: list[int] | None = None, after: list[int] | None = None) -> str:
+    """Lines that the alignment with the neighbours (None: there is none) leaves, checked by markup."""
     k = np.array(kinds, np.int64)
-    if (k == CORE).any():
-        keep = k == CORE
+    role, block = k % BLOCK, k // BLOCK
+    size = np.array([len(x) for x in lines], np.int64)
+    core, plain = role == CORE, role == PLAIN
+    if before is None and after is None:
+        keep = core | plain if size[plain].sum() >= size[core].sum() else core
     else:
-        keep = (k == PLAIN) & ~deleted(len(lines), before, after)
+        gone = deleted(len(lines), before, after)
+        keep = (core | plain) & ~gone
+        left = size[keep].sum()
+        for b in np.unique(block[core & gone]):
+            article = core & (block == b)
+            if keep[article].any() or size[article].sum() >= left:
+                keep |= article
     return "\n".join([x for x, y in zip(lines, keep) if y])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed html: all pages are shuffled once to meet their shared lines."""
+    for batch in batches:
+        packed = [zlib.compress(html.as_py(), 1) for html in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["mark", "page_id", "url", "packed"])
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for html, before, after in zip(batch.column(2), batch.column(3), batch.column(4)):
-            lines, kinds = page_lines(html.as_py() or "")
-            texts.append(main_text(lines, kinds, before.as_py(), after.as_py()))
+            lines, kinds = page_lines(zlib.decompress(html.as_py()).decode("utf-8", "replace"))
+            sides = [None if x == NOBODY else x for x in (before.as_py(), after.as_py())]
+            texts.append(main_text(lines, kinds, *sides))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    shared = written(shared_lines(pages), "page-shared").withColumnRenamed("mark", "__mark")
-    joined = read(pages).join(bounded(shared), F.col("mark") == F.col("__mark"), "left")
-    found = joined.select("page_id", "url", "html", "before", "after").mapInArrow(_texts, "page_id long, url string, text string")
+    shared = written(shared_lines(pages), "page-shared")
+    packed = read(pages).select("mark", "page_id", "url", F.col("html").cast("binary")).mapInArrow(_packed, "mark long, page_id long, url string, packed binary")
+    joined = attach(packed, shared, "mark", "copies")
+    found = joined.select("page_id", "url", "packed", "before", "after").mapInArrow(_texts, "page_id long, url string, text string")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

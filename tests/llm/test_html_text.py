@@ -99,5 +99,21 @@ def test_marked_articles_keep_quoted_lines(spark):
     assert {r.page_id: r.text for r in h.extract(frame).collect()} == {i: f"same\n{i}" for i in range(4)}
 
 
+def test_alignment_decides_on_pages_with_marked_lines(spark):
+    """A card or a wrapper that is marked as the article must not hide the unmarked text; shared unmarked lines go as on any page."""
+    html = "<div>home</div><article class='teaser'><p>card</p></article><div>text {0}</div><div>more {0}</div><div>(c) host</div>"
+    wrap = "<div>home</div><div class='page-content'><p>by {0}</p></div><div>body of {0}</div><div>(c) host</div>"
+    rows = [(i, f"http://h/{i}", html.format(i)) for i in range(4)] + [(10 + i, f"http://w/{i}", wrap.format(i)) for i in range(4)]
+    rows += [(20, "http://alone/", "<article class='teaser'>card</article><div>the text itself</div>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"text {i}\nmore {i}" for i in range(4)} | {10 + i: f"by {i}\nbody of {i}" for i in range(4)} | {20: "card\nthe text itself"}
+    assert {r.page_id: r.text for r in h.extract(frame).collect()} == want
+
+
+def test_copies_of_an_article_keep_it():
+    lines, kinds = h.page_lines("<nav>m</nav><article><p>one and two</p><p>three</p></article>seen 5 times")
+    assert h.main_text(lines, kinds, [0, 1, 2], [0, 1, 2]) == "one and two\nthree\nseen 5 times"
+
+
 def test_empty(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string, mark string")).count() == 0
