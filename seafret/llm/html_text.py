@@ -35,7 +35,9 @@ NOBODY = [-1]
 
 # Elements of the HTML standard by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object canvas textarea select title".split()
+# Dropped with what they hold: to the end of the page if never closed, or only from opening to closing part.
+RAW = {"script", "style"}
+CLOSED = set("template svg iframe textarea select title".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead "
@@ -62,12 +64,12 @@ CORE_NAMES = set(
 
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW | CLOSED}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)")
@@ -120,15 +122,22 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
         kind = stack[depth][1]
         del stack[depth:]
 
-    for token in TOKENS.finditer(html):
+    open_ended: set[str] = set()
+    while token := TOKENS.search(html, at):
         if token.start() > at:
             parts.append(entities.unescape(html[at : token.start()]))
         at = token.end()
-        name = token[3] or token[6]
+        name = token[2] or token[5]
         if name is None:
             continue
         name = name.lower()
-        slash, attributes = (token[2], token[4]) if token[3] else (token[5], token[7])
+        slash, attributes = (token[1], token[3]) if token[2] else (token[4], token[6])
+        if not slash and (name in RAW or name in CLOSED and not attributes.endswith("/")) and name not in open_ended:
+            end = END[name].search(html, at)
+            if end or name in RAW:
+                at = end.end() if end else len(html)
+                continue
+            open_ended.add(name)
         if slash:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:

@@ -115,5 +115,24 @@ def test_copies_of_an_article_keep_it():
     assert h.main_text(lines, kinds, [0, 1, 2], [0, 1, 2]) == "one and two\nthree\nseen 5 times"
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', "one two\nthree"),
+        ('<p>a<svg title="1 > 0"/>b<svg><text>no</text></svg>c</p>', "abc"),
+        ('<p>a<iframe src="x" />b</p><p>c</p>', "ab\nc"),
+        ("<p>a<canvas>b</p><p>c</p>", "ab\nc"),
+        ("<p>a<svg>b</p><p>c<svg>d</p>", "ab\ncd"),
+        ("<p>a</p><noscript><p>b</p><template><p>c</p>", "a\nb\nc"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b <object data='f'>fall <b>back</b></object></p>", "a x=1 b fall back"),
+        ("<p>a</p><script>x = '<p>no</p>'", "a"),
+        ("<p>a<SCRIPT>x</SCRIPT >b</p>", "ab"),
+        ("<p>a<script src=x/>no</script>b</p>", "ab"),
+    ],
+)
+def test_only_raw_elements_hide_text(html, want):
+    assert text(html) == want
+
+
 def test_empty(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string, mark string")).count() == 0
