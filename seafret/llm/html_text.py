@@ -4,7 +4,8 @@ A page becomes text lines, one for each block. Pages of a host are ordered by UR
 order (the nearest ones with other lines) by longest common subsequence, and lines it shares with them are deleted: at the
 head and tail of the page if one neighbour has them, inside it if both have. This decides on every page; markup is a check after it.
 Shared lines of a marked article stay, since articles quote each other, unless the whole of it is shared and shorter than what is
-left of the page (a card, not the article); lines marked as something else go. Unmarked lines that are not shared stay.
+left of the page (a card, not the article); lines marked as something else go. Unmarked lines that are not shared stay. A block
+that is only named like something else (search, related) goes if the neighbours have all its lines.
 
 Null html and null urls count as empty; a page without a host has no neighbours. On a page without neighbours unmarked lines go if
 marked articles hold more text. Ties in the order go by the page's hash. Repeated pages
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from seafret.llm.common import attach, text_of, written
 
-#: Lines by markup: marked as other than the article, unmarked, marked as the article. A line's kind is one of these plus
-#: BLOCK times the number of the element that marks it.
-OTHER, PLAIN, CORE = 0, 1, 2
-BLOCK = 4
+#: Lines by markup: marked as other than the article, unmarked, marked as the article, in a block named like something else outside
+#: an article or in one. A line's kind is one of these plus BLOCK times the number of the element that marks it.
+OTHER, PLAIN, CORE, NAMED, INNER = 0, 1, 2, 3, 4
+BLOCK = 8
 #: Instead of places: no page to compare with.
 NOBODY = [-1]
 
@@ -47,16 +48,22 @@ CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 OTHER_ELEMENTS = set("head nav aside footer form button dialog menu label".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 CORE_ELEMENTS = {"article", "main"}
-# Words of class and id attributes.
-OTHER_WORDS = set(
-    "ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promotion promoted "
-    "banner sidebar sidebars menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs pager pagination footer masthead "
-    "topbar toolbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login signin search "
-    "share sharing social related recommended recommendations comment comments commentlist discussion disqus respond reply replies "
-    "popup modal overlay widget widgets copyright skip paywall alert".split()
+# Words of class and id attributes: comments and adverts go wherever they are, parts of the page's frame outside articles; all
+# others need the neighbours' word.
+CLEAR_WORDS = set("ad ads advert adverts advertisement advertisements advertising adsense adslot comment comments commentlist disqus".split())
+CLEAR_LABELS = {"share", "sharing"}
+FRAME_WORDS = set(
+    "sidebar sidebars menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs pager pagination footer masthead topbar "
+    "toolbar cookie cookies gdpr newsletter".split()
+)
+DOUBT_WORDS = FRAME_WORDS | set(
+    "sponsor sponsored sponsors promo promotion promoted banner consent notice notices subscribe subscription signup login signin "
+    "search share sharing social related recommended recommendations discussion respond reply replies popup modal overlay widget "
+    "widgets copyright skip paywall alert".split()
 )
 HEADER_WORDS = {"header"}
-NEUTRAL_WORDS = {"no", "has", "with", "without", "not"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+NEUTRAL_WORDS = {"no", "has", "with", "without", "not", "hoc"}
 CORE_NAMES = set(
     "article article-body article-content article-text articlebody post-body post-content post-text entry-content entry-body "
     "story-body main-content maincontent content-body page-content".split()
@@ -82,18 +89,28 @@ def kind_of(name: str, attributes: str, inside: int) -> int:
     own = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
     if name in OTHER_ELEMENTS or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", ""):
         return OTHER
-    if name == "header" and inside != CORE:
+    article = inside in (CORE, INNER)
+    if name == "header" and not article:
         return OTHER
     if own.get("role", "").lower() in OTHER_ROLES:
         return OTHER
-    names = f"{own.get('class', '')} {own.get('id', '')}".split()
+    # the id of a heading is the place a link leads to
+    names = f"{own.get('class', '')} {'' if name in HEADINGS else own.get('id', '')}".split()
+    doubt = False
     if name not in ("html", "body", "main"):
         for label in names:
-            words = [w.lower() for w in WORD.findall(label)]
-            if not NEUTRAL_WORDS.intersection(words):
-                found = OTHER_WORDS.intersection(words) or (inside != CORE and HEADER_WORDS.intersection(words))
-                if found and not (name == "article" and not found & {"comment", "comments", "reply", "replies"}):
+            words = {w.lower() for w in WORD.findall(label)}
+            if words & NEUTRAL_WORDS:
+                continue
+            if name == "article":
+                if words & {"comment", "comments", "reply", "replies"}:
                     return OTHER
+            elif words & CLEAR_WORDS or label.lower() in CLEAR_LABELS or (not article and words & FRAME_WORDS):
+                return OTHER
+            elif words & DOUBT_WORDS or (not article and words & HEADER_WORDS):
+                doubt = True
+    if inside == INNER or doubt:
+        return INNER if article else NAMED
     if name in CORE_ELEMENTS or own.get("role") == "main" or own.get("itemprop") == "articleBody" or CORE_NAMES.intersection(x.lower() for x in names):
         return CORE
     return inside
@@ -386,12 +403,22 @@ def main_text(lines: list[str], kinds: list[int], before: list[int] | None = Non
     k = np.array(kinds, np.int64)
     role, block = k % BLOCK, k // BLOCK
     size = np.array([len(x) for x in lines], np.int64)
-    core, plain = role == CORE, role == PLAIN
+    core, plain, named, inner = role == CORE, (role == PLAIN) | (role == NAMED), role == NAMED, role == INNER
     if before is None and after is None:
-        keep = core | plain if size[plain].sum() >= size[core].sum() else core
+        keep = core | inner
+        if size[plain].sum() >= size[keep].sum():
+            keep |= plain
     else:
         gone = deleted(len(lines), before, after)
+        known = [set(x) for x in (before, after) if x is not None]
+        shared = np.array([all(i in x for x in known) for i in range(len(lines))], bool)
         keep = (core | plain) & ~gone
+        for b in np.unique(block[named | inner]):
+            its = (named | inner) & (block == b)
+            if shared[its].all():
+                keep &= ~its
+            else:
+                keep |= its & inner
         left = size[keep].sum()
         for b in np.unique(block[core & gone]):
             article = core & (block == b)

@@ -134,5 +134,32 @@ def test_only_raw_elements_hide_text(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='discussion'><p>real {0}</p></section>",
+        "<h2 id='related-work'>real {0}</h2>",
+        "<h2 id='search-algorithms'>real {0}</h2>",
+        "<p class='notice'>real {0}</p>",
+        "<div class='social-history'>real {0}</div>",
+        "<div id='alert-levels'><div>real {0}</div></div>",
+        "<p class='ad-hoc'>real {0}</p>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<article><p>text {0}</p>%s</article>", "<p>text {0}</p>%s<p>end {0}</p>"])
+def test_names_alone_hide_no_text(page, part):
+    lines, kinds = h.page_lines((page % part).format(7))
+    assert "real 7" in h.main_text(lines, kinds).split("\n")
+    assert "real 7" in h.main_text(lines, kinds, [], []).split("\n")
+
+
+def test_named_blocks_go_if_the_neighbours_have_them():
+    html = "<article><p>a</p><div class='related'><h2>Related</h2><p>{}</p></div><p>b</p><section class='comments'>c</section><p>d</p></article>"
+    lines, kinds = h.page_lines(html.format("x"))
+    assert h.main_text(lines, kinds, [1, 2], [1, 2]) == "a\nb\nd"
+    assert h.main_text(lines, kinds, [1, 2], None) == "a\nb\nd"
+    assert h.main_text(lines, kinds, [1, 2], [1]) == h.main_text(lines, kinds, [1], [1]) == "a\nRelated\nx\nb\nd"
+
+
 def test_empty(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string, mark string")).count() == 0
