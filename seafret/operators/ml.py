@@ -206,7 +206,7 @@ def fit_pipeline(
     if valid is not None:
         clf = early_stopping(clf)
         rows = rows.unionByName(scaling.transform(valid.withColumn(VALID, F.lit(True))))
-    return PipelineModel([*scaling.stages, fit_classifier(clf, rows, classes=classes)])
+    return PipelineModel([*scaling.stages, fit_classifier(clf, rows, None if valid is None else PATIENCE, classes)])
 
 
 # ---- tables --------------------------------------------------------------------------
@@ -300,7 +300,7 @@ class Fit:
 
 
 def cv_fit(
-    folds: list[Fold], make_clf: Callable[[], Estimator], ratio: float = 1.0, classes: int = 2, patience: int | None = None
+    folds: list[Fold], make_clf: Callable[[], Estimator], ratio: float = 1.0, classes: int = 2, patience: int | None = PATIENCE
 ) -> list[Fit]:
     """A new model per fold; the folds are fitted side by side.
 
@@ -331,7 +331,7 @@ def cv_evaluate(
     make_clf: Callable[[], Estimator],
     ratio: float = 1.0,
     classes: int = 2,
-    patience: int | None = None,
+    patience: int | None = PATIENCE,
 ) -> DataFrame:
     """Fit and predict every fold; scores per fold."""
     preds = cv_predict(cv_fit(folds, make_clf, ratio, classes, patience))
@@ -365,7 +365,7 @@ def param_search(
     classes: int = 2,
     parallelism: int = 4,
     sink: Callable[[DataFrame], None] | None = None,
-    patience: int | None = None,
+    patience: int | None = PATIENCE,
 ) -> DataFrame:
     """Fit and score every draw of a study, as rows of the trial table.
 
@@ -425,7 +425,7 @@ def refit(
     params: dict,
     rounds: int | None = None,
     classes: int = 2,
-    patience: int | None = None,
+    patience: int | None = PATIENCE,
     static: bool = False,
 ) -> list[Fit]:
     """Fitted folds of a model with tuned parameters and tuned weight ratio (or the weights the folds have)."""
@@ -439,7 +439,7 @@ def refit_models(
     k: int,
     rounds: int | None = None,
     classes: int = 2,
-    patience: int | None = None,
+    patience: int | None = PATIENCE,
     static: bool = False,
 ) -> dict[str, list[Fit]]:
     """Refit the k best models of the place, best first."""
@@ -464,26 +464,35 @@ def refit_scores(fits: dict[str, list[Fit]], place: str, horizon: int, classes:
     return scores.fold_macro_mean(refit_folds(fits, place, horizon, classes), percent=True)
 
 
-def refit_best(folds: list[Fold], trials: DataFrame, place: str, horizon: int, rounds: int | None = None, classes: int = 2) -> DataFrame:
-    return refit_scores(refit_models(folds, trials, 1, rounds, classes), place, horizon, classes)
+def refit_best(
+    folds: list[Fold], trials: DataFrame, place: str, horizon: int, rounds: int | None = None, classes: int = 2,
+    patience: int | None = PATIENCE,
+) -> DataFrame:
+    return refit_scores(refit_models(folds, trials, 1, rounds, classes, patience), place, horizon, classes)
 
 
-def refit_top2(folds: list[Fold], trials: DataFrame, place: str, horizon: int, rounds: int | None = None, classes: int = 2) -> DataFrame:
+def refit_top2(
+    folds: list[Fold], trials: DataFrame, place: str, horizon: int, rounds: int | None = None, classes: int = 2,
+    patience: int | None = PATIENCE,
+) -> DataFrame:
     """Refit the best two and keep the one that scores better now."""
-    return trial_ops.best_of_refit(refit_scores(refit_models(folds, trials, 2, rounds, classes), place, horizon, classes))
+    return trial_ops.best_of_refit(refit_scores(refit_models(folds, trials, 2, rounds, classes, patience), place, horizon, classes))
 
 
-def ensemble_refit(folds: list[Fold], trials: DataFrame, horizon: int, rounds: int | None = None, classes: int = 2) -> DataFrame:
+def ensemble_refit(
+    folds: list[Fold], trials: DataFrame, horizon: int, rounds: int | None = None, classes: int = 2, patience: int | None = PATIENCE
+) -> DataFrame:
     """Refit all models and score their vote per station."""
-    preds = model_predictions(refit_models(folds, trials, 4, rounds, classes), horizon)
+    preds = model_predictions(refit_models(folds, trials, 4, rounds, classes, patience), horizon)
     return scores.ensemble_scores(preds, classes=classes)
 
 
 def export_topk_predictions(
-    folds: list[Fold], trials: DataFrame, k: int, horizon: int, path: str, rounds: int | None = None, classes: int = 2
+    folds: list[Fold], trials: DataFrame, k: int, horizon: int, path: str, rounds: int | None = None, classes: int = 2,
+    patience: int | None = PATIENCE, static: bool = False,
 ) -> DataFrame:
     """Refit the k best models; write models, predictions and the chosen names, return the latter."""
-    fits = refit_models(folds, trials, k, rounds, classes)
+    fits = refit_models(folds, trials, k, rounds, classes, patience, static)
     for name, fitted in fits.items():
         for f in fitted:
             tables.save_model(PipelineModel([*f.fold.scaling.stages, f.model]), f"{path}/models/{name}_{horizon}_cv{f.fold.number}")

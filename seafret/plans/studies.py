@@ -148,11 +148,13 @@ def tune(plan: Plan) -> DataFrame:
     return plan.status_table()
 
 
+def _weighted(plan: Plan, folds: list[ml.Fold]) -> list[ml.Fold]:
+    return folds if plan.static_weight is None else [ml.static_fold(f, plan.static_weight) for f in folds]
+
+
 def _refits(plan: Plan, station: str, horizon: int, folds: list[ml.Fold], k: int) -> dict[str, list[ml.Fit]]:
     """Refitted models of a place; with a static weight every row of class 0 weighs 1 / static_weight."""
-    if plan.static_weight is not None:
-        folds = [ml.static_fold(f, plan.static_weight) for f in folds]
-    return ml.refit_models(folds, plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, plan.static_weight is not None)
+    return ml.refit_models(_weighted(plan, folds), plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, plan.static_weight is not None)
 
 
 def refit_report(plan: Plan, k: int = 2, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -195,8 +197,10 @@ def export(plan: Plan, path: str, k: int = 1) -> DataFrame:
     """Refit the k best models of each place and write models, predictions and chosen names."""
 
     def run(station: str, horizon: int, folds: list[ml.Fold]) -> DataFrame:
+        target = f"{path}/{station}_{horizon}"
+        static = plan.static_weight is not None
         return ml.export_topk_predictions(
-            folds, plan.history(station, horizon), k, horizon, f"{path}/{station}_{horizon}", plan.rounds, plan.classes
+            _weighted(plan, folds), plan.history(station, horizon), k, horizon, target, plan.rounds, plan.classes, plan.patience, static
         )
 
     return _union(plan, _each_place(plan, "export", run), "export")

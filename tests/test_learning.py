@@ -276,3 +276,32 @@ def test_trend(spark):
     assert abs(row["slope"] - 0.25) < 1e-9 and abs(row["intercept"] - 2) < 1e-9
     assert forecast.detrend(df, "y").where("abs(y_detrended) > 1e-9").count() == 0
 
+
+
+def test_patience_holds_wherever_it_is_not_named(folds, monkeypatch):
+    import inspect
+
+    from seafret.plans import studies
+
+    names = "cv_fit cv_evaluate param_search refit refit_models refit_best refit_top2 ensemble_refit export_topk_predictions".split()
+    assert {n: inspect.signature(getattr(ml, n)).parameters["patience"].default for n in names} == dict.fromkeys(names, ml.PATIENCE)
+    seen = []
+    monkeypatch.setattr(ml, "fit_classifier", lambda clf, rows, patience=None, classes=2: seen.append(patience))
+    ml.cv_fit(folds, lambda: ml.learner("cb", ml.base_params(3)))
+    assert seen == [ml.PATIENCE] * len(folds)
+
+    told = []
+    plan = studies.Plan(None, "", "", stations=["a"], horizons=[1], patience=7, static_weight=0.5)
+    monkeypatch.setattr(studies.Plan, "history", lambda *a: "trials")
+    monkeypatch.setattr(ml, "static_fold", lambda fold, weight: (fold, weight))
+    monkeypatch.setattr(ml, "refit_models", lambda *a: told.append(a) or {})
+    monkeypatch.setattr(ml.tables, "write_predictions", lambda *a: None)
+    monkeypatch.setattr(ml.tables, "write_summary", lambda *a: None)
+    monkeypatch.setattr(ml, "model_predictions", lambda *a: None)
+    monkeypatch.setattr(ml.trial_ops, "topk_models", lambda *a: None)
+    monkeypatch.setattr(ml.trial_ops, "join_model_names", lambda *a: None)
+    monkeypatch.setattr(studies, "_each_place", lambda plan, step, work: [work("a", 1, ["fold"])])
+    monkeypatch.setattr(studies, "_union", lambda plan, parts, step: parts)
+    studies.export(plan, "out")
+    studies._refits(plan, "a", 1, ["fold"], 1)
+    assert told[0] == told[1] == ([("fold", 0.5)], "trials", 1, None, 2, 7, True)

@@ -122,7 +122,7 @@ BY_HORIZON = f"select distinct horizon, {ZERO} from usable"
 BY_STATION = f"select horizon, station, count(*) as n, {ZERO} from rows group by horizon, station"
 
 
-def fold_scores(s: Study, model: str, classes: int = 2, patience: int | None = None) -> DataFrame:
+def fold_scores(s: Study, model: str, classes: int = 2, patience: int | None = ml.PATIENCE) -> DataFrame:
     """Broken rules per horizon and fold of one learner."""
 
     def work(h: int) -> DataFrame:
