@@ -116,6 +116,26 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_notices_with_other_words_and_over_lines(spark):
+    notices = {
+        "Proprietary": ["Copyright 2024 Example Corp. All rights reserved."],
+        "MIT": ["Copyright (c) 2020 Jane Doe. Released under the MIT License.", "Licensed under the MIT license."],
+        "Apache-2.0": ["This file is part of Foo and is licensed under the Apache License, Version 2.0; see LICENSE.", "# Licensed under the\n# Apache License,\n# Version 2.0"],
+        "GPL-3.0": ["it under the terms of the GNU General Public License as published by", "you can redistribute it\nunder the terms of the GNU\nGeneral Public License as published by\nus"],
+        "LGPL-3.0": ["Licensed under the GNU Lesser General Public License."],
+    }
+    files = [(f"{k}/{i}.py", f"code of file {i}\n\n{n}\nmore code {i}", k) for k, ns in notices.items() for i, n in enumerate(ns)]
+    files += [(f"n/{i}.py", f"line {i} of the code is under the rights of all", None) for i in range(300)]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "doc_id long, path string, text string")
+    found = {r.path: r.license for r in licenses.scan(docs).collect()}
+    assert found == {p: k for p, _, k in files}
+
+
+def test_all_terms_have_frequencies():
+    m = licenses.Matcher({"A": ["one two"]}, 100, {"one": 3, "two": 5})
+    assert m.match("one two often", 0.0, {"often": 90})[1] > 0.98 > m.match("one two often", 0.0, {"often": 1})[1]
+
+
 def test_cosine_against_plain_vectors():
     m = licenses.Matcher({"A": ["one two three"], "B": ["two four"]}, 100, {"one": 3, "two": 50, "three": 1, "four": 9})
     vocab = ["one", "two", "three", "four", "zzz", "yyy"]
