@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from seafret.operators.timeline import row_index
 from seafret.schema import KEYS, TS, YEAR_PERIODS
@@ -70,6 +72,88 @@ def fold_roles(
     return df.join(days, [*keys, "fold", "day_group"], "left").withColumn("role", role).drop("is_valid")
 
 
+def class_days(
+    df: DataFrame, periods: list[tuple[str, str]], label: str = "label", keys: list[str] = KEYS, classes: int = 3, ts: str = TS
+) -> DataFrame:
+    """Rows per class of each (series, fold, day) outside the test period: n0, n1, ... ; rows are counted once, not once per fold."""
+    counts = [
+        F.count_if(~in_period(ts, start, end) & (F.col(label) == c)).alias(f"_{k}_{c}")
+        for k, (start, end) in enumerate(periods, 1)
+        for c in range(classes)
+    ]
+    by_day = day_group(df, ts).groupBy(*keys, "day_group").agg(*counts)
+    folds = [
+        F.struct(F.lit(k).alias("fold"), *[F.col(f"_{k}_{c}").alias(f"n{c}") for c in range(classes)]) for k in range(1, len(periods) + 1)
+    ]
+    days = by_day.select(*keys, "day_group", F.explode(F.array(*folds)).alias("_f")).select(*keys, "day_group", "_f.*")
+    return days.where(sum([F.col(f"n{c}") for c in range(1, classes)], F.col("n0")) > 0)
+
+
+def greedy_group_split(days: DataFrame, n_splits: int = SPLITS, keys: list[str] = KEYS, classes: int = 3) -> DataFrame:
+    """`part` 0 .. n_splits - 1 of every day of `class_days`, so that all classes are spread evenly over the parts.
+
+    Days come in order of the spread of their class counts, largest first, and go to the part whose class shares then vary
+    least (then to the one with fewest rows, then the first). The state of a (series, fold) is one counter per part and class, and its
+    input one row per day.
+    """
+    names = [f"n{c}" for c in range(classes)]
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = pdf[names].to_numpy(np.float64)
+        total = np.maximum(counts.sum(axis=0), 1)
+        order = np.lexsort((pdf["day_group"].to_numpy(), -counts.std(axis=1)))
+        held, rows = np.zeros((n_splits, classes)), np.zeros(n_splits)
+        part = np.zeros(len(pdf), np.int64)
+        for i in order:
+            # the sum of shares does not depend on the part, so the cross term alone tells the variances apart
+            cost = held @ (counts[i] / total**2)
+            best = np.lexsort((np.arange(n_splits), rows, cost))[0]
+            part[i] = best
+            held[best] += counts[i]
+            rows[best] += counts[i].sum()
+        return pdf.assign(part=part.astype(np.int32))
+
+    schema = T.StructType([*days.schema.fields, T.StructField("part", T.IntegerType())])
+    return days.groupBy(*keys, "fold").applyInPandas(deal, schema)
+
+
+def fold_bits(
+    df: DataFrame, periods: list[tuple[str, str]] = YEAR_PERIODS, n_splits: int = SPLITS, label: str = "label", keys: list[str] = KEYS,
+    classes: int = 2, ts: str = TS,
+) -> DataFrame:
+    """`test_bits` and `valid_bits`: bit k - 1 is set if the row is tested, or validates, in fold k; any other row trains in it.
+
+    A row stays one row whatever the number of folds. Two classes are dealt as in `stratified_group_split`, more by
+    `greedy_group_split`. The day table is written first; its real size then decides how it is joined.
+    """
+    days = class_days(df, periods, label, keys, classes, ts)
+    if classes == 2:
+        by_fog = Window.partitionBy(*keys, "fold").orderBy(F.desc("n1"), "day_group")
+        days = days.withColumn("part", (F.row_number().over(by_fog) - 1) % n_splits)
+    else:
+        days = greedy_group_split(days, n_splits, keys, classes)
+    bit = F.when(F.col("part") == 0, F.expr("shiftleft(1, fold - 1)")).otherwise(0)
+    valid = materialize(days.groupBy(*keys, "day_group").agg(F.sum(bit).cast("int").alias("valid_bits")), "days")
+    tested = [F.when(in_period(ts, s, e), 1 << k).otherwise(0) for k, (s, e) in enumerate(periods)]
+    rows = day_group(df, ts).join(valid, [*keys, "day_group"], "left")
+    return rows.select(*df.columns, sum(tested[1:], tested[0]).cast("int").alias("test_bits"), F.coalesce("valid_bits", F.lit(0)).alias("valid_bits"))
+
+
+def by_fold(bits: DataFrame, folds: int) -> DataFrame:
+    """`fold` and `role` from the bits; choosing one fold leaves a plain scan, as the others are empty by their literal."""
+    rest = [c for c in bits.columns if c not in ("test_bits", "valid_bits")]
+
+    def one(k: int) -> DataFrame:
+        has = lambda c: F.col(c).bitwiseAND(1 << (k - 1)) != 0
+        role = F.when(has("test_bits"), "test").when(has("valid_bits"), "valid").otherwise("train")
+        return bits.select(*rest, F.lit(k).alias("fold"), role.alias("role"))
+
+    out = one(1)
+    for k in range(2, folds + 1):
+        out = out.unionByName(one(k))
+    return out
+
+
 def first_fold_only(df: DataFrame) -> DataFrame:
     return df.where(F.col("fold") == 1)
 

@@ -18,9 +18,9 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seafret.operators import folds as fold_ops, prep, scores, trials as trial_ops, weights
+from seafret.operators import boosting, folds as fold_ops, prep, scores, trials as trial_ops, weights
 from seafret.schema import KEYS, TS, YEAR_PERIODS
-from seafret.session import in_threads, materialize
+from seafret.session import in_threads, materialize, new_path
 from seafret.sources import tables
 
 LABEL, WEIGHT, FEATURES, VALID = "label", "weight", "features", "is_valid"
@@ -97,13 +97,14 @@ def spark_params(params: dict, names: dict[str, str]) -> dict:
     return out
 
 
-def boosted_trees(params: dict, classes: int = 2, label: str = LABEL) -> Estimator:
-    """Gradient boosted trees; more than two classes are fitted one against the rest."""
+def boosted_trees(params: dict, classes: int = 2, label: str = LABEL, joint: bool = False) -> Estimator:
+    """Gradient boosted trees; more than two classes are fitted one against the rest, or share one softmax if `joint`."""
     settings = {"maxIter": ROUNDS, "seed": 1} | spark_params(params, BOOSTED)
     gbt = GBTClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, **settings)
     if classes == 2:
         return gbt
-    return OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT)
+    kind = boosting.JointBoosting if joint else OneVsRest
+    return kind(classifier=gbt, featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT)
 
 
 def random_forest(params: dict, label: str = LABEL) -> RandomForestClassifier:
@@ -111,10 +112,10 @@ def random_forest(params: dict, label: str = LABEL) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, **settings)
 
 
-def learner(model: str, params: dict, classes: int = 2) -> Estimator:
+def learner(model: str, params: dict, classes: int = 2, joint: bool = False) -> Estimator:
     """Learner of a model name: cb, lgb and xgb are boosted, rf is a forest."""
     params = DEFAULT_PARAMS[model] | params
-    return random_forest(params) if model == "rf" else boosted_trees(params, classes)
+    return random_forest(params) if model == "rf" else boosted_trees(params, classes, joint=joint)
 
 
 def early_stopping(clf: Estimator, col: str = VALID, tol: float = 1e-4) -> Estimator:
@@ -126,31 +127,6 @@ def early_stopping(clf: Estimator, col: str = VALID, tol: float = 1e-4) -> Estim
     return clf
 
 
-def best_round(losses: list[float], patience: int) -> int:
-    """Number of rounds up to the best one, seen by stopping after `patience` rounds without a gain."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
-def fit_patient(clf: GBTClassifier, train: DataFrame, valid: DataFrame, patience: int = PATIENCE) -> Model:
-    """Boost on the training rows and keep the rounds up to the best one by the validation rows.
-
-    Rounds do not depend on later ones, so the shorter model is the beginning of the longer one.
-    """
-    clf = clf.copy()
-    clf.clear(clf.validationIndicatorCol)
-    model = clf.fit(train)
-    if valid.isEmpty():
-        return model
-    rounds = best_round(model.evaluateEachIteration(valid), patience)
-    return model if rounds == clf.getMaxIter() else clf.copy({clf.maxIter: rounds}).fit(train)
-
-
 def fit_one_vs_rest(clf: OneVsRest, rows: DataFrame, fit: Callable[[Estimator, DataFrame], Model], classes: int) -> OneVsRestModel:
     """One binary model per class, each fitted like any binary learner, joined to one model."""
     label = clf.getLabelCol()
@@ -168,12 +144,16 @@ def fit_classifier(clf: Estimator, rows: DataFrame, patience: int | None = None,
 
     Boosted learners that stop early get the flagged rows only to decide when; all others never see them.
     """
+    train = rows.where(~F.col(VALID))
+    if isinstance(clf, boosting.JointBoosting):
+        one = clf.getClassifier()
+        stops = patience or (1 if one.isSet(one.validationIndicatorCol) else None)
+        return boosting.fit_joint(clf, train, rows.where(VALID), classes, stops)
     if isinstance(clf, OneVsRest):
         return fit_one_vs_rest(clf, rows, lambda c, r: fit_classifier(c, r, patience), classes)
-    train = rows.where(~F.col(VALID))
     if isinstance(clf, GBTClassifier):
         if patience:
-            return fit_patient(clf, train, rows.where(VALID), patience)
+            return boosting.fit_patient(clf, train, rows.where(VALID), patience)
         if clf.isSet(clf.validationIndicatorCol):
             return clf.fit(rows)
     return clf.fit(train)
@@ -235,21 +215,21 @@ def fold_table(
     keys: list[str] = KEYS,
     name: str = "rows",
     path: str | None = None,
+    classes: int = 2,
 ) -> DataFrame:
     """Rows once per fold with their role.
 
-    Only the rows themselves are written; the copies per fold are made while reading, so a
-    table of n rows is stored once and not once per fold. With `path` the caller owns the
-    written rows and can discard them when its fits are done.
+    The rows are written once with bits that tell their roles; a fold is read from them by its bit, so neither the table
+    nor a scan of one fold holds copies. With `path` the caller owns the written rows (below `path`/rows) and can discard them.
     """
-    written = materialize(rows, name, path)
-    parts = fold_ops.fold_roles(fold_ops.year_folds(fold_ops.day_group(written), periods), keys=keys)
-    return parts.select(*rows.columns, "fold", "role")
+    bits = fold_ops.fold_bits(rows, periods, keys=keys, classes=classes)
+    written = materialize(bits, name, path and f"{path}/rows")
+    return fold_ops.by_fold(written, len(periods))
 
 
 @dataclass
 class Fold:
-    """One fold ready to fit: rows scaled as they are read, with the validation flag, and test rows."""
+    """One fold ready to fit: written scaled vectors with the validation flag, and test rows."""
 
     number: int
     scaling: PipelineModel
@@ -266,8 +246,13 @@ def usable_folds(table: DataFrame, positive: int = 1) -> list[int]:
     return sorted(r["fold"] for r in counts.where("fog > 0 and classes > 1").collect())
 
 
-def prepare_folds(table: DataFrame, cols: list[str], folds: list[int] | None = None, positive: int = 1) -> list[Fold]:
-    """Fit the scaler of each fold once, whatever is tuned later; no fold is written."""
+def prepare_folds(
+    table: DataFrame, cols: list[str], folds: list[int] | None = None, positive: int = 1, path: str | None = None
+) -> list[Fold]:
+    """Fit the scaler of each fold and write its vectors once, whatever is tuned later.
+
+    With `path` the vectors are below it and the caller discards them.
+    """
     numbers = usable_folds(table, positive) if folds is None else folds
     if not numbers:
         raise NoUsableFold("no fold has fog rows to test and two classes to train on")
@@ -276,7 +261,10 @@ def prepare_folds(table: DataFrame, cols: list[str], folds: list[int] | None = N
         part = table.where(F.col("fold") == number)
         scaling = scaler(cols).fit(part.where("role = 'train'"))
         keep = [c for c in table.columns if c not in cols]
-        scaled = scaling.transform(part).select(*keep, FEATURES)
+        vectors = scaling.transform(part).select(*keep, FEATURES)
+        target = f"{path}/fold-{number}" if path else new_path(table.sparkSession, "fold")
+        # one folder per role, so that a fit does not read test rows
+        scaled = materialize(vectors, "fold", target, ["role"])
         train = scaled.where("role != 'test'").withColumn(VALID, F.col("role") == "valid")
         return Fold(number, scaling, train, scaled.where("role = 'test'"))
 
@@ -521,11 +509,16 @@ def batch_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 def predict_proba(model: PipelineModel, df: DataFrame, keep: list[str] = [*KEYS, TS]) -> DataFrame:
     """pred and one probability per class, p0, p1, ...
 
-    Models fitted one class against the rest give each class a margin; its logistic values are scaled to add up to 1.
+    Joint boosting gives each class a margin of one softmax. Models fitted one class against the rest give
+    separate margins, whose logistic values are scaled to add up to 1.
     """
     last = model.stages[-1]
     out = _labelled(model, df)
-    if isinstance(last, OneVsRestModel):
+    if boosting.is_joint(last):
+        classes = len(last.models)
+        margin = vector_to_array("rawPrediction")
+        out = out.withColumn("_p", F.array(*boosting.softmax([margin[c] for c in range(classes)])))
+    elif isinstance(last, OneVsRestModel):
         classes = len(last.models)
         share = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
         total = F.aggregate("_share", F.lit(0.0), lambda a, x: a + x)
@@ -542,8 +535,10 @@ def feature_importance(model: Model, cols: list[str] | None = None) -> DataFrame
     if cols is None:
         cols = next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols()
     fitted = stages[-1].models if isinstance(stages[-1], OneVsRestModel) else [stages[-1]]
-    each = [m.featureImportances.toArray() for m in fitted]
-    values = [float(sum(v) / len(each)) for v in zip(*each)]
+    each = [m.featureImportances.toArray().tolist() for m in fitted]
+    # the array may end with the last column that a tree uses
+    each = [v + [0.0] * (len(cols) - len(v)) for v in each]
+    values = [sum(v) / len(each) for v in zip(*each)]
     return SparkSession.builder.getOrCreate().createDataFrame(list(zip(cols, values)), "feature string, importance double")
 
 

@@ -48,14 +48,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seafret/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Write once to the shared folder and continue from the written table.
 
     Iterative jobs (many fits over one table) then neither recompute the whole
     feature plan nor lose it with an executor, and later scans still prune columns.
     """
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import series
-from seafret.operators import forecast, ml, prep, scores, trials, weights
+from seafret.operators import boosting, forecast, ml, prep, scores, trials, weights
 from seafret.session import new_path
 
 LIMITS = {"n_estimators": 3, "depth": 3, "max_depth": 3}
@@ -59,14 +59,14 @@ def test_early_stopping_stops_and_needs_no_retry(folds):
 
 
 def test_patience_keeps_the_best_round(folds):
-    assert ml.best_round([3, 2, 1, 2, 2, 0.5], 2) == 3
-    assert ml.best_round([3, 2, 1, 2, 2, 0.5], 3) == 6
-    assert ml.best_round([1, 1, 1], 10) == 1
+    assert boosting.best_round([3, 2, 1, 2, 2, 0.5], 2) == 3
+    assert boosting.best_round([3, 2, 1, 2, 2, 0.5], 3) == 6
+    assert boosting.best_round([1, 1, 1], 10) == 1
     coin = F.pmod(F.xxhash64("datetime", F.lit("coin")), F.lit(2)).cast("int")
     rows = folds[0].train.withColumn("label", coin).cache()
     clf = ml.boosted_trees({"n_estimators": 15, "depth": 2, "learning_rate": 0.5})
     losses = clf.fit(rows.where("not is_valid")).evaluateEachIteration(rows.where("is_valid"))
-    assert ml.fit_classifier(clf, rows, patience=4).getNumTrees == ml.best_round(losses, 4) < 15
+    assert ml.fit_classifier(clf, rows, patience=4).getNumTrees == boosting.best_round(losses, 4) < 15
 
 
 @pytest.mark.parametrize("classes", [2, 3])

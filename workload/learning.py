@@ -1,7 +1,7 @@
 """Queries on fitting, tuning, refitting and forecasting.
 
-One study over all stations, with the station columns among the features, for every horizon. Each query builds its own
-features and folds. Fits cannot be said in SQL; their queries return one row per place and fold with the number of results that break
+One study over all stations, with the station columns among the features, for every horizon. Features and folds are written once
+per session. Fits cannot be said in SQL; their queries return one row per place and fold with the number of results that break
 a rule (a score outside 0..1, a label outside the classes, probabilities that do not add up to 1), and the SQL says which rows
 there must be and that no rule is broken.
 """
@@ -9,11 +9,13 @@ there must be and that no rule is broken.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from threading import Lock
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seafret.operators import folds as fold_ops, forecast, ml, prep, trials as trial_ops
-from seafret.schema import HORIZONS, MODELS, STATIONS, TIME_COLUMNS, lag_columns
+from seafret.operators import folds as fold_ops, forecast, ml, prep, scores, trials as trial_ops
+from seafret.schema import HORIZONS, KEYS, MODELS, STATIONS, TIME_COLUMNS, TS, lag_columns
 from seafret.session import materialize, new_path
 from seafret.sources import tables
 from workload.registry import cte, query
@@ -23,29 +25,50 @@ COLS = lag_columns() + TIME_COLUMNS + STATIONS
 #: Rounds or trees of every fit of these queries (a run takes up to ml.ROUNDS), and draws of a study in `param_search`.
 ROUNDS = 20
 DRAWS = 2
+#: Rounds of joint three-class boosting, each one tree per class.
+JOINT_ROUNDS = 6
 PLACE = "ALL"
 BASE = ml.base_params(ROUNDS)
 
 
+#: Written features and prepared folds of a session, by what they are made of.
+_made: dict[tuple, object] = {}
+_making = Lock()
+
+
+def once(key: tuple, make):
+    """What `make` returned for the key in this session; queries over the same tables share it."""
+    with _making:
+        lock = _made.setdefault((*key, "lock"), Lock())
+    with lock:
+        if key not in _made:
+            _made[key] = make()
+    return _made[key]
+
+
 @dataclass
 class Study:
-    """Rows and folds of all horizons, made once per query."""
+    """Rows and folds of all horizons, made once per session and folder of tables."""
 
     tables: Tables
     classes: int = 2
     features: DataFrame = field(init=False)
 
     def __post_init__(self):
-        self.features = materialize(self.tables.features, "features")
+        self.key = (self.tables.spark.sparkContext.applicationId, self.tables.dir)
+        self.features = once((*self.key, "features"), lambda: materialize(self.tables.features, "features"))
 
     def rows(self, horizon: int) -> DataFrame:
         return ml.training_rows(self.features, COLS, f"{'y' if self.classes == 2 else 'y3'}_{horizon}", self.classes)
 
     def folds(self, horizon: int) -> list[ml.Fold]:
-        table = ml.fold_table(self.rows(horizon), self.tables.periods)
-        if self.classes == 3:
-            table = fold_ops.first_fold_only(table)
-        return ml.prepare_folds(table, COLS, positive=self.classes - 1)
+        def make() -> list[ml.Fold]:
+            table = ml.fold_table(self.rows(horizon), self.tables.periods, classes=self.classes)
+            if self.classes == 3:
+                table = fold_ops.first_fold_only(table)
+            return ml.prepare_folds(table, COLS, positive=self.classes - 1)
+
+        return once((*self.key, "folds", horizon, self.classes), make)
 
     def model(self, horizon: int):
         """A model of the rows before the test period, and all rows."""
@@ -186,6 +209,29 @@ def _(t):
     return prep.union_stations([fold_scores(s, m, 3).withColumn("model", F.lit(m)) for m in ("cb", "rf")])
 
 
+@query("classify_3class_joint", FOLDS3_OK, ["usable3"])
+def _(t):
+    """Three classes by boosting with one softmax; its scores, and its log loss must be below that of the class shares."""
+    s = Study(t, 3)
+
+    def work(h: int) -> DataFrame:
+        parts = []
+        for fit in ml.cv_fit(s.folds(h), lambda: ml.learner("cb", ml.base_params(JOINT_ROUNDS) | {"learning_rate": 0.4}, 3, joint=True), 0.3, 3):
+            test, k = fit.fold.test, fit.fold.number
+            table = scores.score_table(ml.cv_predict([fit]), ["fold"], [0, 1, 2]).select("fold", outside(*METRICS).alias("outside"))
+            own = F.element_at(F.array("p0", "p1", "p2"), F.col(ml.LABEL) + 1)
+            p = ml.predict_proba(PipelineModel([fit.model]), test, [*KEYS, TS, ml.LABEL])
+            shares = test.groupBy(ml.LABEL).count().agg(F.sum(F.col("count") * F.log("count")).alias("a"), F.sum("count").alias("n"))
+            loss = p.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-12)))).alias("loss"), F.count_if(unlikely(3)).alias("unlikely"))
+            # weights favour rare classes, so the bar is the loss of equal shares where that is higher
+            bar = F.greatest(F.log(F.col("n")) - F.col("a") / F.col("n"), F.log(F.lit(3.0)))
+            wrong = (F.col("loss") >= bar) | (F.col("unlikely") > 0)
+            parts.append(table.join(loss.crossJoin(shares).select(F.lit(k).alias("fold"), wrong.alias("wrong")), "fold").select("fold", (F.col("outside") | F.col("wrong")).cast("long").alias("bad")))
+        return prep.union_stations(parts)
+
+    return every_horizon(work)
+
+
 @query(
     "param_search",
     f"select horizon, unnest(['cb', 'lgb', 'rf', 'xgb']) as model, cast({DRAWS} as bigint) as n, {ZERO} from (select distinct horizon from usable)",
