@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seafret.functions.columns import floor_div
 from seafret.operators.scores import error_mae_mape
@@ -44,9 +44,48 @@ def trend_fit(df: DataFrame, col: str, keys: list[str] = KEYS, ts: str = TS) ->
     return _line(row_index(df.select(*keys, ts, col), keys, ts, ROW), col, keys)
 
 
-def detrend(df: DataFrame, col: str, keys: list[str] = KEYS, ts: str = TS) -> DataFrame:
-    """`col` less its trend, as <col>_detrended."""
+def _position(n: Column) -> Column:
+    """Row number of a series of n rows, moved and scaled to -1 .. 1, where powers stay well apart."""
+    return (2 * F.col(ROW) - (n - 1)) / F.greatest(n - 1, F.lit(1))
+
+
+def _polynomial(rows: DataFrame, col: str, degree: int, keys: list[str]) -> DataFrame:
+    """keys, n, coefficients: sums of powers are combined before the shuffle, and one small system is solved per series."""
+    sizes = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
+    placed = rows.join(sizes, keys).where(F.col(col).isNotNull()).withColumn("_u", _position(F.col("n")))
+    power = lambda k: F.pow("_u", F.lit(float(k))) if k else F.lit(1.0)
+    sums = placed.groupBy(*keys).agg(
+        F.array(*[F.sum(power(k)) for k in range(2 * degree + 1)]).alias("left"), F.array(*[F.sum(power(k) * F.col(col)) for k in range(degree + 1)]).alias("right")
+    )
+
+    def solve(batches):
+        for pdf in batches:
+            if len(pdf):
+                at = np.add.outer(np.arange(degree + 1), np.arange(degree + 1))
+                left, right = np.stack(pdf["left"].to_numpy())[:, at], np.stack(pdf["right"].to_numpy())
+                # fewer rows than coefficients: the fit of least norm
+                found = [np.linalg.lstsq(a, b, rcond=1e-12)[0] for a, b in zip(left, right)]
+                yield pdf[keys].assign(coefficients=found)
+
+    fits = sums.mapInPandas(solve, f"{_types(rows, keys)}, coefficients array<double>")
+    return sizes.join(fits, keys, "left")
+
+
+def polynomial_trend(df: DataFrame, col: str, degree: int = 1, keys: list[str] = KEYS, ts: str = TS) -> DataFrame:
+    """Least-squares polynomial of each series: n and coefficients, ascending, of the row number moved and scaled to -1 .. 1."""
+    return _polynomial(materialize(row_index(df.select(*keys, ts, col), keys, ts, ROW), "indexed"), col, degree, keys)
+
+
+def detrend(df: DataFrame, col: str, keys: list[str] = KEYS, ts: str = TS, degree: int = 1) -> DataFrame:
+    """`col` less its trend of the given degree, as <col>_detrended."""
     rows = materialize(row_index(df, keys, ts, ROW), "indexed")
+    if degree != 1:
+        fits = _polynomial(rows.select(*keys, ROW, col), col, degree, keys)
+        fits = materialize(fits.select(*keys, F.col("n").alias("_n"), F.col("coefficients").alias("_coefficients")), "trend")
+        value = F.col("_coefficients")[degree]
+        for k in range(degree - 1, -1, -1):
+            value = value * _position(F.col("_n")) + F.col("_coefficients")[k]
+        return rows.join(fits, keys).withColumn(f"{col}_detrended", F.col(col) - value).drop("_coefficients", "_n", ROW)
     line = F.col("intercept") + F.col("slope") * F.col(ROW)
     return (
         rows.join(materialize(_line(rows, col, keys).drop("n"), "trend"), keys)

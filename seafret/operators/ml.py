@@ -12,6 +12,8 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JNetworkError
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -159,13 +161,29 @@ def fit_classifier(clf: Estimator, rows: DataFrame, patience: int | None = None,
     return clf.fit(train)
 
 
+#: What Spark reports when the cluster failed and not the learner.
+LOST = (
+    "ExecutorLostFailure", "FetchFailed", "cancelled", "SparkContext was shut down", "SparkContext has been shutdown", "OutOfMemoryError",
+    "No space left on device",
+)
+
+
+def is_learner_error(error: Exception) -> bool:
+    """Whether a fit failed for its data or settings. Lost machines, full disks, missing tables and a closed session did not."""
+    if isinstance(error, (OSError, MemoryError, AnalysisException, Py4JNetworkError)):
+        return False
+    return not any(sign in str(error) for sign in LOST)
+
+
 def fit_retry(fit: Callable[[], Model], n: int = 2, fallback: Callable[[], Model] | None = None) -> tuple[Model, str]:
-    """Try a fit up to n times, then the fallback; also tells which one worked."""
+    """Try a fit up to n times, then the fallback; also tells which one worked. Only errors of the learner are retried."""
     error: Exception | None = None
     for attempt in range(1, n + 1):
         try:
             return fit(), f"fit {attempt}"
-        except Exception as e:  # any failure of the learner counts
+        except Exception as e:
+            if not is_learner_error(e):
+                raise
             error = e
     if fallback is None:
         raise error
@@ -407,6 +425,11 @@ def static_fold(fold: Fold, weight: float) -> Fold:
     return Fold(fold.number, fold.scaling, weights.sample_weight_static(fold.train, weight, LABEL), fold.test)
 
 
+def class_weighted_fold(fold: Fold, classes: int = 2, keys: list[str] = KEYS) -> Fold:
+    """The fold with the weight of its class for every row (1 for class 0, n0 / (n_c + 1) for class c), as learners take class weights."""
+    return Fold(fold.number, fold.scaling, weights.class_weighted(fold.train.drop(WEIGHT), LABEL, keys, classes), fold.test)
+
+
 def refit(
     folds: list[Fold],
     model: str,

@@ -29,7 +29,10 @@ STATUS = "station string, horizon int, step string, status string"
 
 @dataclass
 class Plan:
-    """What to run and where its tables are."""
+    """What to run and where its tables are.
+
+    Refits weigh rows by the tuned ratio, or all of class 0 by 1 / `static_weight`, or with `class_weight` every class by its share.
+    """
 
     spark: SparkSession
     features: str
@@ -45,6 +48,7 @@ class Plan:
     rounds: int | None = None
     patience: int | None = ml.PATIENCE
     static_weight: float | None = None
+    class_weight: bool = False
     parallelism: int = 4
     places_at_once: int = 2
     status: list[tuple[str, int, str, str]] = field(default_factory=list)
@@ -148,13 +152,21 @@ def tune(plan: Plan) -> DataFrame:
     return plan.status_table()
 
 
+def _fixed_weights(plan: Plan) -> bool:
+    if plan.class_weight and plan.static_weight is not None:
+        raise ValueError("choose static_weight or class_weight")
+    return plan.class_weight or plan.static_weight is not None
+
+
 def _weighted(plan: Plan, folds: list[ml.Fold]) -> list[ml.Fold]:
+    if plan.class_weight:
+        return [ml.class_weighted_fold(f, plan.classes) for f in folds]
     return folds if plan.static_weight is None else [ml.static_fold(f, plan.static_weight) for f in folds]
 
 
 def _refits(plan: Plan, station: str, horizon: int, folds: list[ml.Fold], k: int) -> dict[str, list[ml.Fit]]:
-    """Refitted models of a place; with a static weight every row of class 0 weighs 1 / static_weight."""
-    return ml.refit_models(_weighted(plan, folds), plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, plan.static_weight is not None)
+    """Refitted models of a place, with the tuned ratio or the weights that the plan fixes."""
+    return ml.refit_models(_weighted(plan, folds), plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, _fixed_weights(plan))
 
 
 def refit_report(plan: Plan, k: int = 2, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +210,7 @@ def export(plan: Plan, path: str, k: int = 1) -> DataFrame:
 
     def run(station: str, horizon: int, folds: list[ml.Fold]) -> DataFrame:
         target = f"{path}/{station}_{horizon}"
-        static = plan.static_weight is not None
+        static = _fixed_weights(plan)
         return ml.export_topk_predictions(
             _weighted(plan, folds), plan.history(station, horizon), k, horizon, target, plan.rounds, plan.classes, plan.patience, static
         )

@@ -111,6 +111,15 @@ def test_retry_then_fallback():
         ml.fit_retry(fails, 2)
 
 
+@pytest.mark.parametrize("error", [OSError("disk"), MemoryError(), Exception("Job aborted: ExecutorLostFailure (executor 3 exited)")])
+def test_other_errors_than_the_learners_rise(error):
+    def fails():
+        raise error
+
+    with pytest.raises(type(error)):
+        ml.fit_retry(fails, 2, lambda: "plain")
+
+
 def test_search_refit_and_ensemble(spark, folds):
     base = spark.createDataFrame([("ALL", 1, m) for m in ("rf", "cb")], "station string, horizon int, model string")
     history = []

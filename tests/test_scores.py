@@ -91,6 +91,54 @@ def test_folds_are_disjoint_by_day(spark):
     assert 0.15 < share < 0.27
 
 
+PERIODS = [("2018-01-25", "2018-02-05"), ("2018-01-10", "2018-01-20")]
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_greedy_parts_are_balanced(spark, classes):
+    df = hours(spark, 24 * 90, lambda i: (int(i % 24 < (i // 24) % 5) + int(classes == 3 and i % 24 == 1 and (i // 24) % 4 == 0)))
+    days = folds.class_days(df, PERIODS, classes=classes).cache()
+    names = [f"n{c}" for c in range(classes)]
+    dealt = folds.greedy_group_split(days, classes=classes).cache()
+    assert dealt.count() == days.count() and dealt.select("fold", "day_group").distinct().count() == days.count()
+    for fold in (1, 2):
+        mine = dealt.where(F.col("fold") == fold).toPandas()
+        assert set(mine["part"]) == set(range(5))
+        for n in names:  # no part is further from a fifth than the largest day of the class
+            share = mine.groupby("part")[n].sum() / mine[n].sum()
+            assert (share - 0.2).abs().max() <= mine[n].max() / mine[n].sum() + 1e-9
+
+
+def test_greedy_split_equals_trying_every_part(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [("s", d, 1, *map(int, r.integers(0, [150, 20, 4]))) for d in range(60)]
+    got = folds.greedy_group_split(spark.createDataFrame(rows, "station string, day_group int, fold int, n0 long, n1 long, n2 long")).collect()
+    total = np.array([x[3:] for x in rows]).sum(axis=0)
+    held, want = np.zeros((5, 3)), {}
+    for x in sorted(rows, key=lambda x: (-np.std(x[3:]), x[1])):
+        tried = []
+        for p in range(5):
+            after = held.copy()
+            after[p] += x[3:]
+            tried.append((round(float((after / total).var(axis=0).sum()), 15), held[p].sum(), p))
+        want[x[1]] = min(tried)[2]
+        held[want[x[1]]] += x[3:]
+    assert {r["day_group"]: r["part"] for r in got} == want
+
+
+def test_bits_say_what_exploded_roles_say(spark):
+    df = hours(spark, 24 * 40, lambda i: int(i % 24 < (i // 24) % 5))
+    want = folds.fold_roles(folds.year_folds(folds.day_group(df), PERIODS)).select("station", "datetime", "fold", "role")
+    bits = folds.fold_bits(df, PERIODS)
+    got = folds.by_fold(bits, 2).select("station", "datetime", "fold", "role")
+    assert bits.count() == df.count() and got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    plan = folds.by_fold(bits, 2).where("fold = 2")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Generate" not in plan
+
+
 def test_weights_with_and_without_fog(spark):
     some = weights.sample_weight_binary(hours(spark, 10, lambda i: int(i < 2)), 0.5).collect()
     assert {r["weight"] for r in some if r["label"] == 0} == {1 / (8 / 3 * 0.5)}

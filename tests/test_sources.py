@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from seafret.operators import prep
+from seafret.operators import prep, trials
 from seafret.schema import port_dim
 from seafret.sources import observations, runlog, tables
 
@@ -83,6 +83,44 @@ def test_runlog_layout(spark, tmp_path):
     assert runlog.scan_runlog(spark, str(tmp_path)).count() == 3
 
 
+NESTED = """# result of a search
+name: optuna
+best_params:
+  model_cfg.model_params.depth: 9   # tuned
+  'pos_label_ratio': 0.005
+  deep:
+      note: "a: b # c"
+      empty:
+best_evaluated_value: 1
+tags:
+- x
+- 'y z'
+best_params_other: 3
+best_value: 0.57
+"""
+
+
+def test_nested_settings(spark):
+    df = spark.createDataFrame([(NESTED,), ("",), (None,), ("a: 1\na: 2\n",)], "value string")
+    got = [r["m"] for r in df.select(runlog.flat_settings(F.col("value")).alias("m")).collect()]
+    assert got[0] == {
+        "name": "optuna", "best_params.model_cfg.model_params.depth": "9", "best_params.pos_label_ratio": "0.005",
+        "best_params.deep.note": "a: b # c", "best_evaluated_value": "1", "tags.0": "x", "tags.1": "y z", "best_params_other": "3", "best_value": "0.57",
+    }
+    assert got[1] == {} and got[2] is None and got[3] == {"a": "2"}
+
+
+def test_search_results_feed_the_overlay(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "optimization_results.yaml").write_text(NESTED)
+    results = runlog.scan_results(spark, str(tmp_path))
+    row = results.first()
+    assert row["run"] == "r1" and row["best_value"] == 0.57 and row["best_params"]["pos_label_ratio"] == "0.005"
+    base = spark.createDataFrame([("r1", "depth", "7"), ("r1", "l2_leaf_reg", "3")], "run string, param string, value string")
+    got = trials.overlay_params(base, runlog.best_params(results), ["run"]).orderBy("param").collect()
+    assert [(r["param"], r["value"]) for r in got] == [("depth", "9"), ("l2_leaf_reg", "3")]
+
+
 def test_partition_pruning(spark, tmp_path):
     df = spark.range(200).select(
         F.concat(F.lit("SF_000"), F.col("id") % 3 + 1).alias("station"),

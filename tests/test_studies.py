@@ -163,3 +163,19 @@ def test_top_k_limits_before_the_shuffle(spark):
 def test_class_weighted(spark):
     df = spark.createDataFrame([("s", 0)] * 6 + [("s", 1)] * 2, "station string, label int")
     assert {(r["label"], r["weight"]) for r in weights.class_weighted(df).collect()} == {(0, 1.0), (1, 2.0)}
+
+
+def test_class_weights_reach_the_fit(plan, monkeypatch):
+    mine = dataclasses.replace(plan, class_weight=True)
+    fold = plan.folds("SF_0001", 1)[0]
+    n = {r["label"]: r["count"] for r in fold.train.groupBy("label").count().collect()}
+    seen = []
+    monkeypatch.setattr(ml, "fit_classifier", lambda clf, rows, *a: seen.append(rows))
+    monkeypatch.setattr(ml.trial_ops, "topk_models", lambda *a: plan.spark.createDataFrame([("cb", 1)], "model string, rank int"))
+    monkeypatch.setattr(ml, "tuned_params", lambda trials: {"cb": {"pos_label_ratio": 0.3}})
+    monkeypatch.setattr(studies.Plan, "history", lambda *a: None)
+    studies._refits(mine, "SF_0001", 1, [fold], 1)
+    got = {r["label"]: r["weight"] for r in seen[0].select("label", "weight").distinct().collect()}
+    assert got == {0: 1.0, 1: n[0] / (n[1] + 1)}
+    with pytest.raises(ValueError):
+        studies._fixed_weights(dataclasses.replace(mine, static_weight=2.0))

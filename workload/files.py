@@ -143,3 +143,27 @@ def _(t):
     return runlog.scan_runlog(
         t.spark, path, "2.1", "train", "run=*/kind=config/part-*", "run=*/kind=metrics/part-*", r"run=([^/]+)/"
     )
+
+
+@query(
+    "scan_results",
+    """select station || '_' || horizon || '_' || model as run, value as best_value, param, coalesce(case param when 'depth' then depth
+  when 'learning_rate' then learning_rate end, base) as value
+from best cross join (values ('depth', 7e0), ('learning_rate', 0.075e0), ('l2_leaf_reg', 3e0)) as d(param, base)""",
+    ["best"],
+    ["best_value", "value"],
+)
+def _(t):
+    """Best trials are written as nested result files, read back and laid over default parameters."""
+    path = new_path(t.spark, "results")
+    best = trials.study_name(trials.best_trial(t.trials))
+    text = F.format_string(
+        "name: search\nbest_params:\n  model_cfg.model_params.depth: %s\n  'model_params.learning_rate': %s # tuned\n  unknown: 1\nbest_value: %s\n",
+        F.col("depth").cast("string"), F.col("learning_rate").cast("string"), F.col("value").cast("string"),
+    )
+    best.select(F.col("study").alias("run"), text.alias("value")).write.partitionBy("run").text(path)
+    results = runlog.scan_results(t.spark, path, "run=*/part-*", r"run=([^/]+)/")
+    defaults = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(v).alias("value")) for p, v in (("depth", "7"), ("learning_rate", "0.075"), ("l2_leaf_reg", "3"))])
+    base = results.select("run", "best_value", F.inline(defaults))
+    laid = trials.overlay_params(base, runlog.best_params(results), ["run"])
+    return laid.select("run", "best_value", "param", F.col("value").cast("double").alias("value"))

@@ -14,7 +14,7 @@ from threading import Lock
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seafret.operators import folds as fold_ops, forecast, ml, prep, scores, trials as trial_ops
+from seafret.operators import folds as fold_ops, forecast, ml, prep, scores, tree_forecast, trials as trial_ops
 from seafret.schema import HORIZONS, KEYS, MODELS, STATIONS, TIME_COLUMNS, TS, lag_columns
 from seafret.session import materialize, new_path
 from seafret.sources import tables
@@ -511,6 +511,25 @@ def _(t):
     return forecast.detrend(t.obs.select("station", "datetime", "sst"), "sst").drop("sst")
 
 
+@query(
+    "detrend_polynomial",
+    """with s as (select station, datetime, sst as y, row_number() over w - 1 as i, count(*) over (partition by station) as n from obs window w as (partition by station order by datetime)),
+p as (select *, (2 * i - (n - 1)) / greatest(n - 1, 1)::double as u from s),
+m as (select station, count(y)::double as a0, sum(u) filter (y is not null) as a1, sum(u ** 2) filter (y is not null) as a2, sum(u ** 3) filter (y is not null) as a3,
+  sum(u ** 4) filter (y is not null) as a4, sum(y) as b0, sum(y * u) as b1, sum(y * u ** 2) as b2 from p group by station),
+d as (select *, a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a3 * a2) + a2 * (a1 * a3 - a2 * a2) as det from m),
+c as (select station, (b0 * (a2 * a4 - a3 * a3) - a1 * (b1 * a4 - a3 * b2) + a2 * (b1 * a3 - a2 * b2)) / det as c0,
+  (a0 * (b1 * a4 - b2 * a3) - b0 * (a1 * a4 - a3 * a2) + a2 * (a1 * b2 - a2 * b1)) / det as c1,
+  (a0 * (a2 * b2 - a3 * b1) - a1 * (a1 * b2 - a2 * b1) + b0 * (a1 * a3 - a2 * a2)) / det as c2 from d)
+select station, datetime, y - (c0 + c1 * u + c2 * u * u) as sst_detrended from p join c using (station)""",
+    ["obs"],
+    ["sst_detrended"],
+)
+def _(t):
+    """A trend of the second degree taken off, against its normal equations in SQL."""
+    return forecast.detrend(t.obs.select("station", "datetime", "sst"), "sst", degree=2).drop("sst")
+
+
 SERIES = """(select station, sst, row_number() over (partition by station order by datetime) as i from obs where datetime {side} TEST_START)"""
 TRAIN, TEST = SERIES.format(side="<").replace("TEST_START", TEST_START_SQL), SERIES.format(side=">=").replace("TEST_START", TEST_START_SQL)
 
@@ -583,3 +602,35 @@ def _(t):
         wrong = F.isnan("pred") | (F.abs("pred") > 1000) | F.col("window").isNull() | F.col("mae").isNull() | F.col("mape").isNull()
         parts.append(counted(made, ["station", "trend"], wrong))
     return prep.union_stations(parts)
+
+
+TREES = {"rounds": 10, "depth": 4, "rate": 0.3}
+
+
+@query(
+    "recursive_forecast_trees",
+    f"select station, count(*) as n, {ZERO} from {TEST} group by station",
+    ["obs", "cal"],
+)
+def _(t):
+    """All test rows are forecast by one tree ensemble on two lags; forecasts stay near the range of what was seen and are not all alike."""
+    train, test = halves(t)
+    ahead = tree_forecast.recursive_forecast_trees(train, "sst", 2, forecast.series_lengths(test), **TREES)
+    seen = train.agg(F.min("sst").alias("lo"), F.max("sst").alias("hi")).first()
+    wide = seen["hi"] - seen["lo"]
+    rows = forecast.forecast_errors(ahead, test, "sst")
+    return counted(rows, ["station"], F.isnan("pred") | ~F.col("pred").between(seen["lo"] - wide, seen["hi"] + wide))
+
+
+@query(
+    "searched_forecast_trees",
+    f"select station, count(*) as n, {ZERO} from {TEST} group by station",
+    ["obs", "cal"],
+)
+def _(t):
+    """Window of each series by expanding folds of tree ensembles, then all its test rows, MAE and MAPE."""
+    train, test = halves(t)
+    rows, errors = tree_forecast.searched_tree_forecast(train, test, "sst", (2, 5), **TREES)
+    made = rows.join(materialize(errors, "errors"), "station", "left")
+    wrong = F.isnan("pred") | F.col("window").isNull() | ~F.col("window").isin(2, 5) | F.col("mae").isNull() | outside("mape", top=10.0)
+    return counted(made, ["station"], wrong | F.col("pred").isNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from seafret.operators import folds, prep, scores, weights
 from seafret.schema import STATIONS
@@ -31,6 +31,39 @@ def _(t):
     return folds.stratified_group_split(t.folds).withColumn("day_group", F.col("day_group").cast("long"))
 
 
+CLASS_DAYS = """select station, fold, cast(day_group as bigint) as day_group, count(*) filter (where label3 = 0) as n0, count(*) filter (where label3 = 1) as n1,
+  count(*) filter (where label3 = 2) as n2 from folds where not in_test and label3 is not null group by all"""
+
+
+@query("class_days", CLASS_DAYS, ["folds"])
+def _(t):
+    days = folds.class_days(t.labels, t.periods, "label3")
+    return days.withColumn("day_group", F.col("day_group").cast("long"))
+
+
+@query(
+    "greedy_group_split",
+    f"""select station, fold, count(*) as days, cast(sum(n0) as bigint) as n0, cast(sum(n1) as bigint) as n1, cast(sum(n2) as bigint) as n2, cast(0 as bigint) as unbalanced
+from ({CLASS_DAYS}) group by station, fold""",
+    ["folds"],
+)
+def _(t):
+    """All days are dealt; no part holds a share of a class further from a fifth than two of its largest days."""
+    names = ["n0", "n1", "n2"]
+    dealt = folds.greedy_group_split(folds.class_days(t.labels, t.periods, "label3"))
+    parts = dealt.groupBy("station", "fold", "part").agg(F.count("*").alias("days"), *[F.sum(n).alias(n) for n in names], *[F.max(n).alias(f"max_{n}") for n in names])
+    total = parts.groupBy("station", "fold").agg(
+        F.sum("days").alias("days"), *[F.sum(n).alias(n) for n in names], *[F.max(f"max_{n}").alias(f"max_{n}") for n in names],
+        F.collect_list(F.struct(*names)).alias("held"),
+    )
+
+    def far_from_a_fifth(n: str) -> Column:
+        return F.exists("held", lambda h: F.abs(h[n] - F.col(n) / 5) > F.col(f"max_{n}") * 2).cast("long")
+
+    far = [far_from_a_fifth(n) for n in names]
+    return total.select("station", "fold", "days", *names, (far[0] + far[1] + far[2]).alias("unbalanced"))
+
+
 @query("fold_roles", "select station, datetime, fold, role from roles", ["roles"])
 def _(t):
     return folds.fold_roles(t.folds).select("station", "datetime", "fold", "role")
