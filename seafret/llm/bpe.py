@@ -32,6 +32,11 @@ UNKNOWN_LETTERS = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7dd a7e2
 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
 UNKNOWN_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
 FIRST_UNKNOWN = "\u0558"
+# Combining marks (and one vowel sign that composes) which are newer than the library's tables: it leaves them where they are.
+UNKNOWN_MARKS = """7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50
+10f82-10f85 11070 1133b 1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1
+1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"""
+FIRST_UNKNOWN_MARK = "\u07fd"
 NEW_CAPITALS = {
     "1c89": 1, "a7cb": 0x264 - 0xA7CB, "a7cc": 1, "a7ce": 1, "a7d2": 1, "a7d4": 1, "a7da": 1, "a7dc": 0x19B - 0xA7DC,
     "10d50-10d65": 0x20, "16ea0-16eb8": 0x1B,
@@ -47,6 +52,7 @@ def _class(text: str) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(text))
 
 
+AT_MARKS = re.compile(f"([{_class(UNKNOWN_MARKS)}])")
 SMALL = {c: c + far for text, far in NEW_CAPITALS.items() for a, b in _ranges(text) for c in range(a, b + 1)}
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
@@ -199,7 +205,11 @@ def normal(text: str) -> str:
     """Composed and lower-cased letter by letter (no special final sigma)."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(SMALL)
+    if max(text) < FIRST_UNKNOWN_MARK:
+        composed = unicodedata.normalize("NFC", text)
+    else:  # a mark without a class divides what is put in order
+        composed = "".join([unicodedata.normalize("NFC", part) for part in AT_MARKS.split(text)])
+    return composed.replace("Σ", "σ").lower().translate(SMALL)
 
 
 _models: dict[str, WordBpe] = {}

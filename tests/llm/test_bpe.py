@@ -69,3 +69,18 @@ def test_frame(spark):
     whole = {r.doc_id: r for r in bpe.encode(messy(spark), PATH).collect()}
     assert whole[2].ids == [] and whole[2].decoded == ""
     assert whole[1].ids == LIBRARY.encode(rows()[0][1], add_special_tokens=False).ids
+
+
+def test_pairs_of_marks_equal_the_library():
+    """Every combining mark beside one of each class, in both orders."""
+    import unicodedata
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    mine = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))] + [chr(0x11930), chr(0x11935), chr(0x11938)]
+    partners = {unicodedata.combining(m): m for m in reversed(marks)}.values()
+    texts = [f"a{x}{y} b{y}{x}\u00e9" for x in marks for y in partners]
+    for i in range(0, len(texts), 500):
+        some = " ".join(texts[i : i + 500])
+        ids = library.encode(some, add_special_tokens=False).ids
+        assert np.frombuffer(mine.encode([some])[0], "<u4").tolist() == ids
