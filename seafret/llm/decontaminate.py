@@ -5,12 +5,14 @@ there does not hide a match. Test and training hashes are joined; around each hi
 other and compared, substitutions allowed.
 
 Tokens are runs of letters and digits, lower-cased. Null and empty texts have no tokens and never match. Items of fewer than
-six tokens, the shortest seed, cannot be told from common phrases and never match. Repeated rows repeat their result, ties among alignments go to the
+six tokens, the shortest seed, cannot be told from common phrases and never match. An item is its id and text: rows repeated with both
+are one item, items without an id are matched like others and reported with a null id. Repeated rows repeat their result, ties among alignments go to the
 longest, then the smallest item and offset; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,13 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seafret.llm.common import bounded, text_of, without, written
+from seafret.llm.common import SHARE, bounded, text_of, without, written
 
 TOKEN = re.compile(r"[^\W_]+")
 #: 1: hashed, 0: ignored. Every mask has weight 6; two substitutions at most three tokens apart never break all of them.
 MASKS = ("111111", "1110111", "11011011", "101011011", "110100111")
-#: An overlap counts if at least MIN_TOKENS tokens are equal, at least IDENTITY of the overlap is, and it has at least COVER of
-#: the item's tokens or LONG tokens.
+#: An overlap counts if at least MIN_TOKENS tokens are equal (of shorter items IDENTITY of their tokens), at least IDENTITY of the
+#: overlap is, and it has at least COVER of the item's tokens or LONG tokens.
 MIN_TOKENS = 8
 IDENTITY = 0.8
 COVER = 0.5
@@ -35,6 +37,8 @@ LONG = 13
 AROUND = 128
 #: Bits of the filter over test hashes: at most so many, whatever the size of the benchmark.
 FILTER_BITS = 1 << 27
+#: Parts of a heavy seed.
+SALTS = 64
 
 
 def token_hashes(text: str, memory: dict[str, int] | None = None) -> np.ndarray:
@@ -77,14 +81,14 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = token_hashes(text or "")
             for s, at in all_seeds(h):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, np.int64)), pa.array(at.astype(np.int32))], ["seed", "item_id", "item_at"]
+                    [pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, np.int64)), pa.array(at.astype(np.int32))], ["seed", "item", "item_at"]
                 )
 
 
 def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = [token_hashes(t or "").view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], ["item_id", "item_tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], ["item", "item_tokens"])
 
 
 def _probes(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +182,26 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if hi <= lo:
                 continue
             a, b, same = best_run(doc[lo:hi] == item[lo - r.shift : hi - r.shift])
-            if same >= min(MIN_TOKENS, len(item)) and (b - a >= LONG or b - a >= COVER * len(item)):
-                out.append((r.doc_id, r.text_mark, r.item_id, r.start + lo + a, lo - r.shift + a, b - a, same, len(item)))
-        yield pd.DataFrame(out, columns=["doc_id", "text_mark", "item_id", "doc_at", "item_at", "overlap", "matched", "item_tokens"])
+            if same >= min(MIN_TOKENS, math.ceil(IDENTITY * len(item))) and (b - a >= LONG or b - a >= COVER * len(item)):
+                out.append((r.doc_id, r.text_mark, r.item, r.start + lo + a, lo - r.shift + a, b - a, same, len(item)))
+        yield pd.DataFrame(out, columns=["doc_id", "text_mark", "item", "doc_at", "item_at", "overlap", "matched", "item_tokens"])
+
+
+def _met(hits: DataFrame, item_seeds: DataFrame) -> DataFrame:
+    """Hits with the items' seeds. A benchmark within the broadcast bound is broadcast; beyond it a seed with at least 1/SHARE of
+    all hits (a phrase that many documents share) is kept out of the shuffle by salt, its few item rows being copied to each salt."""
+    small = bounded(item_seeds)
+    if small is not item_seeds:
+        return hits.join(small, "seed")
+    hits = written(hits, "bench-seed-hits")
+    counts = written(hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "bench-seed-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(counts.filter(F.col("n") * SHARE >= total).select("seed", F.lit(True).alias("heavy")))  # at most SHARE seeds
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("segment", "place"), F.lit(SALTS))).otherwise(0)
+    dealt = hits.join(heavy, "seed", "left").withColumn("salt", salt).drop("heavy")
+    copies = F.when(F.col("heavy"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    spread = item_seeds.join(heavy, "seed", "left").withColumn("salt", F.explode(copies)).drop("heavy")
+    return dealt.join(spread, ["seed", "salt"]).drop("salt")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -188,23 +209,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A document is an id and a text (text_mark is its hash), so rows without an id are told apart. Of several overlaps of a pair the longest is given. Places are counted in tokens.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
-    item_seeds = written(items.mapInArrow(_item_seeds, "seed long, item_id long, item_at int"), "bench-seeds")
-    item_tokens = written(items.mapInArrow(_item_tokens, "item_id long, item_tokens array<long>"), "bench-tokens")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
+    rows = rows.groupBy("item_id", F.xxhash64("text").alias("item")).agg(F.min("text").alias("text"))
+    named = written(rows, "bench-items")
+    # items with one text are compared once
+    items = written(named.groupBy("item").agg(F.min("text").alias("text")), "bench-texts")
+    item_seeds = written(items.mapInArrow(_item_seeds, "seed long, item long, item_at int"), "bench-seeds")
+    item_tokens = written(items.mapInArrow(_item_tokens, "item long, item_tokens array<long>"), "bench-tokens")
     packed = hash_filter(item_seeds)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_mark"))
     found = read.mapInArrow(_segments(packed), "doc_id long, text_mark long, start int, tokens array<long>, seeds array<long>, places array<int>")
     segments = written(found.withColumn("segment", F.monotonically_increasing_id()), "bench-segments")
     hits = segments.select("segment", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("segment", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
-    met = hits.join(bounded(item_seeds), "seed").select("segment", "item_id", (F.col("place") - F.col("item_at")).alias("shift"))
+    met = _met(hits, item_seeds).select("segment", "item", (F.col("place") - F.col("item_at")).alias("shift"))
     met = written(met.distinct(), "bench-hits")
-    pairs = met.join(segments.select("segment", "doc_id", "text_mark", "start", "tokens"), "segment").join(bounded(item_tokens, 20_000), "item_id")
-    checked = pairs.select("doc_id", "text_mark", "item_id", "start", "shift", "tokens", "item_tokens").mapInPandas(
-        _verify, "doc_id long, text_mark long, item_id long, doc_at long, item_at long, overlap long, matched long, item_tokens long"
+    pairs = met.join(segments.select("segment", "doc_id", "text_mark", "start", "tokens"), "segment").join(bounded(item_tokens, 20_000), "item")
+    checked = pairs.select("doc_id", "text_mark", "item", "start", "shift", "tokens", "item_tokens").mapInPandas(
+        _verify, "doc_id long, text_mark long, item long, doc_at long, item_at long, overlap long, matched long, item_tokens long"
     )
     best = F.max(F.struct("overlap", "matched", (-F.col("doc_at")).alias("d"), (-F.col("item_at")).alias("i"), "item_tokens")).alias("b")
-    return checked.groupBy("doc_id", "text_mark", "item_id").agg(best).select(
+    checked = checked.groupBy("doc_id", "text_mark", "item").agg(best)
+    return checked.join(bounded(named.select("item", "item_id")), "item").select(
         "doc_id", "item_id", (-F.col("b.d")).alias("doc_at"), (-F.col("b.i")).alias("item_at"), "b.overlap", "b.matched", "b.item_tokens", "text_mark"
     )
 

@@ -76,3 +76,60 @@ def test_messy_and_empty(spark):
     assert left.filter("text is null").count() == docs.filter("text is null").count()
     assert d.overlaps(empty(spark), bench(spark, [ITEM])).count() == 0
     assert d.overlaps(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_items_without_an_id_repeated_and_of_equal_text(spark):
+    items = [(None, ITEM), (None, ITEM), (3, ITEM), (None, "one two three four five six seven eight nine ten"), (None, None)]
+    docs = spark.createDataFrame([(1, f"x {ITEM} y"), (2, "one two three four five six seven eight nine ten"), (3, "clean")], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in d.overlaps(docs, table).collect()), key=str)
+    assert got == [(1, 3), (1, None), (2, None)]
+    assert [r.doc_id for r in d.keep_clean(docs, table).collect()] == [3]
+
+
+def test_eight_tokens_with_one_substitution(spark):
+    words = ITEM.split()[:8]
+    docs = [(i, " ".join(["x"] * 20 + words[:i] + ["other"] + words[i + 1 :] + ["y"] * 20)) for i in range(8)]
+    got = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, [" ".join(words)])).collect()
+    assert {r.doc_id for r in got} == set(range(8)) and {r.matched for r in got} <= {7}
+
+
+def brute(docs, items):
+    """All documents laid over all items at every shift."""
+    found = set()
+    for doc, text in docs:
+        a = d.token_hashes(text or "")
+        for item, other in items:
+            b = d.token_hashes(other or "")
+            for shift in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, shift), min(len(a), shift + len(b))
+                i, j, same = d.best_run(a[lo:hi] == b[lo - shift : hi - shift])
+                if len(b) >= 6 and same >= min(d.MIN_TOKENS, -(-4 * len(b) // 5)) and (j - i >= d.LONG or j - i >= d.COVER * len(b)):
+                    found.add((doc, item))
+    return found
+
+
+def test_whole_result_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 300)}"
+    items = [(i, " ".join(word() for _ in range(rng.integers(8, 30)))) for i in range(25)]
+    common = " ".join(word() for _ in range(14))  # a passage that many documents and items share
+    items += [(100 + i, f"{common} {word()} {word()}") for i in range(5)]
+    docs = []
+    for i in range(120):
+        parts = [word() for _ in range(rng.integers(0, 40))]
+        if i % 3 == 0:
+            planted = items[rng.integers(0, len(items))][1].split()
+            for _ in range(rng.integers(0, 3)):
+                planted[rng.integers(0, len(planted))] = word()
+            at = rng.integers(0, len(parts) + 1)
+            parts[at:at] = planted
+        docs.append((i, " ".join(parts + ([common] if i % 5 == 0 else []))))
+    want = brute(docs, items)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.overlaps(*frames).collect()}
+    assert got <= want  # nothing that is no overlap
+    # masks see through two substitutions at most three tokens apart; the others are what seeding may lose
+    assert len(want - got) <= 0.02 * len(want)
+    monkeypatch.setattr(d, "bounded", lambda df, rows=0: df)  # as beyond the broadcast bound
+    assert {(r.doc_id, r.item_id) for r in d.overlaps(*frames).collect()} == got
