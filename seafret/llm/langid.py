@@ -8,11 +8,11 @@ repeat their result; an empty table gives an empty result; without labelled rows
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -28,7 +28,8 @@ FIT_PER_LANG = 600
 FIT_WINDOWS = 6
 EPOCHS = 8
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters by Unicode category; numerals such as \u00b2, \u2460 or \u2167 are none.
+LETTER = regex.compile(r"\p{L}")
 #: The pipeline keeps a text if its language is known with at least this probability.
 MIN_SCORE = 0.35
 
@@ -162,25 +163,29 @@ def _groups(able: list[int], texts: list[str | None]) -> Iterator[list[int]]:
 def fit(docs: DataFrame) -> ByteCnn:
     """Learn from documents that are not held out and have a language and text.
 
-    The network is fitted on the driver on a bounded sample: at most FIT_PER_LANG texts of each language, FIT_TEXTS in all,
-    those with the smallest hash of their id, FIT_WINDOWS windows of each, cut on the executors.
+    The network is fitted on the driver on a bounded sample: at most FIT_PER_LANG different texts of each language, FIT_TEXTS in all,
+    those with the smallest hash, FIT_WINDOWS windows of each, cut on the executors. Repeated texts of a language count once, so
+    neither copies nor a repeated id fill the sample or exceed its bound.
     """
-    known = docs.select("doc_id", "lang", "text").filter(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(FIT_TEXTS), "languages")
+    known = docs.select("lang", "text").filter(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_TEXTS)
+    counts = written(counts, "languages")
     langs = counts.count()
     if not langs:
         return ByteCnn([])
     each = max(1, min(FIT_PER_LANG, FIT_TEXTS // langs))
     # a share by hash first, so that no language meets whole in one task; then the exact bound
-    share = F.least(F.lit(1.0), F.lit(1.5 * each + 50) / F.col("n"))
+    share = F.least(F.lit(1.0), F.lit(1.7 * each + 50) / F.col("n"))
     shares = F.broadcast(counts.select(F.col("lang").alias("__lang"), share.alias("__share")))
-    mark = F.xxhash64(F.col("doc_id").cast("string"))
-    few = known.select("doc_id", "lang", mark.alias("mark")).join(shares, F.col("lang") == F.col("__lang"))
-    few = few.filter(F.pmod("mark", F.lit(1 << 30)) < F.col("__share") * (1 << 30))
-    by_lang = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "doc_id")
+    few = known.select("lang", mark.alias("mark")).join(shares, F.col("lang") == F.col("__lang"))
+    few = few.filter(F.pmod("mark", F.lit(1 << 30)) < F.col("__share") * (1 << 30)).select("lang", "mark").distinct()
+    by_lang = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark")
     ids = few.withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= each)
-    chosen = F.broadcast(ids.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__in")).distinct())
-    sample = known.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "lang", "text")
+    chosen = F.broadcast(ids.select(F.col("lang").alias("__lang"), F.col("mark").alias("__mark")))
+    sample = known.withColumn("mark", mark).join(chosen, (F.col("lang") == F.col("__lang")) & (F.col("mark") == F.col("__mark")))
+    # one row of each text: copies are combined before the shuffle
+    sample = sample.groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -190,9 +195,9 @@ def fit(docs: DataFrame) -> ByteCnn:
                 x, _, used = windows([one.text])
                 full = np.flatnonzero(used == WINDOW) if (used == WINDOW).any() else np.arange(len(x))
                 at = full[np.unique(np.linspace(0, len(full) - 1, FIT_WINDOWS).astype(int))]
-                yield pd.DataFrame({"doc_id": one.doc_id, "lang": one.lang, "bytes": [x[i].tobytes() for i in at]})
+                yield pd.DataFrame({"mark": one.mark, "lang": one.lang, "bytes": [x[i].tobytes() for i in at]})
 
-    got = sample.mapInPandas(cut, "doc_id long, lang string, bytes binary").toPandas().sort_values(["doc_id", "lang", "bytes"])
+    got = sample.mapInPandas(cut, "mark long, lang string, bytes binary").toPandas().sort_values(["mark", "lang", "bytes"])
     net = ByteCnn(sorted(set(got["lang"])))
     if net.langs:
         x = np.frombuffer(b"".join(got["bytes"]), np.uint8).reshape(-1, WINDOW)

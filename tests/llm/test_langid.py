@@ -73,3 +73,30 @@ def test_empty_or_unlabelled(spark):
     assert langid.identify(empty(spark)).count() == 0
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.identify(docs).first()[1:] in [(h, "und", 0.0) for h in (True, False)]
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["\u00b2 12", "\u2460 \u2461", "\u00bd", "\u2167", "_", "12 a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = langid.fit(frames_of(spark))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, net).collect()}
+    assert [got[i] for i in range(5)] == ["und"] * 5 and got[5] != "und"
+
+
+def frames_of(spark):
+    from frames import PROSE
+
+    return spark.createDataFrame([(i, f"{PROSE[k]} {i}", k) for i in range(60) for k in PROSE], "doc_id long, text string, lang string")
+
+
+def test_a_repeated_row_does_not_fill_the_sample(spark, monkeypatch):
+    docs = frames_of(spark)
+    hot = spark.range(3000).selectExpr("cast(1 as long) as doc_id", "'le chat est sur le tapis' as text", "'fr' as lang")
+    monkeypatch.setattr(langid, "FIT_PER_LANG", 20)
+    seen = []
+    real = langid.ByteCnn.fit
+    monkeypatch.setattr(langid.ByteCnn, "fit", lambda self, x, y: seen.append((self.langs, y)) or real(self, x, y))
+    langid.fit(docs.unionByName(hot))
+    langs, y = seen[0]
+    n = np.bincount(y)[langs.index("fr")]
+    assert 10 <= n <= 20 * langid.FIT_WINDOWS  # texts here have one window
