@@ -161,7 +161,10 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAIN, most: int = FIT_ROWS) -> Chain:
-    """Fit on the driver on at most `most` labelled texts; only their hashed words are collected."""
+    """Fit on the driver on at most `most` labelled texts; only their hashed words are collected.
+
+    Rows repeated with one id and text count once, and the bound holds for rows, not only for ids.
+    """
     marks = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(F.col(f"`{c}`")).cast("double").alias(c) for c in categories])
     marks = marks.withColumn("order", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("order", "doc_id").limit(most)
     marks = F.broadcast(marks.select(F.col("doc_id").alias("__id"), "order", *categories))
@@ -172,6 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAIN,
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), *batch.columns[1:]], ["words", "order", *categories])
 
     picked = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__id")).select(text_of().alias("text"), "order", *categories)
+    # copies are combined before the shuffle
+    picked = picked.groupBy(F.xxhash64("text").alias("mark"), "order").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in categories])
+    picked = picked.orderBy("order", "mark").limit(most).select("text", "order", *categories)
     shape = "words array<long>, order long, " + ", ".join(f"`{c}` double" for c in categories)
     got = picked.mapInArrow(read, shape).toPandas()
     got["n"] = got["words"].map(len)
