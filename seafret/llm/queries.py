@@ -88,7 +88,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.dedup_in_two(table(spark, sf_dir, "documents"))
 
 
 @query("op9_toxicity")
