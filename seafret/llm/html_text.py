@@ -3,12 +3,13 @@
 A page becomes text lines, one for each block. Pages of a host are ordered by URL path; each is aligned with its neighbours in that
 order (the nearest ones with other lines) by longest common subsequence, and lines it shares with them are deleted: at the
 head and tail of the page if one neighbour has them, inside it if both have. This decides on every page; markup is a check after it.
-Shared lines of a marked article stay, since articles quote each other, unless the whole of it is shared and shorter than what is
-left of the page (a card, not the article); lines marked as something else go. Unmarked lines that are not shared stay. A block
-that is only named like something else (search, related) goes if the neighbours have all its lines.
+Shared lines of a marked article stay, since articles quote each other. An article all of whose lines all neighbours have is a card
+or a copy: it goes if it is named a card and the page has text of its own, or if that text holds sentences; else it stays. Lines marked as
+something else go. Unmarked lines that are not shared stay. A block that is only named like something else (search, related) goes if
+the neighbours have all its lines. No rule compares lengths.
 
-Null html and null urls count as empty; a page without a host has no neighbours. On a page without neighbours unmarked lines go if
-marked articles hold more text. Ties in the order go by the page's hash. Repeated pages
+Null html and null urls count as empty; a page without a host has no neighbours. On a page without neighbours nothing is known
+to be shared: all lines stay that are not marked or named as something else, but beside an article text outside of any element goes. Ties in the order go by the page's hash. Repeated pages
 are each other's copies and are not compared with each other. An empty table gives an empty result; other columns are not read.
 """
 
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from seafret.llm.common import attach, text_of, written
 
 #: Lines by markup: marked as other than the article, unmarked, marked as the article, in a block named like something else outside
-#: an article or in one. A line's kind is one of these plus BLOCK times the number of the element that marks it.
-OTHER, PLAIN, CORE, NAMED, INNER = 0, 1, 2, 3, 4
+#: an article or in one, outside of any element, in an article named a card. A line's kind is one of these plus BLOCK times the
+#: number of the element that marks it.
+OTHER, PLAIN, CORE, NAMED, INNER, BARE, CARD = 0, 1, 2, 3, 4, 5, 6
 BLOCK = 8
 #: Instead of places: no page to compare with.
 NOBODY = [-1]
@@ -45,7 +47,11 @@ BLOCKS = set(
     "tr ul video audio".split()
 )
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-OTHER_ELEMENTS = set("head nav aside footer form button dialog menu label".split())
+OTHER_ELEMENTS = set("head nav aside footer form menu".split())
+# Controls: text where they stand in a sentence, parts of the frame elsewhere.
+CONTROLS = {"button", "label"}
+TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote figcaption caption pre".split())
+INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time u var".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 CORE_ELEMENTS = {"article", "main"}
 # Words of class and id attributes: comments and adverts go wherever they are, parts of the page's frame outside articles; all
@@ -61,6 +67,13 @@ DOUBT_WORDS = FRAME_WORDS | set(
     "search share sharing social related recommended recommendations discussion respond reply replies popup modal overlay widget "
     "widgets copyright skip paywall alert".split()
 )
+# Whole labels of comments and adverts, which are believed inside articles too.
+WHOLE_LABEL = re.compile(
+    r"(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|comments?|commentlist|disqus)"
+    r"(?:[-_](?:list|area|section|form|box|thread|wrapper|wrap|container|block|slot|unit|banner|label|respond))*",
+    re.I,
+)
+CARD_WORDS = set("card cards teaser teasers preview snippet tile excerpt featured".split())
 HEADER_WORDS = {"header"}
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NEUTRAL_WORDS = {"no", "has", "with", "without", "not", "hoc"}
@@ -82,22 +95,26 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)")
 
 
-def kind_of(name: str, attributes: str, inside: int) -> int:
-    """What an element makes of its content, given what it is inside of."""
+def kind_of(name: str, attributes: str, inside: int, around: list[str] = ()) -> int:
+    """What an element makes of its content, given what it is inside of (kind, and names of the open elements)."""
     if inside == OTHER:
         return OTHER
+    if name in CONTROLS and not TEXT_BLOCKS.intersection(around):
+        return OTHER
     own = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
     if name in OTHER_ELEMENTS or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", ""):
         return OTHER
-    article = inside in (CORE, INNER)
+    article = inside in (CORE, INNER, CARD)
+    code = name in ("pre", "code") or "pre" in around or "code" in around
+    card = False
     if name == "header" and not article:
         return OTHER
     if own.get("role", "").lower() in OTHER_ROLES:
         return OTHER
     # the id of a heading is the place a link leads to
     names = f"{own.get('class', '')} {'' if name in HEADINGS else own.get('id', '')}".split()
-    doubt = False
-    if name not in ("html", "body", "main"):
+    doubt = name == "dialog"
+    if name not in ("html", "body", "main") and not code:
         for label in names:
             words = {w.lower() for w in WORD.findall(label)}
             if words & NEUTRAL_WORDS:
@@ -105,14 +122,18 @@ def kind_of(name: str, attributes: str, inside: int) -> int:
             if name == "article":
                 if words & {"comment", "comments", "reply", "replies"}:
                     return OTHER
-            elif words & CLEAR_WORDS or label.lower() in CLEAR_LABELS or (not article and words & FRAME_WORDS):
+                card = card or bool(words & CARD_WORDS)
+            elif label.lower() in CLEAR_LABELS or (not article and name not in INLINE and words & FRAME_WORDS):
                 return OTHER
+            elif WHOLE_LABEL.fullmatch(label) if article or name in INLINE else words & CLEAR_WORDS:
+                if not (article and name in INLINE):
+                    return OTHER
             elif words & DOUBT_WORDS or (not article and words & HEADER_WORDS):
                 doubt = True
     if inside == INNER or doubt:
         return INNER if article else NAMED
     if name in CORE_ELEMENTS or own.get("role") == "main" or own.get("itemprop") == "articleBody" or CORE_NAMES.intersection(x.lower() for x in names):
-        return CORE
+        return CARD if card else CORE
     return inside
 
 
@@ -129,7 +150,8 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             line = " ".join("".join(parts).split())
             if line:
                 lines.append(line)
-                kinds.append(kind)
+                bare = kind == PLAIN and all(n in ("html", "body") for n, _ in stack)
+                kinds.append(BARE if bare else kind)
             parts.clear()
 
     def close(depth: int) -> None:
@@ -180,7 +202,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 break
             if stack[depth][0] in limit:
                 break
-        new = kind_of(name, attributes, kind % BLOCK)
+        new = kind_of(name, attributes, kind % BLOCK, [n for n, _ in stack])
         if new == kind % BLOCK:
             new = kind
         elif new != OTHER:
@@ -398,16 +420,18 @@ def deleted(n: int, before: list[int] | None, after: list[int] | None) -> np.nda
     return (one & two & ~either.all()) | rim
 
 
+#: A line that holds a sentence: five words or more, and an end.
+SENTENCE = re.compile(r"^\W*(?:\w\S*\s+){4,}\w.*[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)]*$", re.S)
+
+
 def main_text(lines: list[str], kinds: list[int], before: list[int] | None = None, after: list[int] | None = None) -> str:
     """Lines that the alignment with the neighbours (None: there is none) leaves, checked by markup."""
     k = np.array(kinds, np.int64)
     role, block = k % BLOCK, k // BLOCK
-    size = np.array([len(x) for x in lines], np.int64)
-    core, plain, named, inner = role == CORE, (role == PLAIN) | (role == NAMED), role == NAMED, role == INNER
+    core, named, inner, bare = (role == CORE) | (role == CARD), role == NAMED, role == INNER, role == BARE
+    plain = (role == PLAIN) | named | bare
     if before is None and after is None:
-        keep = core | inner
-        if size[plain].sum() >= size[keep].sum():
-            keep |= plain
+        keep = core | inner | (plain & ~named & ~bare) if (core | inner).any() else plain
     else:
         gone = deleted(len(lines), before, after)
         known = [set(x) for x in (before, after) if x is not None]
@@ -419,11 +443,15 @@ def main_text(lines: list[str], kinds: list[int], before: list[int] | None = Non
                 keep &= ~its
             else:
                 keep |= its & inner
-        left = size[keep].sum()
+        own = keep & ~shared & ~bare
+        told = any(SENTENCE.match(lines[i]) for i in np.flatnonzero(own))
         for b in np.unique(block[core & gone]):
             article = core & (block == b)
-            if keep[article].any() or size[article].sum() >= left:
+            card = (role[article] == CARD).all() and own.any()
+            if not (shared[article].all() and (card or told)):
                 keep |= article
+            else:
+                keep &= ~article
     return "\n".join([x for x, y in zip(lines, keep) if y])
 
 

@@ -163,3 +163,40 @@ def test_named_blocks_go_if_the_neighbours_have_them():
 
 def test_empty(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string, mark string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><pre>x = 1 <span class="hljs-comment"># set x</span></pre></article>', "x = 1 # set x"),
+        ('<pre><span class="comment"># a</span> <span class="ad">b</span></pre>', "# a b"),
+        ('<article><p id="ad-1942">In 1942</p><div class="comment-quote">quoted</div></article>', "In 1942\nquoted"),
+        ("<article><p>He said <label>hi</label> and <button>ok</button></p></article>", "He said hi and ok"),
+        ("<article><p>a</p><div><button>Share</button><label>Name</label></div></article>", "a"),
+        ('<article><p>a</p><ol class="comment-list"><li>c</li></ol><div class="ad-slot">buy</div><p>b</p></article>', "a\nb"),
+        ('<p>a <em class="comment-note">word</em> b</p>', "a word b"),
+        ('<article class="teaser"><p>a long teaser with many more words than the body has in it</p></article><div>the body</div>',
+         "a long teaser with many more words than the body has in it\nthe body"),
+        ("<article><p>a</p></article><div class='related-links'>x</div><div>b</div>", "a\nb"),
+        ("<body>stray<article>a</article></body>", "a"),
+    ],
+)
+def test_text_is_kept_by_evidence_not_by_length(html, want):
+    assert text(html) == want
+
+
+def test_wholly_shared_articles():
+    """A card beside sentences goes however long it is; a copied article beside a note of its own stays however short it is."""
+    lines, kinds = h.page_lines("<article><p>A very long shared card that has more text than the rest.</p></article><div>The body of it is short.</div>")
+    assert h.main_text(lines, kinds, [0], [0]) == "The body of it is short."
+    assert h.main_text(lines, kinds, [0], []) == "\n".join(lines)
+    lines, kinds = h.page_lines("<article><p>copy</p></article><div>a much longer note without any sentence in it 2024-01-01</div>")
+    assert h.main_text(lines, kinds, [0], [0]) == "\n".join(lines)
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    body = "".join(f"<p>line {i} of the page</p>" for i in range(30_000))
+    rows = [(1, "http://h/1", f"<nav>m</nav><article>{body}</article>"), (2, "http://h/2", f"<nav>m</nav><article>{body}<p>x</p></article>"), (None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as mark", "'x' as host", "2 as path", "'y' as text", "3 as run")
+    got = {r.page_id: r for r in h.extract(frame).collect()}
+    assert got[1].text.count("\n") == 29_999 and got[2].text.endswith("\nx") and got[None].text == "" and got[None].n_chars == 0
