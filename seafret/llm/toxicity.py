@@ -108,12 +108,29 @@ def probability(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
+def best_limit(p: np.ndarray, y: np.ndarray) -> float:
+    """Limit with the best F1 of out-of-fold probabilities, half-way to the next lower one; LIMIT where there is nothing to choose by.
+
+    Of equally good limits the highest.
+    """
+    if not (y > 0).any() or (y > 0).all():
+        return LIMIT
+    order = np.argsort(-p, kind="stable")
+    p, hit = p[order], np.cumsum(y[order] > 0)
+    last = np.flatnonzero(np.append(np.diff(p) != 0, True))  # a limit lies between different probabilities
+    f1 = 2 * hit[last] / (last + 1 + hit[-1])
+    at = last[int(np.argmax(f1))]
+    below = p[at + 1] if at + 1 < len(p) else 0.0
+    return float((p[at] + below) / 2)
+
+
 class Chain:
     """One linear model per category, each fed with the earlier categories' probabilities."""
 
     def __init__(self, categories: tuple[str, ...] = CHAIN):
         self.categories = categories
         self.models: list[Linear | None] = []
+        self.limit = LIMIT
         self.index: dict[int, int] = {}
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
@@ -147,6 +164,8 @@ class Chain:
                     model = Linear(len(word), dense.shape[1]).fit([rows[i] for i in use], dense[use], y[use])
                     out[part] = probability(model.margin(*_flat([rows[i] for i in part]), dense[part]))
                 self.models.append(Linear(len(word), dense.shape[1]).fit([rows[i] for i in have], dense[have], y[have]))
+                if c == len(self.categories) - 1:
+                    self.limit = best_limit(out[have], y[have])
             dense = np.column_stack([dense, out])
         return self
 
@@ -186,9 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAIN,
     return Chain(categories).fit([np.asarray(w, np.int64) for w in got["words"]], got[list(categories)].to_numpy(float), folds)
 
 
-def score(docs: DataFrame, chain: Chain, limit: float = LIMIT) -> DataFrame:
-    """doc_id, p_<category> of every category, toxic (the last category's probability is at least `limit`)."""
+def score(docs: DataFrame, chain: Chain, limit: float | None = None) -> DataFrame:
+    """doc_id, p_<category> of every category, toxic (the last category's probability is at least `limit`, which the fit chooses out of fold)."""
     names = [f"p_{c}" for c in chain.categories]
+    limit = chain.limit if limit is None else limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = chain.index
