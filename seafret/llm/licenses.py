@@ -8,7 +8,9 @@ of its own takes that of the nearest directory above it that has one.
 
 Weights: log(1 + lines / (1 + lines with the term)) times the term's count. Units that miss the cosine even with the least weights for
 their other terms are left out before those terms are looked up.
-Ties go to the licence whose name comes first. A file matches several templates only by different lines; the best line decides.
+A sentence that several licences share names only their family (BSD), clauses elsewhere in the file tell the variant (BSD-2-Clause,
+GPL-2.0-or-later). The numbers of a template, and an identifier as a whole, must be in a unit that matches it.
+The best match decides, of equal ones that of the earlier line, then the licence whose name comes first.
 Null or empty texts have no licence of their own; a null path has no directory and inherits nothing. Files repeated whole repeat
 their result; of several licence files of one directory the best match decides. An empty table gives an empty result.
 """
@@ -21,11 +23,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seafret.llm.common import attach, text_of, written
 
-# Short notices by licence.
+# Short notices by licence. A name that starts with = is the title of a full text, one with + a clause that several
+# licences share or that tells their variants apart; a clause alone names no licence (see VARIANTS).
 TEMPLATES = {
     "AGPL-3.0": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -33,14 +36,60 @@ TEMPLATES = {
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0",
     ],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-        "SPDX-License-Identifier: BSD-3-Clause",
+    "=AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "AGPL-3.0-or-later": ["SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted."],
+    "+bsd-2": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution.",
     ],
+    "+bsd-3": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission.",
+    ],
+    "+bsd-4": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+        "CC0 1.0 Universal",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "+later-2": ["either version 2 of the License, or (at your option) any later version"],
+    "+later-2.1": ["either version 2.1 of the License, or (at your option) any later version"],
+    "+later-3": ["either version 3 of the License, or (at your option) any later version"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+        "SPDX-License-Identifier: GPL-2.0",
+    ],
+    "=GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-2.0-or-later": ["SPDX-License-Identifier: GPL-2.0-or-later"],
+    "=GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-3.0-or-later": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "=LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "=LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1-or-later": ["SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL-3.0-or-later": ["SPDX-License-Identifier: LGPL-3.0-or-later"],
     "GPL-3.0": [
         "Licensed under the GNU General Public License.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation",
@@ -65,6 +114,13 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved."],
 }
+# What a licence (or family) becomes by a clause of the same file, the first that is there.
+VARIANTS = {
+    "BSD": (("+bsd-4", "BSD-4-Clause"), ("+bsd-3", "BSD-3-Clause"), ("+bsd-2", "BSD-2-Clause")),
+    "AGPL-3.0": (("+later-3", "AGPL-3.0-or-later"),),
+    "GPL-3.0": (("+later-3", "GPL-3.0-or-later"), ("+later-2", "GPL-2.0-or-later")),
+    "LGPL-3.0": (("+later-3", "LGPL-3.0-or-later"), ("+later-2.1", "LGPL-2.1-or-later"), ("+later-2", "LGPL-2.0-or-later")),
+}
 LICENSE_FILE = re.compile(r"(?:^|/)(?:licen[cs]e|copying|notice)(?:[.-][a-z]+)?$", re.I)
 TERM = re.compile(r"[a-z0-9]+")
 #: Least cosine of a match.
@@ -83,6 +139,8 @@ class Matcher:
         self.floor = self.weight(self.lines)
         self.templates = []
         self.words: list[list[str]] = []
+        # numbers of a template, and all words of an identifier, must be there: they are what tells versions and names apart
+        self.needed: list[frozenset[str]] = []
         self.anchors: dict[str, list[int]] = {}
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         for name in sorted(templates):
@@ -99,6 +157,7 @@ class Matcher:
                     left -= (w / norm) ** 2
                 self.templates.append(name)
                 self.words.append(terms(notice))
+                self.needed.append(frozenset(t for t in terms(notice) if t.isdigit() or notice.startswith("SPDX")))
 
     def weight(self, frequency: int) -> float:
         return math.log(1 + max(self.lines, 1) / (1 + frequency))
@@ -120,6 +179,7 @@ class Matcher:
         for t, w in vector.items():
             for k, share in self.by_term.get(t, ()):
                 scores[k] = scores.get(k, 0.0) + w * share / norm
+        scores = {k: x for k, x in scores.items() if self.needed[k] <= vector.keys()}
         if not scores:
             return None, 0.0
         k = max(sorted(scores), key=lambda i: round(scores[i], 9))
@@ -219,6 +279,15 @@ def matched(units: DataFrame, frequency: DataFrame, matcher: Matcher, least: flo
     return joined.mapInArrow(decide, "unit string, n long, name string, score double").filter(F.col("name").isNotNull())
 
 
+def variant(name: Column, names: Column) -> Column:
+    """The licence meant by the best match of a file, given all names and clauses found in it."""
+    out = F.regexp_replace(name, "^=", "")
+    for family, clauses in VARIANTS.items():
+        chosen = F.coalesce(*[F.when(F.array_contains(names, clause), F.lit(meant)) for clause, meant in clauses], F.lit(family))
+        out = F.when(name == family, chosen).otherwise(out)
+    return out
+
+
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = COSINE) -> DataFrame:
     """doc_id, path, license, cosine, origin (own, inherited, none), license_dir of every file (doc_id, path, text)."""
     frequency = written(frequencies(files), "license-terms")
@@ -247,11 +316,12 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
     each = each.withColumnsRenamed({"units": "unit", "covers": "cover"})
     units = written(each.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "license-units")
     hits = attach(each, written(matched(units, frequency, matcher, least), "license-matched"), "unit", "n").filter(F.col("name").isNotNull())
-    rank = F.struct(F.size("cover") == 0, -F.round("score", 9), F.col("name").alias("name"), F.col("score").alias("score"))
-    decided = hits.groupBy("file").agg(F.min(rank).alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("covered"))
+    rank = F.struct(F.size("cover") == 0, -F.round("score", 9), F.array_min("cover"), F.col("name").alias("name"), F.col("score").alias("score"))
+    rank = F.when(~F.col("name").startswith("+"), rank)
+    decided = hits.groupBy("file").agg(F.min(rank).alias("best"), F.collect_set("name").alias("names"), F.size(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("covered"))
     stands = F.col("best").isNotNull() & (F.col("named") | (F.col("covered") >= F.col("lines")))
     found = found.drop("units", "covers").join(decided, "file", "left").select(
-        "doc_id", "path", F.col("best.name").alias("license"), F.coalesce("best.score", F.lit(0.0)).alias("cosine"), stands.alias("stands")
+        "doc_id", "path", variant(F.col("best.name"), F.col("names")).alias("license"), F.coalesce("best.score", F.lit(0.0)).alias("cosine"), stands.alias("stands")
     )
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     found = written(found.withColumn("dir", directory), "licenses")

@@ -131,6 +131,94 @@ def test_notices_with_other_words_and_over_lines(spark):
     assert found == {p: k for p, _, k in files}
 
 
+REST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED"
+BSD = """Copyright (c) 2021, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+HEADER = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {} Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+"""
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+ISC_TEXT = """Copyright (c) 2020, Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+FULL = [
+    ("BSD-2-Clause", BSD + REST), ("BSD-3-Clause", BSD + BSD3 + REST), ("ISC", ISC_TEXT + REST), ("MIT", MIT_TEXT), ("Apache-2.0", APACHE_TEXT),
+    ("GPL-2.0-or-later", HEADER.format("General", "2")), ("GPL-3.0-or-later", HEADER.format("General", "3")),
+    ("LGPL-2.1-or-later", HEADER.format("Lesser General", "2.1")), ("AGPL-3.0-or-later", HEADER.format("Affero General", "3")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + HEADER.format("General", "3")),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + HEADER.format("General", "2")),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    (None, "SPDX-License-Identifier: WTFPL"), (None, "either version 2 of the License, or (at your option) any later version"),
+    (None, "the terms of the agreement are published by the foundation for any later version of the text"),
+]
+
+
+def test_full_texts_and_headers_are_told_apart(spark):
+    """Confusion of planted texts, each as a licence file and as a commented header of code: nothing off the diagonal."""
+    rows, want = [], {}
+    for i, (name, text) in enumerate(FULL):
+        rows += [(f"r{i}/LICENSE", text), (f"r{i}/src/deep/code.c", f"int f{i};"), (f"h{i}/x.py", "\n".join(f"# {x}" for x in text.split("\n")) + f"\n\ncode {i}\nmore\nlines\n" * 9)]
+        want |= {f"r{i}/LICENSE": name, f"r{i}/src/deep/code.c": name, f"h{i}/x.py": name}
+    rows += [(f"n/{i}.py", f"line {i} of the code\n\nis under the rights of all users {i % 7}") for i in range(300)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.path: r.license for r in licenses.scan(docs).collect()}
+    assert {p: found[p] for p in want} == want
+    assert all(found[p] is None for p in found if p.startswith("n/"))
+
+
+def test_inheritance_against_brute_force(spark):
+    r = random.Random(9)
+    paths = ["/".join(r.choice("abc") for _ in range(r.randrange(0, 5))) for _ in range(150)]
+    files = [(i, f"{d}/{'LICENSE' if i % 5 == 0 else f'f{i}.py'}".lstrip("/"), r.choice(["Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."]) if i % 5 == 0 else "x") for i, d in enumerate(paths)]
+    got = {x.doc_id: (x.license, x.license_dir) for x in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    given = defaultdict(set)
+    for i, path, text in files:
+        if i % 5 == 0:
+            given["/".join(path.split("/")[:-1])].add("MIT" if "MIT" in text else "Apache-2.0")
+    for i, path, text in files:
+        if i % 5:
+            d = path.split("/")[:-1]
+            above = next(("/".join(d[:k]) for k in range(len(d), -1, -1) if "/".join(d[:k]) in given), None)
+            assert got[i] == ((min(given[above]), above) if above is not None else (None, None))
+
+
 def test_all_terms_have_frequencies():
     m = licenses.Matcher({"A": ["one two"]}, 100, {"one": 3, "two": 5})
     assert m.match("one two often", 0.0, {"often": 90})[1] > 0.98 > m.match("one two often", 0.0, {"often": 1})[1]
@@ -196,3 +284,22 @@ def test_toxicity_messy(spark):
     assert toxicity.classify(empty(spark), labels).count() == 0
     alone = toxicity.classify(messy(spark), labels.limit(0)).collect()
     assert {(r.p_quality, r.p_toxic, r.toxic) for r in alone} == {(0.0, 0.0, False)}
+
+
+def test_limit_has_the_best_f1():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        p, y = np.round(r.random(60), 2), (r.random(60) < 0.2).astype(float)
+        f1 = lambda t: 2 * ((p >= t) & (y > 0)).sum() / ((p >= t).sum() + y.sum())
+        got = toxicity.best_limit(p, y)
+        if y.any():
+            assert abs(f1(got) - max(f1(t) for t in p)) < 1e-12
+    assert toxicity.best_limit(np.array([0.1, 0.9]), np.zeros(2)) == toxicity.LIMIT
+
+
+def test_repeated_rows_count_once_in_the_toxicity_fit(spark):
+    docs, labels = toxic_corpus(spark, 300)
+    hot = docs.filter("doc_id = 7").crossJoin(spark.range(400)).select(docs.columns)
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs.unionByName(hot), labels)
+    assert one.index == two.index and one.limit == two.limit
+    assert np.allclose(one.models[-1].weight, two.models[-1].weight) if hasattr(one.models[-1], "weight") else one.limit == two.limit
