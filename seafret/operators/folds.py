@@ -19,6 +19,13 @@ def in_period(ts: str, start: str, end: str) -> Column:
     return (at > F.lit(start).cast("timestamp")) & (at <= F.lit(end).cast("timestamp"))
 
 
+def in_embargo(ts: str, start: str, end: str, embargo: tuple[int, int]) -> Column:
+    """Outside the test period, but so close that labels reach into it (seconds before it) or lags reach back to it (seconds after)."""
+    at, before, after = F.col(ts), *(F.make_dt_interval(secs=F.lit(s)) for s in embargo)
+    near = (at > F.lit(start).cast("timestamp") - before) & (at <= F.lit(end).cast("timestamp") + after)
+    return near & ~in_period(ts, start, end)
+
+
 def year_folds(df: DataFrame, periods: list[tuple[str, str]] = YEAR_PERIODS, ts: str = TS) -> DataFrame:
     """Every row once per fold with `in_test`; the folds are a literal array, not a join."""
     flags = [
@@ -73,11 +80,12 @@ def fold_roles(
 
 
 def class_days(
-    df: DataFrame, periods: list[tuple[str, str]], label: str = "label", keys: list[str] = KEYS, classes: int = 3, ts: str = TS
+    df: DataFrame, periods: list[tuple[str, str]], label: str = "label", keys: list[str] = KEYS, classes: int = 3, ts: str = TS,
+    embargo: tuple[int, int] = (0, 0),
 ) -> DataFrame:
     """Rows per class of each (series, fold, day) outside the test period: n0, n1, ... ; rows are counted once, not once per fold."""
     counts = [
-        F.count_if(~in_period(ts, start, end) & (F.col(label) == c)).alias(f"_{k}_{c}")
+        F.count_if(~in_period(ts, start, end) & ~in_embargo(ts, start, end, embargo) & (F.col(label) == c)).alias(f"_{k}_{c}")
         for k, (start, end) in enumerate(periods, 1)
         for c in range(classes)
     ]
@@ -119,14 +127,16 @@ def greedy_group_split(days: DataFrame, n_splits: int = SPLITS, keys: list[str]
 
 def fold_bits(
     df: DataFrame, periods: list[tuple[str, str]] = YEAR_PERIODS, n_splits: int = SPLITS, label: str = "label", keys: list[str] = KEYS,
-    classes: int = 2, ts: str = TS,
+    classes: int = 2, ts: str = TS, embargo: tuple[int, int] = (0, 0),
 ) -> DataFrame:
     """`test_bits` and `valid_bits`: bit k - 1 is set if the row is tested, or validates, in fold k; any other row trains in it.
 
+    With an embargo (seconds before and after a test period) `gap_bits` marks the folds that a row has no part in.
+
     A row stays one row whatever the number of folds. Two classes are dealt as in `stratified_group_split`, more by
     `greedy_group_split`. The day table is written first; its real size then decides how it is joined.
     """
-    days = class_days(df, periods, label, keys, classes, ts)
+    days = class_days(df, periods, label, keys, classes, ts, embargo)
     if classes == 2:
         by_fog = Window.partitionBy(*keys, "fold").orderBy(F.desc("n1"), "day_group")
         days = days.withColumn("part", (F.row_number().over(by_fog) - 1) % n_splits)
@@ -135,18 +145,22 @@ def fold_bits(
     bit = F.when(F.col("part") == 0, F.expr("shiftleft(1, fold - 1)")).otherwise(0)
     valid = materialize(days.groupBy(*keys, "day_group").agg(F.sum(bit).cast("int").alias("valid_bits")), "days")
     tested = [F.when(in_period(ts, s, e), 1 << k).otherwise(0) for k, (s, e) in enumerate(periods)]
-    rows = day_group(df, ts).join(valid, [*keys, "day_group"], "left")
-    return rows.select(*df.columns, sum(tested[1:], tested[0]).cast("int").alias("test_bits"), F.coalesce("valid_bits", F.lit(0)).alias("valid_bits"))
+    bits = [sum(tested[1:], tested[0]).cast("int").alias("test_bits"), F.coalesce("valid_bits", F.lit(0)).alias("valid_bits")]
+    if any(embargo):
+        gaps = [F.when(in_embargo(ts, s, e, embargo), 1 << k).otherwise(0) for k, (s, e) in enumerate(periods)]
+        bits.append(sum(gaps[1:], gaps[0]).cast("int").alias("gap_bits"))
+    return day_group(df, ts).join(valid, [*keys, "day_group"], "left").select(*df.columns, *bits)
 
 
 def by_fold(bits: DataFrame, folds: int) -> DataFrame:
     """`fold` and `role` from the bits; choosing one fold leaves a plain scan, as the others are empty by their literal."""
-    rest = [c for c in bits.columns if c not in ("test_bits", "valid_bits")]
+    rest = [c for c in bits.columns if c not in ("test_bits", "valid_bits", "gap_bits")]
 
     def one(k: int) -> DataFrame:
         has = lambda c: F.col(c).bitwiseAND(1 << (k - 1)) != 0
         role = F.when(has("test_bits"), "test").when(has("valid_bits"), "valid").otherwise("train")
-        return bits.select(*rest, F.lit(k).alias("fold"), role.alias("role"))
+        mine = bits.where(~has("gap_bits")) if "gap_bits" in bits.columns else bits
+        return mine.select(*rest, F.lit(k).alias("fold"), role.alias("role"))
 
     out = one(1)
     for k in range(2, folds + 1):

@@ -234,13 +234,14 @@ def fold_table(
     name: str = "rows",
     path: str | None = None,
     classes: int = 2,
+    embargo: tuple[int, int] = (0, 0),
 ) -> DataFrame:
-    """Rows once per fold with their role.
+    """Rows once per fold with their role; with an embargo without those too near to the fold's test period.
 
     The rows are written once with bits that tell their roles; a fold is read from them by its bit, so neither the table
     nor a scan of one fold holds copies. With `path` the caller owns the written rows (below `path`/rows) and can discard them.
     """
-    bits = fold_ops.fold_bits(rows, periods, keys=keys, classes=classes)
+    bits = fold_ops.fold_bits(rows, periods, keys=keys, classes=classes, embargo=embargo)
     written = materialize(bits, name, path and f"{path}/rows")
     return fold_ops.by_fold(written, len(periods))
 

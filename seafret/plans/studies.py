@@ -31,6 +31,7 @@ STATUS = "station string, horizon int, step string, status string"
 class Plan:
     """What to run and where its tables are.
 
+    `embargo` (seconds before and after a test period) leaves out rows whose labels or lags reach into it; off by default.
     Refits weigh rows by the tuned ratio, or all of class 0 by 1 / `static_weight`, or with `class_weight` every class by its share.
     """
 
@@ -49,6 +50,7 @@ class Plan:
     patience: int | None = ml.PATIENCE
     static_weight: float | None = None
     class_weight: bool = False
+    embargo: tuple[int, int] = (0, 0)
     parallelism: int = 4
     places_at_once: int = 2
     status: list[tuple[str, int, str, str]] = field(default_factory=list)
@@ -68,7 +70,7 @@ class Plan:
 
     def folds(self, station: str, horizon: int, path: str | None = None) -> list[ml.Fold]:
         """Prepared folds of a place; three-class work uses the first one only."""
-        table = ml.fold_table(self.rows(station, horizon), self.periods, path=path, classes=self.classes)
+        table = ml.fold_table(self.rows(station, horizon), self.periods, path=path, classes=self.classes, embargo=self.embargo)
         if self.classes == 3:
             table = table.where(F.col("fold") == 1)
         return ml.prepare_folds(table, self.cols, positive=self.classes - 1, path=path)

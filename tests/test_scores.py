@@ -139,6 +139,22 @@ def test_bits_say_what_exploded_roles_say(spark):
     assert "Union" not in plan and "Generate" not in plan
 
 
+def test_embargo_against_brute_force(spark):
+    df = hours(spark, 24 * 40, lambda i: int(i % 24 < (i // 24) % 5))
+    before, after = 6 * 3600, 12 * 3600 + 1
+    got = folds.by_fold(folds.fold_bits(df, PERIODS, embargo=(before, after)), 2).toPandas()
+    all_rows = folds.by_fold(folds.fold_bits(df, PERIODS), 2).toPandas()
+    for fold, (start, end) in enumerate(PERIODS, 1):
+        s, e = dt.datetime.fromisoformat(start), dt.datetime.fromisoformat(end)
+        far = lambda t: s < t <= e or t <= s - dt.timedelta(seconds=before) or t > e + dt.timedelta(seconds=after)
+        want = {t for t in all_rows[all_rows["fold"] == fold]["datetime"] if far(t)}
+        mine = got[got["fold"] == fold]
+        assert set(mine["datetime"]) == want and len(mine) == len(want) < 24 * 40
+        assert set(mine[mine["role"] == "test"]["datetime"]) == {t for t in want if s < t <= e}
+        valid, train = (set(mine[mine["role"] == r]["datetime"].dt.date) - {s.date(), e.date()} for r in ("valid", "train"))
+        assert valid and not valid & train
+
+
 def test_weights_with_and_without_fog(spark):
     some = weights.sample_weight_binary(hours(spark, 10, lambda i: int(i < 2)), 0.5).collect()
     assert {r["weight"] for r in some if r["label"] == 0} == {1 / (8 / 3 * 0.5)}

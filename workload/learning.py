@@ -24,7 +24,7 @@ from workload.standins import FOLD_OF, TEST_START_SQL, Tables
 COLS = lag_columns() + TIME_COLUMNS + STATIONS
 #: Rounds or trees of every fit of these queries (a run takes up to ml.ROUNDS), and draws of a study in `param_search`.
 ROUNDS = 20
-DRAWS = 2
+DRAWS = 4
 #: Rounds of joint three-class boosting, each one tree per class.
 JOINT_ROUNDS = 6
 PLACE = "ALL"

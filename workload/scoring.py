@@ -8,7 +8,7 @@ from seafret.operators import folds, prep, scores, weights
 from seafret.schema import STATIONS
 from seafret.session import materialize
 from workload.registry import query
-from workload.standins import FOLD_OF
+from workload.standins import FOLD_OF, T0
 
 FOLD_KEYS = ["station", "horizon", "model", "fold"]
 
@@ -64,6 +64,19 @@ def _(t):
     return total.select("station", "fold", "days", *names, (far[0] + far[1] + far[2]).alias("unbalanced"))
 
 
+@query(
+    "embargoed_folds",
+    f"""select station, fold, count(*) as n, count(*) filter (where in_test) as n_test from folds, cal
+where label is not null and (in_test or epoch(datetime) <= {T0} + (3 - fold) * third * 86400 - 21600
+  or fold > 1 and epoch(datetime) > {T0} + (4 - fold) * third * 86400 + 43200) group by station, fold""",
+    ["folds", "cal"],
+)
+def _(t):
+    """Rows too near to a test period, six hours before or twelve after it, have no part in its fold."""
+    bits = folds.fold_bits(t.labels.where("label is not null"), t.periods, embargo=(21600, 43200))
+    return folds.by_fold(bits, 3).groupBy("station", "fold").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "test").alias("n_test"))
+
+
 @query("fold_roles", "select station, datetime, fold, role from roles", ["roles"])
 def _(t):
     return folds.fold_roles(t.folds).select("station", "datetime", "fold", "role")
