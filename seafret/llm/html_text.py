@@ -51,6 +51,9 @@ OTHER_ELEMENTS = set("head nav aside footer form menu".split())
 # Controls: text where they stand in a sentence, parts of the frame elsewhere.
 CONTROLS = {"button", "label"}
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote figcaption caption pre".split())
+CODE = {"pre", "code"}
+# Elements that say something without attributes.
+NOTED = {"article", "main", "header", "dialog"}
 INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time u var".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 CORE_ELEMENTS = {"article", "main"}
@@ -95,17 +98,19 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)")
 
 
-def kind_of(name: str, attributes: str, inside: int, around: list[str] = ()) -> int:
-    """What an element makes of its content, given what it is inside of (kind, and names of the open elements)."""
-    if inside == OTHER:
+def kind_of(name: str, attributes: str, inside: int, stack: list[tuple[str, int]] = ()) -> int:
+    """What an element makes of its content, given what it is inside of (kind, and the open elements)."""
+    if inside == OTHER or name in OTHER_ELEMENTS:
         return OTHER
-    if name in CONTROLS and not TEXT_BLOCKS.intersection(around):
+    if name in CONTROLS and not any(n in TEXT_BLOCKS for n, _ in stack):
         return OTHER
+    if not attributes and name not in NOTED:
+        return inside
     own = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
     if name in OTHER_ELEMENTS or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", ""):
         return OTHER
     article = inside in (CORE, INNER, CARD)
-    code = name in ("pre", "code") or "pre" in around or "code" in around
+    code = name in CODE or any(n in CODE for n, _ in stack)
     card = False
     if name == "header" and not article:
         return OTHER
@@ -202,7 +207,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 break
             if stack[depth][0] in limit:
                 break
-        new = kind_of(name, attributes, kind % BLOCK, [n for n, _ in stack])
+        new = kind_of(name, attributes, kind % BLOCK, stack)
         if new == kind % BLOCK:
             new = kind
         elif new != OTHER:
@@ -420,8 +425,13 @@ def deleted(n: int, before: list[int] | None, after: list[int] | None) -> np.nda
     return (one & two & ~either.all()) | rim
 
 
-#: A line that holds a sentence: five words or more, and an end.
-SENTENCE = re.compile(r"^\W*(?:\w\S*\s+){4,}\w.*[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)]*$", re.S)
+ENDS = tuple(".!?\u2026\u3002\uff01\uff1f")
+CLOSING = "\"'\u201d\u2019\u00bb)"
+
+
+def is_sentence(line: str) -> bool:
+    """Five words or more, and an end."""
+    return line.rstrip(CLOSING).endswith(ENDS) and len(line.split(None, 5)) >= 5
 
 
 def main_text(lines: list[str], kinds: list[int], before: list[int] | None = None, after: list[int] | None = None) -> str:
@@ -444,14 +454,14 @@ def main_text(lines: list[str], kinds: list[int], before: list[int] | None = Non
             else:
                 keep |= its & inner
         own = keep & ~shared & ~bare
-        told = any(SENTENCE.match(lines[i]) for i in np.flatnonzero(own))
         for b in np.unique(block[core & gone]):
             article = core & (block == b)
-            card = (role[article] == CARD).all() and own.any()
-            if not (shared[article].all() and (card or told)):
+            if not shared[article].all():
                 keep |= article
-            else:
+            elif (role[article] == CARD).all() and own.any() or any(is_sentence(lines[i]) for i in np.flatnonzero(own)):
                 keep &= ~article
+            else:
+                keep |= article
     return "\n".join([x for x, y in zip(lines, keep) if y])
 
 
