@@ -51,6 +51,26 @@ def test_zip(spark, tmp_path):
     check(df.distinct().collect())
 
 
+def test_members_of_one_archive_are_tasks_of_their_own(spark, tmp_path):
+    folder = tmp_path / "old data"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "all.csv.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("부산항.csv", TEXT.encode("EUC-KR"))
+        z.mkdir("deeper")
+        z.writestr("deeper/b.csv", TEXT.encode("EUC-KR"))
+        z.writestr("empty.csv", b"")
+    with zipfile.ZipFile(folder / "nothing.csv.zip", "w"):
+        pass
+    files = spark.read.format("binaryFile").load(str(folder))
+    assert {r["member"] for r in observations.zip_members(files).collect()} == {"부산항.csv", "deeper/b.csv"}
+    df = observations.read_obs_zip(spark, str(folder), "EUC-KR")
+    parts = df.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert [r["count"] for r in parts] == [2, 2]
+    check(df.distinct().collect())
+    whole = observations.read_obs_zip(spark, str(folder), "EUC-KR", by_member=False)
+    assert sorted(map(str, df.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_port_names(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes(TEXT.encode("EUC-KR"))
     df = prep.set_station(observations.read_obs(spark, str(tmp_path), "EUC-KR"), port_dim(spark))

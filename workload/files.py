@@ -6,12 +6,13 @@ import io
 import zipfile
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from seafret.functions.columns import slot
 from seafret.operators import scores, trials
 from seafret.schema import RAW_HEADERS, STATIONS, lag_columns
-from seafret.session import new_path
+from seafret.session import materialize, new_path
 from seafret.sources import observations, runlog, tables
 from workload.registry import query
 from workload.scoring import ENSEMBLE_SQL, PIVOT_SQL
@@ -52,6 +53,25 @@ def _(t):
     return observations.parse_zipped(files).select("station", "datetime", *OBS)
 
 
+@query("scan_obs_zip_members", "select * from obs", ["obs"], OBS)
+def _(t):
+    """Archives of one month, with a member for every port, are written to the shared folder and read member by member."""
+    path = new_path(t.spark, "archives")
+
+    def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        system, folder = FileSystem.from_uri(path)
+        system.create_dir(folder)
+        # the same rows give the same file, so a task that runs again only writes it again
+        with system.open_output_stream(f"{folder}/{key[0]}.csv.zip") as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+            for port, rows in pdf.drop(columns="_month").groupby("station"):
+                archive.writestr(f"{port}.csv", rows.rename(columns=HEADERS).to_csv(index=False).encode("utf-8"))
+        return pd.DataFrame({"rows": [len(pdf)]})
+
+    months = t.obs.withColumn("_month", slot(F.col("datetime"), 30 * 86400))
+    materialize(months.groupBy("_month").applyInPandas(write, "rows long"), "archived")
+    return observations.read_obs_zip(t.spark, path).select("station", "datetime", *OBS)
+
+
 @query("write_features", "select station, count(*) as n, sum(temp_lag00) as temp, count(temp_lag12) as n12, cast(sum(y_1) as bigint) as y_1 from features group by station", ["features"], ["temp"])
 def _(t):
     path = new_path(t.spark, "features")
