@@ -20,7 +20,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seafret.operators import boosting, folds as fold_ops, prep, scores, trials as trial_ops, weights
+from seafret.operators import boosting, boosting_kinds, folds as fold_ops, prep, scores, trials as trial_ops, weights
 from seafret.schema import KEYS, TS, YEAR_PERIODS
 from seafret.session import in_threads, materialize, new_path
 from seafret.sources import tables
@@ -36,6 +36,8 @@ MAX_DEPTH = 12
 
 LEAVES = ("num_leaves", "max_leaves")
 DEPTHS = ("depth", "max_depth")
+L2 = ("l2_leaf_reg", "lambda_l2", "lambda")
+BY_NODE = "feature_fraction_bynode"
 
 # Names used by the tuned learners and the Spark ML parameters that mean the same.
 COMMON = {
@@ -85,7 +87,11 @@ def effective_params(params: dict) -> dict:
 def spark_params(params: dict, names: dict[str, str]) -> dict:
     """Translate known parameters; those without a counterpart are left out."""
     out = {}
-    for name, value in effective_params(params).items():
+    used = effective_params(params)
+    if BY_NODE in used:
+        # Spark draws columns anew at every node, so the share of the tree and that of the node are one
+        used["feature_fraction"] = round(float(used.get("feature_fraction", 1.0)) * float(used.pop(BY_NODE)), 9)
+    for name, value in used.items():
         target = names.get(name)
         if target is None:
             continue
@@ -99,10 +105,24 @@ def spark_params(params: dict, names: dict[str, str]) -> dict:
     return out
 
 
-def boosted_trees(params: dict, classes: int = 2, label: str = LABEL, joint: bool = False) -> Estimator:
-    """Gradient boosted trees; more than two classes are fitted one against the rest, or share one softmax if `joint`."""
+def kind_of(params: dict) -> boosting_kinds.Kind:
+    """Kind of rounds and L2 term of drawn parameters."""
+    l2 = next((float(params[k]) for k in L2 if params.get(k) is not None), 0.0)
+    return boosting_kinds.Kind(params.get("boosting") or "gbdt", l2)
+
+
+def boosted_trees(params: dict, classes: int = 2, label: str = LABEL, joint: bool = False, by_round: bool = False) -> Estimator:
+    """Gradient boosted trees; more than two classes are fitted one against the rest, or share one softmax if `joint`.
+
+    With `by_round` L2 terms and the kind of boosting act, which takes a fit of its own for each round.
+    """
     settings = {"maxIter": ROUNDS, "seed": 1} | spark_params(params, BOOSTED)
-    gbt = GBTClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, **settings)
+    if joint and by_round:
+        raise ValueError("joint boosting has no other kinds of rounds")
+    make = boosting_kinds.KindBoosting if by_round else GBTClassifier
+    gbt = make(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, **settings)
+    if by_round:
+        gbt.kind = kind_of(params)
     if classes == 2:
         return gbt
     kind = boosting.JointBoosting if joint else OneVsRest
@@ -114,10 +134,10 @@ def random_forest(params: dict, label: str = LABEL) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, **settings)
 
 
-def learner(model: str, params: dict, classes: int = 2, joint: bool = False) -> Estimator:
+def learner(model: str, params: dict, classes: int = 2, joint: bool = False, by_round: bool = False) -> Estimator:
     """Learner of a model name: cb, lgb and xgb are boosted, rf is a forest."""
     params = DEFAULT_PARAMS[model] | params
-    return random_forest(params) if model == "rf" else boosted_trees(params, classes, joint=joint)
+    return random_forest(params) if model == "rf" else boosted_trees(params, classes, joint=joint, by_round=by_round)
 
 
 def early_stopping(clf: Estimator, col: str = VALID, tol: float = 1e-4) -> Estimator:
@@ -153,6 +173,9 @@ def fit_classifier(clf: Estimator, rows: DataFrame, patience: int | None = None,
         return boosting.fit_joint(clf, train, rows.where(VALID), classes, stops)
     if isinstance(clf, OneVsRest):
         return fit_one_vs_rest(clf, rows, lambda c, r: fit_classifier(c, r, patience), classes)
+    if isinstance(clf, boosting_kinds.KindBoosting):
+        stops = patience or (1 if clf.isSet(clf.validationIndicatorCol) else None)
+        return boosting_kinds.fit_kind(clf, train, rows.where(VALID), stops)
     if isinstance(clf, GBTClassifier):
         if patience:
             return boosting.fit_patient(clf, train, rows.where(VALID), patience)
@@ -373,6 +396,7 @@ def param_search(
     parallelism: int = 4,
     sink: Callable[[DataFrame], None] | None = None,
     patience: int | None = PATIENCE,
+    by_round: bool = False,
 ) -> DataFrame:
     """Fit and score every draw of a study, as rows of the trial table.
 
@@ -386,7 +410,7 @@ def param_search(
     def run(trial: dict) -> tuple:
         drawn = {k: _number(v) for k, v in trial["params"].items()}
         params = base_params(rounds) | drawn
-        fits = cv_fit(folds, lambda: learner(model, params, classes), drawn.get("pos_label_ratio", 1.0), classes, patience)
+        fits = cv_fit(folds, lambda: learner(model, params, classes, by_round=by_round), drawn.get("pos_label_ratio", 1.0), classes, patience)
         table = scores.score_table(cv_predict(fits), ["fold"], list(range(classes)))
         row = table.agg(*[F.avg(m).alias(m) for m in ("ACC", "PAG", "POD", "F1")]).first()
         used = {k: str(v) for k, v in effective_params(DEFAULT_PARAMS[model] | params).items()}
@@ -413,7 +437,7 @@ def tuned_params(trials: DataFrame) -> dict[str, dict]:
     for row in best:
         base = DEFAULT_PARAMS[row["model"]]
         tuned = {k.split(".")[-1]: _number(v) for k, v in row["params"].items()}
-        out[row["model"]] = base | {k: v for k, v in tuned.items() if k in base}
+        out[row["model"]] = base | {k: v for k, v in tuned.items() if k in base or k == "boosting"}
     return out
 
 
@@ -439,10 +463,11 @@ def refit(
     classes: int = 2,
     patience: int | None = PATIENCE,
     static: bool = False,
+    by_round: bool = False,
 ) -> list[Fit]:
     """Fitted folds of a model with tuned parameters and tuned weight ratio (or the weights the folds have)."""
     ratio = 1.0 if static else params["pos_label_ratio"]
-    return cv_fit(folds, lambda: learner(model, base_params(rounds) | params, classes), ratio, classes, patience)
+    return cv_fit(folds, lambda: learner(model, base_params(rounds) | params, classes, by_round=by_round), ratio, classes, patience)
 
 
 def refit_models(
@@ -453,11 +478,12 @@ def refit_models(
     classes: int = 2,
     patience: int | None = PATIENCE,
     static: bool = False,
+    by_round: bool = False,
 ) -> dict[str, list[Fit]]:
     """Refit the k best models of the place, best first."""
     ranked = [r["model"] for r in trial_ops.topk_models(trials, k).orderBy("rank").collect()]
     params = tuned_params(trials)
-    return {m: refit(folds, m, params[m], rounds, classes, patience, static) for m in ranked}
+    return {m: refit(folds, m, params[m], rounds, classes, patience, static, by_round) for m in ranked}
 
 
 def model_predictions(fits: dict[str, list[Fit]], horizon: int) -> DataFrame:
@@ -501,10 +527,10 @@ def ensemble_refit(
 
 def export_topk_predictions(
     folds: list[Fold], trials: DataFrame, k: int, horizon: int, path: str, rounds: int | None = None, classes: int = 2,
-    patience: int | None = PATIENCE, static: bool = False,
+    patience: int | None = PATIENCE, static: bool = False, by_round: bool = False,
 ) -> DataFrame:
     """Refit the k best models; write models, predictions and the chosen names, return the latter."""
-    fits = refit_models(folds, trials, k, rounds, classes, patience, static)
+    fits = refit_models(folds, trials, k, rounds, classes, patience, static, by_round)
     for name, fitted in fits.items():
         for f in fitted:
             tables.save_model(PipelineModel([*f.fold.scaling.stages, f.model]), f"{path}/models/{name}_{horizon}_cv{f.fold.number}")

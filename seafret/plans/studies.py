@@ -33,6 +33,7 @@ class Plan:
 
     `embargo` (seconds before and after a test period) leaves out rows whose labels or lags reach into it; off by default.
     Refits weigh rows by the tuned ratio, or all of class 0 by 1 / `static_weight`, or with `class_weight` every class by its share.
+    With `by_round` the L2 terms and boosting kinds of the draws act, at the cost of a fit for each round.
     """
 
     spark: SparkSession
@@ -51,6 +52,7 @@ class Plan:
     static_weight: float | None = None
     class_weight: bool = False
     embargo: tuple[int, int] = (0, 0)
+    by_round: bool = False
     parallelism: int = 4
     places_at_once: int = 2
     status: list[tuple[str, int, str, str]] = field(default_factory=list)
@@ -148,6 +150,7 @@ def tune(plan: Plan) -> DataFrame:
                 plan.parallelism,
                 append,
                 plan.patience,
+                plan.by_round,
             )
 
     _each_place(plan, "tune", search)
@@ -168,7 +171,7 @@ def _weighted(plan: Plan, folds: list[ml.Fold]) -> list[ml.Fold]:
 
 def _refits(plan: Plan, station: str, horizon: int, folds: list[ml.Fold], k: int) -> dict[str, list[ml.Fit]]:
     """Refitted models of a place, with the tuned ratio or the weights that the plan fixes."""
-    return ml.refit_models(_weighted(plan, folds), plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, _fixed_weights(plan))
+    return ml.refit_models(_weighted(plan, folds), plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, _fixed_weights(plan), plan.by_round)
 
 
 def refit_report(plan: Plan, k: int = 2, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +217,7 @@ def export(plan: Plan, path: str, k: int = 1) -> DataFrame:
         target = f"{path}/{station}_{horizon}"
         static = _fixed_weights(plan)
         return ml.export_topk_predictions(
-            _weighted(plan, folds), plan.history(station, horizon), k, horizon, target, plan.rounds, plan.classes, plan.patience, static
+            _weighted(plan, folds), plan.history(station, horizon), k, horizon, target, plan.rounds, plan.classes, plan.patience, static, plan.by_round
         )
 
     return _union(plan, _each_place(plan, "export", run), "export")
@@ -252,7 +255,7 @@ def holdout(plan: Plan, path: str, start: str = TEST_START) -> DataFrame:
             return None
         params = ml.base_params(plan.rounds) | ml.tuned_params(past)[best["model"]]
         model, _ = ml.holdout_test(
-            rows, plan.cols, start, ml.learner(best["model"], params, plan.classes), params["pos_label_ratio"], classes=plan.classes
+            rows, plan.cols, start, ml.learner(best["model"], params, plan.classes, by_round=plan.by_round), params["pos_label_ratio"], classes=plan.classes
         )
         target = f"{path}/models/{station}_{horizon}_{best['model']}"
         tables.save_model(model, target)

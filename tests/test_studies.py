@@ -179,3 +179,23 @@ def test_class_weights_reach_the_fit(plan, monkeypatch):
     assert got == {0: 1.0, 1: n[0] / (n[1] + 1)}
     with pytest.raises(ValueError):
         studies._fixed_weights(dataclasses.replace(mine, static_weight=2.0))
+
+
+def test_rounds_of_their_own_reach_refits_and_trials(plan, monkeypatch):
+    mine = dataclasses.replace(plan, by_round=True)
+    fold = plan.folds("SF_0001", 1)[0]
+    seen = []
+    monkeypatch.setattr(ml, "fit_classifier", lambda clf, *a: seen.append(clf))
+    monkeypatch.setattr(ml.trial_ops, "topk_models", lambda *a: plan.spark.createDataFrame([("lgb", 1)], "model string, rank int"))
+    tried = {"model_params.boosting": "dart", "model_params.lambda_l2": "4.0", "pos_label_ratio": "0.3"}
+    history = plan.spark.createDataFrame([("SF_0001", 1, "lgb", 1, 0.5, tried)], "station string, horizon int, model string, trial_id long, value double, params map<string,string>")
+    monkeypatch.setattr(studies.Plan, "history", lambda *a: history)
+    studies._refits(mine, "SF_0001", 1, [fold], 1)
+    studies._refits(plan, "SF_0001", 1, [fold], 1)
+    assert (seen[0].kind.name, seen[0].kind.l2) == ("dart", 4.0) and not hasattr(seen[1], "kind")
+
+
+def test_shares_of_columns_by_tree_and_node_are_one():
+    share = lambda **p: ml.spark_params(p, ml.FOREST).get("featureSubsetStrategy")
+    assert share(feature_fraction=0.7, feature_fraction_bynode=0.9) == "0.63"
+    assert share(feature_fraction_bynode=0.5) == "0.5" and share(feature_fraction=0.7) == "0.7" and share() is None

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seafret.operators import ml, prep
+from seafret.operators.boosting_kinds import Kind, dropped_trees
 from seafret.schema import KEYS, TS
 from workload.learning import METRICS, PLACE, Study, every_horizon, once
 from workload.registry import cte, query
@@ -111,6 +112,50 @@ from {_rows} left join {counts_sql(f'(select * from {_rows} where datetime < {TE
     trees(_name, _classes)
 SCORES = ", ".join(f'"{m}"' for m in METRICS)
 
+#: Kinds of boosting rounds with an L2 term, rounds and step size; dropping is made frequent, so that few rounds show it.
+KINDS = {"gbdt": Kind(l2=25.0), "dart": Kind("dart", l2=4.0, drop=0.6, skip=0.0)}
+KIND_ROUNDS, KIND_STEP, SEED = 3, 0.4, 1
+
+
+def kind_rounds(name: str, kind: Kind) -> list[float]:
+    """A table of each round's sums, leaves and tree values `t0`, `t1`, ...; the scales of the trees after the last round."""
+    scales: list[float] = []
+    total = lambda parts: " + ".join(f"{s!r} * t{i}" for i, s in enumerate(parts) if s) or "0e0"
+    values, flags = ", ".join(FLAGS), ", ".join(f"'{f}'" for f in FLAGS)
+    cte(f"{name}_x0", "select *, 2e0 * obs - 1 as y from stump_rows", "stump_rows")
+    for k in range(KIND_ROUNDS):
+        out = dropped_trees(kind, k, SEED)
+        now = total([0.0 if i in out else s for i, s in enumerate(scales)])
+        g = f"4 * y / (1 + exp(2 * y * ({now})))" if k else "y"
+        cte(
+            f"{name}_sums{k}",
+            f"""select horizon, fold, flag, v, sum(w) as sw, sum(w * g) as sg from (
+  select horizon, fold, w, {g} as g, unnest([{flags}]) as flag, unnest([{values}]) as v from {name}_x{k} where part = 'train') group by all""",
+            f"{name}_x{k}",
+        )
+        cte(
+            f"{name}_leaves{k}",
+            f"""select horizon, fold, flag, v, sg / (sw + {kind.l2!r}) as t{k} from {name}_sums{k} join (
+  select horizon, fold, arg_max(flag, gain) as flag from (
+    select horizon, fold, flag, sum(sg * sg / sw) as gain from {name}_sums{k} group by all having count(*) = 2) group by all) using (horizon, fold, flag)""",
+            f"{name}_sums{k}",
+        )
+        own = " ".join(f"when '{f}' then {f}" for f in FLAGS)
+        cte(
+            f"{name}_x{k + 1}",
+            f"select x.*, l.t{k} from {name}_x{k} x join {name}_leaves{k} l on x.horizon = l.horizon and x.fold = l.fold and l.v = case l.flag {own} end",
+            f"{name}_x{k}",
+            f"{name}_leaves{k}",
+        )
+        scales = [s * len(out) / (len(out) + 1) if i in out else s for i, s in enumerate(scales)]
+        scales.append((KIND_STEP if k else 1.0) / (len(out) + 1))
+    cte(f"{name}_preds", f"select horizon, fold, station, {total(scales)} as margin from {name}_x{KIND_ROUNDS} where part = 'test'", f"{name}_x{KIND_ROUNDS}")
+    return scales
+
+
+for _name, _kind in KINDS.items():
+    kind_rounds(f"kind_{_name}", _kind)
+
 
 # ---- queries ---------------------------------------------------------------------------
 
@@ -131,6 +176,33 @@ def _(t):
     return every_horizon(work)
 
 
+@query(
+    "boosting_kinds_stumps",
+    " union all ".join(
+        f"""select '{n}' as kind, horizon, fold, station, count(*) as n, count(*) filter (where margin > 0) as n_pred, avg(1 / (1 + exp(-2 * margin))) as p1
+from kind_{n}_preds group by horizon, fold, station""" for n in KINDS
+    ),
+    [f"kind_{n}_preds" for n in KINDS],
+    ["p1"],
+)
+def _(t):
+    """Labels and mean probability of the test rows after rounds with shrunken leaves, and with dropped trees besides."""
+    s = Study(t)
+
+    def one(name: str, fold: ml.Fold) -> DataFrame:
+        clf = ml.learner("cb", STUMP | ml.base_params(KIND_ROUNDS) | {"learning_rate": KIND_STEP}, by_round=True)
+        clf.kind = KINDS[name]
+        p = ml.predict_proba(ml.PipelineModel([ml.fit_classifier(clf, ml.at_ratio(fold.train, RATIO))]), fold.test)
+        found = p.groupBy("station").agg(F.count("*").alias("n"), F.sum(F.col("pred").cast("long")).alias("n_pred"), F.avg("p1").alias("p1"))
+        return found.withColumns({"fold": F.lit(fold.number), "kind": F.lit(name)})
+
+    def work(h: int) -> DataFrame:
+        places = [(n, f) for n in KINDS for f in flag_folds(s, h)]
+        return prep.union_stations(ml.in_threads(lambda p: one(*p), places))
+
+    return every_horizon(work)
+
+
 @query("cv_evaluate_stumps", f"select horizon, fold, {SCORES} from ({scores_sql('stump_preds', ['horizon', 'fold'])})", ["stump_preds"], list(METRICS))
 def _(t):
     """Scores of every fold."""
