@@ -9,7 +9,7 @@ of its own takes that of the nearest directory above it that has one.
 Weights: log(1 + lines / (1 + lines with the term)) times the term's count. Units that miss the cosine even with the least weights for
 their other terms are left out before those terms are looked up.
 A sentence that several licences share names only their family (BSD), clauses elsewhere in the file tell the variant (BSD-2-Clause,
-GPL-2.0-or-later). The numbers of a template, and an identifier as a whole, must be in a unit that matches it.
+GPL-2.0-or-later). The numbers of a template, and an identifier or a title as a whole, must be in a unit that matches it.
 The best match decides, of equal ones that of the earlier line, then the licence whose name comes first.
 Null or empty texts have no licence of their own; a null path has no directory and inherits nothing. Files repeated whole repeat
 their result; of several licence files of one directory the best match decides. An empty table gives an empty result.
@@ -51,7 +51,18 @@ TEMPLATES = {
     "+bsd-4": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
     "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause"],
-    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "0BSD": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: 0BSD",
+    ],
+    "+notice-kept": ["provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "=BSL-1.0": ["Boost Software License - Version 1.0"],
     "CC0-1.0": [
         "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
         "CC0 1.0 Universal",
@@ -62,6 +73,27 @@ TEMPLATES = {
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
         "SPDX-License-Identifier: EPL-2.0",
     ],
+    "=CC-BY-4.0": ["Attribution 4.0 International"],
+    "=CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0 International"],
+    "=CC-BY-NC-4.0": ["Attribution-NonCommercial 4.0 International"],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "=CC-BY-NC-SA-4.0": ["Attribution-NonCommercial-ShareAlike 4.0 International"],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "=CC-BY-ND-4.0": ["Attribution-NoDerivatives 4.0 International"],
+    "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "=CC-BY-NC-ND-4.0": ["Attribution-NonCommercial-NoDerivatives 4.0 International"],
+    "=EPL-2.0": ["Eclipse Public License - v 2.0"],
+    "HPND": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby "
+        "granted, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission "
+        "notice appear in supporting documentation.",
+        "SPDX-License-Identifier: HPND",
+    ],
+    "PostgreSQL": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a "
+        "written agreement is hereby granted",
+        "SPDX-License-Identifier: PostgreSQL",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
         "that the above copyright notice and this permission notice appear in all copies.",
@@ -111,11 +143,15 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
         "SPDX-License-Identifier: MIT",
     ],
+    "=MIT-0": ["MIT No Attribution"],
+    "MIT-0": ["SPDX-License-Identifier: MIT-0"],
+    "=MPL-2.0": ["Mozilla Public License Version 2.0"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved."],
 }
 # What a licence (or family) becomes by a clause of the same file, the first that is there.
 VARIANTS = {
+    "0BSD": (("+notice-kept", "ISC"),),
     "BSD": (("+bsd-4", "BSD-4-Clause"), ("+bsd-3", "BSD-3-Clause"), ("+bsd-2", "BSD-2-Clause")),
     "AGPL-3.0": (("+later-3", "AGPL-3.0-or-later"),),
     "GPL-3.0": (("+later-3", "GPL-3.0-or-later"), ("+later-2", "GPL-2.0-or-later")),
@@ -139,7 +175,7 @@ class Matcher:
         self.floor = self.weight(self.lines)
         self.templates = []
         self.words: list[list[str]] = []
-        # numbers of a template, and all words of an identifier, must be there: they are what tells versions and names apart
+        # numbers of a template, and all words of an identifier or title, must be there: they are what tells versions and names apart
         self.needed: list[frozenset[str]] = []
         self.anchors: dict[str, list[int]] = {}
         self.by_term: dict[str, list[tuple[int, float]]] = {}
@@ -148,16 +184,17 @@ class Matcher:
                 vector, norm = self.vector(Counter(terms(notice)))
                 for t, w in vector.items():
                     self.by_term.setdefault(t, []).append((len(self.templates), w / norm))
-                # a match has one of the terms without which the template falls short
+                whole = notice.startswith("SPDX") or name.startswith("=")
+                # a match has one of the terms without which the template falls short; where all are needed, the weightiest will do
                 left = 1.0
                 for t, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-                    if left < least * least:
+                    if left < (1.0 if whole else least * least):
                         break
                     self.anchors.setdefault(t, []).append(len(self.templates))
                     left -= (w / norm) ** 2
                 self.templates.append(name)
                 self.words.append(terms(notice))
-                self.needed.append(frozenset(t for t in terms(notice) if t.isdigit() or notice.startswith("SPDX")))
+                self.needed.append(frozenset(t for t in terms(notice) if whole or t.isdigit()))
 
     def weight(self, frequency: int) -> float:
         return math.log(1 + max(self.lines, 1) / (1 + frequency))
