@@ -72,10 +72,10 @@ class Plan:
 
     def folds(self, station: str, horizon: int, path: str | None = None) -> list[ml.Fold]:
         """Prepared folds of a place; three-class work uses the first one only."""
-        table = ml.fold_table(self.rows(station, horizon), self.periods, path=path, classes=self.classes, embargo=self.embargo)
+        table = ml.fold_table(self.rows(station, horizon), self.periods, path=path, classes=self.classes, embargo=self.embargo, cols=self.cols)
         if self.classes == 3:
             table = table.where(F.col("fold") == 1)
-        return ml.prepare_folds(table, self.cols, positive=self.classes - 1, path=path)
+        return ml.prepare_folds(table, self.cols, positive=self.classes - 1)
 
     def history(self, station: str | None = None, horizon: int | None = None) -> DataFrame | None:
         """Trials so far, or None before the first one."""

@@ -314,3 +314,47 @@ def test_patience_holds_wherever_it_is_not_named(folds, monkeypatch):
     studies.export(plan, "out")
     studies._refits(plan, "a", 1, ["fold"], 1)
     assert told[0] == told[1] == ([("fold", 0.5)], "trials", 1, None, 2, 7, True)
+
+
+def test_a_fit_runs_in_few_tasks(folds, monkeypatch):
+    """Tasks follow rows, not the files or partitions that the rows happen to be in."""
+    assert [boosting.fit_tasks(n, 12) for n in (0, 24_000, 50_001, 2_000_000, 10_000_000)] == [1, 1, 2, 6, 20]
+    seen = []
+    monkeypatch.setattr(ml, "fit_binary", lambda clf, rows, patience: seen.append(rows.rdd.getNumPartitions()))
+    ml.fit_classifier(ml.learner("cb", LIMITS), folds[0].train.repartition(16))
+    assert seen == [1]
+
+
+def test_folds_write_one_copy_of_the_rows(rows, folds, monkeypatch):
+    """Scaled vectors are made in reading; rows written as vectors give the same ones."""
+    table = ml.fold_table(rows, PERIODS, cols=COLS)
+    assert ml.RAW in table.columns and not set(COLS) & set(table.columns)
+    monkeypatch.setattr(ml, "materialize", None)
+    keys = ["station", "datetime", "role", "weight"]
+    for a, b in zip(folds, ml.prepare_folds(table, COLS), strict=True):
+        assert a.train.columns == b.train.columns and "raw_features" not in b.train.columns
+        for x, y in ((a.train, b.train), (a.test, b.test)):
+            x, y = ({tuple(r[k] for k in keys): r["features"].toArray() for r in d.collect()} for d in (x, y))
+            assert x.keys() == y.keys() and all(np.allclose(x[k], y[k], rtol=0, atol=1e-9) for k in x)
+        labels = b.scaling.transform(rows).select("features")
+        assert labels.count() == rows.count()
+
+
+def test_fits_wait_for_room(spark, monkeypatch):
+    """Fits side by side cache no more than there is room for; one too large for it runs alone."""
+    import time
+
+    from seafret import session
+
+    monkeypatch.setattr(session, "storage_memory", lambda spark: 100 / session.CACHE_SHARE)
+    now, most = [], []
+
+    def work(size):
+        with session.cache_room(spark, size):
+            now.append(size)
+            most.append(sum(now))
+            time.sleep(0.05)
+            now.remove(size)
+
+    session.in_threads(work, [40] * 6 + [300], 7)
+    assert len(most) == 7 and sorted(most)[-1] == 300 and sorted(most)[-2] == 80
