@@ -15,14 +15,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from seafret.operators.boosting import kept_bytes
 from seafret.operators.forecast import BATCH_VALUES, EPS, ROW, WINDOWS, _indexed, _lag_rows, _line, _types, forecast_errors, series_lengths
 from seafret.operators.scores import error_mae_mape
 from seafret.schema import KEYS, TS
-from seafret.session import in_threads, materialize
+from seafret.session import cache_room, in_threads, materialize
 
 #: Share of a series in the first training part, and number of expanding folds after it.
 INITIAL, FOLDS = 0.7, 3
 ROUNDS, DEPTH, RATE = 50, 5, 0.1
+#: Fits submitted side by side; they start as their rows fit into memory.
+AT_ONCE = 6
 
 
 @dataclass
@@ -158,29 +161,32 @@ def tree_window_errors(
     width = (1 - initial) / folds
     part = F.greatest(F.lit(-1.0), F.floor((F.col(ROW) / F.col("n") - initial) / width + 1e-9)).cast("int")
 
-    def one(window: int) -> DataFrame:
-        lags = materialize(_lag_rows(rows, window, keys).join(line, keys).withColumn("part", F.least(part, F.lit(folds - 1))), "lags")
-        tested = None
-        for k in range(folds):
-            train = lags.where(F.col("part") < k)
-            if train.isEmpty():
-                continue
-            model = fit_one_step(train, window, rounds, depth, rate).setPredictionCol("_p")
-            rows_k = lags.where(F.col("part") == k).withColumn("features", array_to_vector(F.slice("z", 3, window)))
-            back = F.col("intercept") + F.col("slope") * F.col(ROW)
-            y = F.element_at("z", -1) + back
-            ape = F.abs(y - F.col("_p") - back) / F.greatest(F.abs(y), F.lit(EPS))
-            made = model.transform(rows_k).groupBy(*keys).agg(F.sum(ape).alias("ape"), F.count("*").alias("n"))
-            tested = made if tested is None else tested.unionByName(made)
-        if tested is None:
-            return None
-        return tested.groupBy(*keys).agg((F.sum("ape") / F.sum("n")).alias("mape"), F.sum("n").alias("n_tested")).withColumn("window", F.lit(window))
+    def lagged(window: int) -> DataFrame:
+        found = _lag_rows(rows, window, keys).join(line, keys).withColumn("part", F.least(part, F.lit(folds - 1)))
+        return materialize(found, "lags")
+
+    lags = dict(zip(windows, in_threads(lagged, windows, 3)))
 
-    parts = [p for p in in_threads(one, windows, 3) if p is not None]
-    out = parts[0]
+    def one(place: tuple[int, int]) -> DataFrame | None:
+        window, k = place
+        train = lags[window].where(F.col("part") < k)
+        n = train.count()
+        if not n:
+            return None
+        with cache_room(train.sparkSession, kept_bytes(n, window)):
+            model = fit_one_step(train, window, rounds, depth, rate).setPredictionCol("_p")
+        rows_k = lags[window].where(F.col("part") == k).withColumn("features", array_to_vector(F.slice("z", 3, window)))
+        back = F.col("intercept") + F.col("slope") * F.col(ROW)
+        y = F.element_at("z", -1) + back
+        ape = F.abs(y - F.col("_p") - back) / F.greatest(F.abs(y), F.lit(EPS))
+        made = model.transform(rows_k).groupBy(*keys).agg(F.sum(ape).alias("ape"), F.count("*").alias("n"))
+        return made.withColumn("window", F.lit(window))
+
+    parts = [p for p in in_threads(one, [(w, k) for k in reversed(range(folds)) for w in windows], AT_ONCE) if p is not None]
+    tested = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*keys, "window", "mape", "n_tested")
+        tested = tested.unionByName(p)
+    return tested.groupBy(*keys, "window").agg((F.sum("ape") / F.sum("n")).alias("mape"), F.sum("n").alias("n_tested")).select(*keys, "window", "mape", "n_tested")
 
 
 def searched_tree_forecast(

@@ -82,3 +82,19 @@ def test_polynomial_trend(spark):
 def test_trend_of_fewer_rows_than_coefficients(spark):
     one = forecast.detrend(series(spark, {"y": [4.0, 5.0]}), "y", degree=3)
     assert one.where("abs(y_detrended) > 1e-6").count() == 0
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """No fold waits for another; window and errors are the same as those of its own trees."""
+    from threading import Barrier
+
+    together, fit = Barrier(2 * tree_forecast.FOLDS, timeout=60), tree_forecast.fit_one_step
+
+    def met(*args):
+        together.wait()
+        return fit(*args)
+
+    monkeypatch.setattr(tree_forecast, "fit_one_step", met)
+    got = tree_forecast.tree_window_errors(two_series(spark), "y", (2, 3), **SMALL).collect()
+    assert {(r["station"], r["window"]): r["n_tested"] for r in got} == {("SF_0001", 2): 27, ("SF_0001", 3): 27, ("SF_0002", 2): 24, ("SF_0002", 3): 24}
+    assert all(0 < r["mape"] < 1 for r in got)
