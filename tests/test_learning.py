@@ -358,3 +358,40 @@ def test_fits_wait_for_room(spark, monkeypatch):
 
     session.in_threads(work, [40] * 6 + [300], 7)
     assert len(most) == 7 and sorted(most)[-1] == 300 and sorted(most)[-2] == 80
+
+
+def test_fits_at_once_share_out_the_cores(spark, folds, monkeypatch):
+    """Every task of a fit sends all its sums, so many fits at once take one task each, few fits more."""
+    from seafret import session
+
+    assert [boosting.fit_tasks(400_000, 12, beside) for beside in (1, 2, 3, 9, 36)] == [6, 6, 4, 1, 1]
+    assert boosting.fit_tasks(2_000_000, 12, 36) == 4  # so many rows are not one task
+    widths = session.in_threads(lambda _: session.in_threads(lambda _: session.side_by_side(), range(5), 3), range(2))
+    assert session.side_by_side() == 1 and widths == [[6] * 5] * 2
+
+    rows, clf, seen = folds[0].train.repartition(16), ml.learner("cb", LIMITS), []
+    monkeypatch.setattr(boosting, "TASK_ROWS", 10)
+    monkeypatch.setattr(ml, "fit_binary", lambda clf, rows, patience: seen.append(rows.rdd.getNumPartitions()))
+    cores = spark.sparkContext.defaultParallelism
+    for beside in (2, cores):
+        session.in_threads(lambda _: ml.fit_classifier(clf, rows), range(beside), beside)
+    assert seen == [cores // 2] * 2 + [1] * cores
+    monkeypatch.setattr(ml, "fits_in_room", lambda spark, size: 1)  # fits that wait for room leave it all to one
+    seen.clear()
+    session.in_threads(lambda _: ml.fit_classifier(clf, rows), range(cores), cores)
+    assert seen == [cores // 2] * cores
+
+
+def test_models_are_refitted_side_by_side(spark, folds, monkeypatch):
+    from threading import Barrier
+
+    params = F.create_map(F.lit("pos_label_ratio"), F.lit("1"))
+    history = spark.createDataFrame([("ALL", 1, m, 1, v) for m, v in (("rf", 0.7), ("cb", 0.8), ("xgb", 0.9))], "station string, horizon int, model string, trial_id long, value double")
+    both = Barrier(3, timeout=20)
+
+    def refit(folds, model, *rest):
+        both.wait()
+        return [model]
+
+    monkeypatch.setattr(ml, "refit", refit)
+    assert list(ml.refit_models(folds, history.withColumn("params", params), 3).items()) == [("xgb", ["xgb"]), ("cb", ["cb"]), ("rf", ["rf"])]
