@@ -395,3 +395,13 @@ def test_models_are_refitted_side_by_side(spark, folds, monkeypatch):
 
     monkeypatch.setattr(ml, "refit", refit)
     assert list(ml.refit_models(folds, history.withColumn("params", params), 3).items()) == [("xgb", ["xgb"]), ("cb", ["cb"]), ("rf", ["rf"])]
+
+
+def test_learners_of_a_query_are_fitted_side_by_side(spark, monkeypatch):
+    from threading import Barrier
+
+    from workload import learning
+
+    both = Barrier(2, timeout=20)
+    monkeypatch.setattr(learning, "fold_scores", lambda s, m, classes: both.wait() and None or spark.range(classes))
+    assert sorted((r["id"], r["model"]) for r in learning.models_scores(None, ("cb", "rf")).collect()) == [(0, "cb"), (0, "rf"), (1, "cb"), (1, "rf")]
