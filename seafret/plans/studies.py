@@ -61,6 +61,11 @@ class Plan:
     def target(self) -> str:
         return "y" if self.classes == 2 else "y3"
 
+    @property
+    def kinds(self) -> dict[str, bool]:
+        """How refits boost, where it is not the usual way."""
+        return {"by_round": True} if self.by_round else {}
+
     @property
     def trials_wanted(self) -> int:
         return TRIALS[self.classes] if self.n_trials is None else self.n_trials
@@ -171,7 +176,7 @@ def _weighted(plan: Plan, folds: list[ml.Fold]) -> list[ml.Fold]:
 
 def _refits(plan: Plan, station: str, horizon: int, folds: list[ml.Fold], k: int) -> dict[str, list[ml.Fit]]:
     """Refitted models of a place, with the tuned ratio or the weights that the plan fixes."""
-    return ml.refit_models(_weighted(plan, folds), plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, _fixed_weights(plan), plan.by_round)
+    return ml.refit_models(_weighted(plan, folds), plan.history(station, horizon), k, plan.rounds, plan.classes, plan.patience, _fixed_weights(plan), **plan.kinds)
 
 
 def refit_report(plan: Plan, k: int = 2, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +222,7 @@ def export(plan: Plan, path: str, k: int = 1) -> DataFrame:
         target = f"{path}/{station}_{horizon}"
         static = _fixed_weights(plan)
         return ml.export_topk_predictions(
-            _weighted(plan, folds), plan.history(station, horizon), k, horizon, target, plan.rounds, plan.classes, plan.patience, static, plan.by_round
+            _weighted(plan, folds), plan.history(station, horizon), k, horizon, target, plan.rounds, plan.classes, plan.patience, static, **plan.kinds
         )
 
     return _union(plan, _each_place(plan, "export", run), "export")
