@@ -37,17 +37,25 @@ LONG = 13
 AROUND = 128
 #: Bits of the filter over test hashes: at most so many, whatever the size of the benchmark.
 FILTER_BITS = 1 << 27
+#: Tokens of documents whose seeds are made together.
+TOGETHER = 1 << 15
 #: Parts of a heavy seed.
 SALTS = 64
 
 
-def token_hashes(text: str, memory: dict[str, int] | None = None) -> np.ndarray:
-    memory = {} if memory is None else memory
+class _Hashes(dict):
+    """Hash of every token seen, forgotten when there are too many."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = made = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 11)
+        return made
+
+
+def token_hashes(text: str, memory: _Hashes | None = None) -> np.ndarray:
+    memory = _Hashes() if memory is None else memory
     tokens = TOKEN.findall(text.lower())
-    if len(memory) > 500_000:
-        memory.clear()
-    for t in set(tokens).difference(memory):
-        memory[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 11)
     return np.fromiter(map(memory.__getitem__, tokens), np.uint64, len(tokens))
 
 
@@ -55,33 +63,34 @@ def token_hashes(text: str, memory: dict[str, int] | None = None) -> np.ndarray:
 FACTORS = [np.array([xxhash.xxh64_intdigest(f"{m} {i}".encode(), 3) | 1 for i in range(len(m))], np.uint64) for m in MASKS]
 
 
-def seeds(h: np.ndarray, mask: int) -> np.ndarray:
-    """Hash of the mask at every place of a token sequence."""
+def seeds(x: np.ndarray, mask: int) -> np.ndarray:
+    """Hash of the mask at every place of a sequence of mixed token hashes."""
     shape = MASKS[mask]
-    n = len(h) - len(shape) + 1
+    n = len(x) - len(shape) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.full(n, mask + 1, np.uint64)
     for i, c in enumerate(shape):
         if c == "1":
-            out += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(29))) * FACTORS[mask][i]
-    return out ^ (out >> np.uint64(31))
+            out += x[i : i + n] * FACTORS[mask][i]
+    out ^= out >> np.uint64(31)
+    return out
 
 
-def all_seeds(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and the places where their masks begin; a sequence shorter than a mask has none of it."""
+def all_seeds(h: np.ndarray) -> Iterator[np.ndarray]:
+    """For every mask its hash at each place of a token sequence; a sequence shorter than a mask has none of it."""
+    x = h ^ (h >> np.uint64(29))
     for mask in range(len(MASKS)):
-        s = seeds(h, mask)
-        yield s, np.arange(len(s))
+        yield seeds(x, mask)
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h = token_hashes(text or "")
-            for s, at in all_seeds(h):
+            for s in all_seeds(h):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, np.int64)), pa.array(at.astype(np.int32))], ["seed", "item", "item_at"]
+                    [pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, np.int64)), pa.array(np.arange(len(s), dtype=np.int32))], ["seed", "item", "item_at"]
                 )
 
 
@@ -94,7 +103,7 @@ def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _probes(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     s = seed.view(np.uint64)
     size = np.uint64(bits - 1)
-    return (s & size).astype(np.int64), ((s >> np.uint64(32)) & size).astype(np.int64)
+    return (s & size).view(np.int64), ((s >> np.uint64(32)) & size).view(np.int64)
 
 
 def hash_filter(item_seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -117,37 +126,55 @@ def hash_filter(item_seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return packed.astype(">u8").view(np.uint8)
 
 
+def _hits(h: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed, place and document of all hashes that may be test hashes, by place, in documents laid end to end."""
+    seed, place, owner = [], [], []
+    for mask, s in enumerate(all_seeds(h)):
+        at = np.flatnonzero(table[(s & np.uint64(len(table) - 1)).view(np.int64)])
+        at = at[table[_probes(s[at], len(table))[1]]]
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + len(MASKS[mask]) <= ends[doc]
+        seed.append(s[at[inside]])
+        place.append(at[inside])
+        owner.append(doc[inside])
+    seed, place, owner = np.concatenate(seed), np.concatenate(place), np.concatenate(owner)
+    order = np.argsort(place, kind="stable")
+    return seed[order], place[order], owner[order]
+
+
 def _segments(packed: np.ndarray):
-    """Parts of documents around places whose hash may be a test hash, with those places."""
-    bits = len(packed) * 8
+    """Parts of documents around places whose hash may be a test hash, with those places.
+
+    Seeds of documents next to each other are made together, as most documents are too short for whole-array work.
+    """
+
+    def found(docs: list[tuple], table: np.ndarray) -> Iterator[tuple]:
+        h, ends = np.concatenate([d[2] for d in docs]), np.cumsum([len(d[2]) for d in docs])
+        seed, place, owner = _hits(h, ends, table)
+        apart = (np.diff(place) > 2 * AROUND) | (np.diff(owner) > 0)
+        for part in np.split(np.arange(len(place)), np.flatnonzero(apart) + 1) if len(place) else ():
+            doc, mark, own = docs[owner[part[0]]]
+            at = place[part] - (ends[owner[part[0]]] - len(own))
+            start, stop = max(0, int(at[0]) - AROUND), int(at[-1]) + AROUND
+            yield doc, mark, start, own[start:stop].view(np.int64), seed[part].view(np.int64), at.astype(np.int32) - start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(packed).view(bool)
-        memory: dict[str, int] = {}
+        memory = _Hashes()
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, text, mark in zip(batch.column(0), batch.column(1), batch.column(2)):
+            rows: list[tuple] = []
+            docs: list[tuple] = []
+            size = 0
+            for i, (doc, text, mark) in enumerate(zip(batch.column(0), batch.column(1), batch.column(2)), 1):
                 h = token_hashes(text.as_py(), memory)
-                seed, place = [], []
-                for s, at in all_seeds(h):
-                    a, b = _probes(s, bits)
-                    hit = np.flatnonzero(table[a])
-                    hit = hit[table[b[hit]]]
-                    seed.append(s[hit])
-                    place.append(at[hit])
-                seed, place = np.concatenate(seed), np.concatenate(place)
-                if not len(seed):
-                    continue
-                order = np.argsort(place, kind="stable")
-                seed, place = seed[order], place[order]
-                for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place) > 2 * AROUND) + 1):
-                    start = max(0, int(place[part[0]]) - AROUND)
-                    stop = int(place[part[-1]]) + AROUND
-                    for c, v in zip(rows, (doc.as_py(), mark.as_py(), start, h[start:stop].view(np.int64), seed[part].view(np.int64), place[part].astype(np.int32) - start)):
-                        c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                docs.append((doc.as_py(), mark.as_py(), h))
+                size += len(h)
+                if size >= TOGETHER or i == batch.num_rows:
+                    rows += found(docs, table)
+                    docs, size = [], 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, types)], ["doc_id", "text_mark", "start", "tokens", "seeds", "places"]
+                [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["doc_id", "text_mark", "start", "tokens", "seeds", "places"]
             )
 
     return run

@@ -133,3 +133,26 @@ def test_whole_result_against_brute_force(spark, monkeypatch):
     assert len(want - got) <= 0.02 * len(want)
     monkeypatch.setattr(d, "bounded", lambda df, rows=0: df)  # as beyond the broadcast bound
     assert {(r.doc_id, r.item_id) for r in d.overlaps(*frames).collect()} == got
+
+
+def test_seeds_of_many_short_documents_are_made_together(monkeypatch):
+    import pyarrow as pa
+
+    words = ITEM.split()
+    item = d.token_hashes(ITEM)
+    table = np.zeros(1 << 16, bool)
+    for s in d.all_seeds(item):
+        for probe in d._probes(s, len(table)):
+            table[probe] = True
+    texts = ["", " ".join(words[:5]), " ".join(words[5:10]), "x " + " ".join(words[:8]), "", *[f"n{i} m{i}" for i in range(300)], ITEM]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], ["doc_id", "text", "text_mark"])
+    calls, made = [], d.seeds
+    monkeypatch.setattr(d, "seeds", lambda *a: calls.append(a) or made(*a))
+    together = pa.Table.from_batches(d._segments(np.packbits(table))([batch])).to_pylist()
+    assert len(calls) == len(d.MASKS)
+    # no seed reaches into the next document
+    assert [r["doc_id"] for r in together] == [3, len(texts) - 1]
+    assert together[0]["places"][0] == 1 and np.array_equal(together[1]["tokens"], item.view(np.int64))
+    monkeypatch.setattr(d, "TOGETHER", 1)
+    alone = pa.Table.from_batches(d._segments(np.packbits(table))([batch])).to_pylist()
+    assert alone == together
