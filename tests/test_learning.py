@@ -405,3 +405,28 @@ def test_learners_of_a_query_are_fitted_side_by_side(spark, monkeypatch):
     both = Barrier(2, timeout=20)
     monkeypatch.setattr(learning, "fold_scores", lambda s, m, classes: both.wait() and None or spark.range(classes))
     assert sorted((r["id"], r["model"]) for r in learning.models_scores(None, ("cb", "rf")).collect()) == [(0, "cb"), (0, "rf"), (1, "cb"), (1, "rf")]
+
+
+@pytest.mark.parametrize("name, operator", [("export_3class", "export_topk_predictions")])
+def test_three_class_queries_take_every_fold(spark, monkeypatch, name, operator):
+    from workload import learning
+    from workload.registry import ORACLE, QUERIES
+    from workload.standins import Tables
+
+    class Seen(Exception):
+        pass
+
+    def stop(folds, *rest):
+        raise Seen(folds)
+
+    monkeypatch.setattr(Tables, "periods", [])
+    monkeypatch.setattr(learning, "_made", {})
+    monkeypatch.setattr(learning.Study, "__post_init__", lambda s: setattr(s, "key", ("test",)))
+    monkeypatch.setattr(learning.Study, "rows", lambda s, h: None)
+    monkeypatch.setattr(learning.Study, "trials", lambda s, h: None)
+    monkeypatch.setattr(ml, "fold_table", lambda *a, **k: spark.range(1, 4).withColumnRenamed("id", "fold"))
+    monkeypatch.setattr(ml, "prepare_folds", lambda table, *a, **k: sorted(r["fold"] for r in table.collect()))
+    monkeypatch.setattr(ml, operator, stop)
+    with pytest.raises(Seen) as seen:
+        QUERIES[name](spark, "no folder")
+    assert seen.value.args[0] == [1, 2, 3] and "fold = 1" not in ORACLE[name]
