@@ -430,3 +430,24 @@ def test_three_class_queries_take_every_fold(spark, monkeypatch, name, operator)
     with pytest.raises(Seen) as seen:
         QUERIES[name](spark, "no folder")
     assert seen.value.args[0] == [1, 2, 3] and "fold = 1" not in ORACLE[name]
+
+
+def test_ensemble_refit_takes_as_many_rounds_as_a_run(spark, monkeypatch):
+    from workload import learning
+    from workload.registry import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def stop(folds, trials, k, rounds, *rest, **kinds):
+        raise Seen(k, rounds)
+
+    monkeypatch.setattr(learning.Study, "__post_init__", lambda s: None)
+    monkeypatch.setattr(learning.Study, "folds", lambda s, h: [])
+    monkeypatch.setattr(learning.Study, "trials", lambda s, h: None)
+    monkeypatch.setattr(ml, "refit_models", stop)
+    with pytest.raises(Seen) as seen:
+        QUERIES["ensemble_refit"](spark, "no folder")
+    assert seen.value.args == (4, None)
+    params = ml.base_params(None) | ml.DEFAULT_PARAMS["cb"]
+    assert ml.learner("cb", params).getMaxIter() == ml.learner("rf", ml.base_params(None)).getNumTrees() == 1000
