@@ -407,7 +407,7 @@ def test_learners_of_a_query_are_fitted_side_by_side(spark, monkeypatch):
     assert sorted((r["id"], r["model"]) for r in learning.models_scores(None, ("cb", "rf")).collect()) == [(0, "cb"), (0, "rf"), (1, "cb"), (1, "rf")]
 
 
-@pytest.mark.parametrize("name, operator", [("export_3class", "export_topk_predictions"), ("refit_3class", "refit_best")])
+@pytest.mark.parametrize("name, operator", [("export_3class", "export_topk_predictions"), ("refit_3class", "refit_best"), ("vote_3class", "ensemble_refit")])
 def test_three_class_queries_take_every_fold(spark, monkeypatch, name, operator):
     from workload import learning
     from workload.registry import ORACLE, QUERIES
